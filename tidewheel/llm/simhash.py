@@ -7,9 +7,9 @@ pairs of a crowded bucket:
    at most two of the other bits for at least one choice of the block (or all their differences lie in that block), so
    if each emits every variant within half that radius (one bit) they meet at a common variant. Rows are shuffled on
    the variant. A fingerprint that meets no other is done; this is nearly all of them.
-2. *Verify.* In buckets of few fingerprints the colliding pairs are deduplicated and their bits counted. Fingerprints
-   of larger buckets take an exact way that needs no pairs: they emit whole balls over all 64 bits, one bit around
-   each, and two bits around those of odd parity. Sharing a point proves a link: one plus one, or one plus two. Linked
+2. *Verify.* In buckets of up to ``FEW`` fingerprints duplicates are dropped and differing bits counted; of the links
+   found only a spanning forest is emitted. Fingerprints of larger buckets take an exact way that compares none: they
+   emit whole balls over all 64 bits, one bit around each, and two bits around those of odd parity. Sharing a point proves a link: one plus one, or one plus two. Linked
    fingerprints of odd distance differ in parity, so the wider ball is needed on one side only.
 3. *Connect.* Classes are the connected components over links, by rounds of large-star and small-star.
 
@@ -31,8 +31,8 @@ from tidewheel.llm.common import table, write_shared
 from tidewheel.llm.components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 3, 3
-#: Pairs are listed in buckets of at most so many fingerprints; larger ones take the way by whole balls.
-FEW = 12
+#: Colliding pairs are verified in buckets of at most so many fingerprints; larger ones take the way by whole balls.
+FEW = 1024
 #: Blocks of the 64 bits, (first bit, end).
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 CHUNK = 1 << 16
@@ -84,6 +84,24 @@ def _punctured(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.concat(*keys)).alias("key"), "fp")
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of links that connect, in each list of colliding fingerprints, all that are linked in it."""
+    for b in batches:
+        src, dst = [], []
+        for fps in b.column(0):
+            left = np.unique(np.asarray(fps.values, dtype=np.int64))
+            while len(left) > 1:  # grows one tree at a time, so that no pair is kept that isn't needed
+                edge, left = [left[0]], left[1:]
+                while edge and len(left):
+                    at = edge.pop()
+                    near = np.bitwise_count((left ^ at).view(np.uint64)) <= RADIUS
+                    src += [at] * int(near.sum())
+                    dst += left[near].tolist()
+                    edge += left[near].tolist()
+                    left = left[~near]
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(src, dst) pairs of fingerprints at ``RADIUS`` or fewer bits that connect all that are linked.
 
@@ -96,8 +114,7 @@ def links(fps: DataFrame) -> DataFrame:
         .where("n > 1")
     )
     met = write_shared(met, "met")
-    few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    few = few.select(F.explode(F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= RADIUS)), lambda b: F.struct(a.alias("src"), b.alias("dst"))))))).select("col.src", "col.dst").distinct()
+    few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_verified, "src long, dst long").distinct()
     crowd = met.where(F.col("n") > FEW).select("fp").distinct()
     # the points of whole balls: kind 0, one bit around all; kind 1, where an even one (one bit) meets odd ones (two bits)
     ones = [1 << i for i in range(64)]
