@@ -1,12 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-A model of order four is fitted to toxic and to ordinary text, over an alphabet of 32 signs (letters, four classes of
-accented letters, everything else). Lower orders are continuation counts of both classes together, so an expression
-that is rare in either is smoothed by shared backoff counts. A document's score is the difference of its two
-log-likelihoods, normalised by length (a little shrunken, as short texts tell little), then calibrated.
-
-Counts are taken over all labelled text that may be learned from; their number grows with the corpus, while the table
-that scorers carry has 32**4 entries at any size.
+Each class has a model of the next sign given all signs of the word so far (up to ``DEPTH``), over an alphabet of 32
+signs. Counts of the larger class are scaled to the size of the smaller, so that equal discounts treat both alike. What
+is discounted goes to a distribution that both share: continuation counts of the last two signs, in how many different
+word beginnings each follows them. So a rare expression has the same probability in both classes. A document's score
+is the difference of its log-likelihoods, normalised by length (a little shrunken, as short texts tell little) and
+calibrated; signs for which the models differ by less than ``STYLE`` nats, or which ordinary text favours, count as
+equal: those are differences of style, such as lists or languages, that would drown a few expressions in a long text.
+
+Counts are taken over all labelled text that may be learned from; they grow with the corpus. Word beginnings are hashed
+to ``2**BITS`` places, which bounds what reaches the driver and the scorers at any size.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import held_out, learnable, remainder, small_or_shuffled, table
 
-SIGNS, ORDER, DISCOUNT = 32, 4, 0.75
-SIZE = SIGNS**ORDER
+SIGNS, DEPTH, BITS = 32, 7, 22
+SIZE = 1 << BITS
+DISCOUNT, SHARED, STYLE = 1.0, 10.0, 1.5
 #: Signs that a text must have besides its own before its mean difference counts in full.
 PRIOR = 200
 CUT = 0.7
@@ -41,82 +45,120 @@ def _signs() -> bytes:
 
 
 _SIGNS = _signs()
+_FACTORS = (np.random.default_rng(0).integers(1, 1 << 63, DEPTH + 1) | 1).astype(np.uint64)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """The index of the gram that ends at each sign of the text."""
-    signs = (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS, _LEAD)
-    c = np.frombuffer(b"\0" * (ORDER - 1) + signs, dtype=np.uint8).astype(np.int32)
-    g = np.zeros(len(signs), dtype=np.int32)
-    for j in range(ORDER):
-        g = g * SIGNS + c[j : len(signs) + j]
-    return g
-
+def nodes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each sign at most ``DEPTH`` deep in its word: the place of the word up to it, and up to the sign before;
+    the last three signs as one number. And the number of all signs.
 
-def _smoothed(counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+    Letters, and characters outside ASCII, make words; anything else is sign 0, which also ends a word.
+    """
+    signs = (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS, _LEAD)
+    c = np.frombuffer(b"\0" + signs + b"\0", np.uint8)
+    i = np.arange(len(c))
+    start = np.zeros(len(c), np.int64)
+    start[1:] = np.maximum.accumulate(np.where(c[:-1] == 0, i[:-1], 0))
+    deep = i - start
+    ok = (deep <= DEPTH) & ((c > 0) | (deep > 1))
+    ok[0] = False
+    sums = np.cumsum(np.where(ok, (c.astype(np.uint64) + np.uint64(1)) * _FACTORS[np.minimum(deep, DEPTH)], np.uint64(0)), dtype=np.uint64)
+    own = sums - sums[start]
+    above = np.where(deep > 1, np.concatenate([own[:1], own[:-1]]), np.uint64(0))
+    place = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
+    wide = np.concatenate([np.zeros(2, np.int32), c.astype(np.int32)])
+    last = (wide[:-2] * SIGNS + wide[1:-1]) * SIGNS + wide[2:]
+    return place(own[ok]), place(above[ok]), last[ok].astype(np.int32), len(signs)
+
+
+def _smoothed(counts: np.ndarray, low: np.ndarray, discount: float = 0.75) -> np.ndarray:
     """Interpolated absolute discounting of ``counts`` with ``low``, the next shorter order's probabilities."""
     m = counts.reshape(-1, SIGNS).astype(np.float64)
     low = np.tile(low.reshape(-1, SIGNS), (len(m) // (low.size // SIGNS), 1))
     total, kinds = m.sum(1, keepdims=True), (m > 0).sum(1, keepdims=True)
-    return np.where(total > 0, (np.maximum(m - DISCOUNT, 0) + DISCOUNT * kinds * low) / np.maximum(total, 1), low).ravel()
-
-
-def log_ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """log P(sign | three before, toxic) - the same of ordinary text, for every gram."""
-    seen = [(ordinary + toxic) > 0]
-    while seen[-1].size > SIGNS:
-        seen.append(seen[-1].reshape(SIGNS, -1).sum(0))  # in how many contexts the shorter gram stands
-    p = np.full(SIGNS, 1 / SIGNS)
-    for counts in reversed(seen[1:]):
-        p = _smoothed(counts, p)
-    return (np.log(_smoothed(toxic, p)) - np.log(_smoothed(ordinary, p))).astype(np.float32)
-
-
-def count_grams(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Counts of all grams by (fold, label) of ``rows`` (text, fold, label).
-
-    Each task sums its own rows; its non-zero counts are shuffled in 64 blocks and summed there. What reaches the
-    driver is at most ``SIZE`` numbers for each fold and label.
+    return np.where(total > 0, (np.maximum(m - discount, 0) + discount * kinds * low) / np.maximum(total, 1), low).ravel()
+
+
+class Counts:
+    """Occupied places (rising), the place above each, its last signs, and counts by fold and label."""
+
+    def __init__(self, at: np.ndarray, above: np.ndarray, last: np.ndarray, n: dict[tuple[int, int], np.ndarray]) -> None:
+        self.at, self.n = at, n
+        self.above = np.unique(above, return_inverse=True)[1] if len(above) else above
+        seen = [np.bincount(last, minlength=SIGNS**3)]
+        while seen[-1].size > SIGNS:
+            seen.append((seen[-1] > 0).reshape(SIGNS, -1).sum(0))
+        p = np.full(SIGNS, 1 / SIGNS)
+        for counts in reversed(seen):
+            p = _smoothed(counts, p)
+        self.low = p[last]
+
+    def of(self, label: int, leave: int | None = None) -> np.ndarray:
+        return sum((n for (f, y), n in self.n.items() if y == label and f != leave), np.zeros(len(self.at), np.int64)).astype(np.float64)
+
+    def ratios(self, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of log P(sign | word so far, toxic) - the same of ordinary text, where over ``STYLE``."""
+        both = [self.of(label, leave) for label in (0, 1)]
+        least = min(n.sum() for n in both)
+        logs = []
+        for n in both:
+            n = n * (least / max(n.sum(), 1))
+            total = np.bincount(self.above, weights=n)[self.above]
+            cut = np.bincount(self.above, weights=np.minimum(n, DISCOUNT))[self.above]
+            logs.append(np.log((np.maximum(n - DISCOUNT, 0) + (cut + SHARED) * self.low) / (total + SHARED)))
+        r = logs[1] - logs[0]
+        return self.at[r > STYLE], r[r > STYLE].astype(np.float32)
+
+
+def dense(sparse: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(SIZE, np.float32)
+    out[sparse[0]] = sparse[1]
+    return out
+
+
+def count_nodes(rows: DataFrame) -> Counts:
+    """Counts of all word beginnings of ``rows`` (text, fold, label).
+
+    Each task sums its own rows; its occupied places are shuffled in 64 blocks and summed there.
     """
+    keys = [(f, y) for f in (0, 2) for y in (0, 1)]
+    schema = pa.schema([("block", pa.int32()), *((k, pa.binary()) for k in ("at", "above", "last", *(f"n{f}{y}" for f, y in keys)))])
+    form = "block int, " + ", ".join(f"{k} binary" for k in schema.names[1:])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums = {k: np.zeros(SIZE, np.int32) for k in keys}
+        above, last = np.zeros(SIZE, np.int32), np.zeros(SIZE, np.int32)
         for b in batches:
             for text, fold, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = sums.setdefault((fold, label), np.zeros(SIZE, dtype=np.int64))
-                g = grams(text)
-                if len(g) > SIZE // 16:
-                    own += np.bincount(g, minlength=SIZE)
-                else:
-                    at, n = np.unique(g, return_counts=True)
-                    own[at] += n
-        out = []
-        for (fold, label), own in sums.items():
-            for block, part in enumerate(own.reshape(BLOCKS, -1)):
-                at = np.flatnonzero(part)
-                if len(at):
-                    out.append((fold, label, block, at.astype(np.int32).tobytes(), part[at].tobytes()))
-        yield from pa.Table.from_pydict({k: [r[i] for r in out] for i, k in enumerate(schema.names)}, schema=schema).to_batches()
-
-    schema = pa.schema([("fold", pa.int32()), ("label", pa.int32()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
-    form = "fold int, label int, block int, at binary, n binary"
+                at, up, end, _ = nodes(text)
+                np.add.at(sums[fold, label], at, 1)
+                above[at], last[at] = up, end
+        used = np.flatnonzero(sum((s > 0) for s in sums.values()))
+        step = SIZE // BLOCKS
+        for block in range(BLOCKS):
+            at = used[np.searchsorted(used, block * step) : np.searchsorted(used, (block + 1) * step)].astype(np.int32)
+            if len(at):
+                yield pa.RecordBatch.from_pylist([{"block": block, "at": at.tobytes(), "above": above[at].tobytes(), "last": last[at].tobytes(), **{f"n{f}{y}": sums[f, y][at].tobytes() for f, y in keys}}], schema=schema)
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(SIZE // BLOCKS, dtype=np.int64)
-        for at, n in zip(part["at"], part["n"], strict=True):
-            own[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
-        at = np.flatnonzero(own)
-        return pd.DataFrame([(part["fold"].iloc[0], part["label"].iloc[0], part["block"].iloc[0], at.astype(np.int32).tobytes(), own[at].tobytes())], columns=schema.names)
+        whole = {k: np.concatenate([np.frombuffer(x, np.int32) for x in part[k]]) for k in schema.names[1:]}
+        at, where = np.unique(whole["at"], return_inverse=True)
+        out = {"block": part["block"].iloc[0], "at": at.tobytes()}
+        for k in ("above", "last"):  # two word beginnings may share a place; the larger stands for both, whatever the order
+            most = np.zeros(len(at), np.int32)
+            np.maximum.at(most, where, whole[k])
+            out[k] = most.tobytes()
+        out |= {k: np.bincount(where, weights=whole[k], minlength=len(at)).astype(np.int64).tobytes() for k in schema.names[4:]}
+        return pd.DataFrame([out])
 
-    found: dict[tuple[int, int], np.ndarray] = {}
-    for r in rows.select("text", "fold", "label").mapInArrow(local, form).groupBy("fold", "label", "block").applyInPandas(total, form).collect():
-        own = found.setdefault((r["fold"], r["label"]), np.zeros(SIZE, dtype=np.int64))
-        own[r["block"] * (SIZE // BLOCKS) + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
-    return found
+    got = rows.select("text", "fold", "label").mapInArrow(local, form).groupBy("block").applyInPandas(total, form).orderBy("block").collect()
+    join = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in got] or [np.zeros(0, kind)])
+    return Counts(join("at", np.int32), join("above", np.int32), join("last", np.int32), {(f, y): join(f"n{f}{y}", np.int64) for f, y in keys})
 
 
-def normalised(g: np.ndarray, ratios: np.ndarray) -> float:
-    return float(ratios[g].sum(dtype=np.float64)) / (len(g) + PRIOR)
+def normalised(text: str | None, ratios: np.ndarray) -> float:
+    at, _, _, n = nodes(text)
+    return float(ratios[at].sum(dtype=np.float64)) / (n + PRIOR)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -141,32 +183,31 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_
     return rows.join(small_or_shuffled(known), "doc_id").select("text", remainder("doc_id").cast("int").alias("fold"), "label")
 
 
-def fit(rows: DataFrame) -> tuple[np.ndarray, float, float]:
+def fit(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], float, float]:
     """Log ratios, and slope and intercept of the calibration.
 
     The calibration uses scores of each fold under counts of the other, so that no text is scored by counts of its
     own; scores are gathered as a histogram. With one fold only, or one label only, scores are flat at the share of
     label 1 (a half where nothing is labelled).
     """
-    zero = np.zeros(SIZE, dtype=np.int64)
-    counts = count_grams(rows)
-    folds = sorted({f for f, _ in counts})
-    got = lambda label, leave=None: sum((c for (f, y), c in counts.items() if y == label and f != leave), zero)
-    whole = log_ratios(got(0), got(1))
-    if len(folds) < 2 or not got(0).any() or not got(1).any():
+    counts = count_nodes(rows)
+    folds = [f for f in (0, 2) if any(counts.n[f, y].any() for y in (0, 1))]
+    if any(not counts.of(y, leave).any() for y in (0, 1) for leave in folds) or len(folds) < 2:
         share = rows.agg(F.avg("label")).first()[0]
         share = min(max(0.5 if share is None else share, 0.01), 0.99)
-        return np.zeros(SIZE, dtype=np.float32), 0.0, float(np.log(share / (1 - share)))
-    crossed = {f: log_ratios(got(0, f), got(1, f)) for f in folds}
+        return (np.zeros(0, np.int32), np.zeros(0, np.float32)), 0.0, float(np.log(share / (1 - share)))
+    crossed = {f: counts.ratios(f) for f in folds}
+    whole = counts.ratios()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = {f: dense(r) for f, r in crossed.items()}
         for b in batches:
             texts, fold, label = (c.to_pylist() for c in b.columns)
-            s = np.array([normalised(grams(t), crossed[f]) for t, f in zip(texts, fold, strict=True)], dtype=np.float64)
+            s = np.array([normalised(t, full[f]) for t, f in zip(texts, fold, strict=True)], dtype=np.float64)
             bins = np.clip((s + _SPAN) * (_BINS / (2 * _SPAN)), 0, _BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(label, pa.int32())], names=["bin", "label"])
 
-    h = rows.select("text", "fold", "label").mapInArrow(score, "bin int, label int").groupBy("bin", "label").count().toPandas()
+    h = rows.select("text", "fold", "label").mapInArrow(score, "bin int, label int").groupBy("bin", "label").count().orderBy("bin", "label").toPandas()
     x = (h["bin"].to_numpy() + 0.5) * (2 * _SPAN / _BINS) - _SPAN
     return (whole, *logistic(x, h["label"].to_numpy(dtype=np.float64), h["count"].to_numpy(dtype=np.float64)))
 
@@ -181,8 +222,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id: str =
     ratios, slope, intercept = fit(labelled(docs, labels, "toxic", doc_id, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = dense(ratios)
         for b in batches:
-            s = np.array([normalised(grams(t.as_py()), ratios) for t in b.column(2)], dtype=np.float64)
+            s = np.array([normalised(t.as_py(), full) for t in b.column(2)], dtype=np.float64)
             p = 1 / (1 + np.exp(-np.clip(slope * s + intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
