@@ -60,16 +60,17 @@ def _cut(bins: DataFrame, prior: str | None) -> DataFrame:
     return summed.where((F.col("upto") - F.col("n") < F.col("rest")) & (F.col("rest") < F.col("upto"))).select("source", "bin", (F.col("upto") - F.col("n")).alias("before"))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source", whole_rows: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: a row for each row of ``docs``.
 
     ``taken`` is the words that the mix takes of a document: whole epochs, and once more if it is drawn for the
     fraction that is left; of a source they differ from the target by half a document at most. A null text has no
     words; null sources are a source; null ids draw one key; repeated rows are taken one by one, ties in keys by id and
-    size. A source without words has target 0. An empty table gives an empty result. Columns named in ``keep`` ride along.
+    size. A source without words has target 0. An empty table gives an empty result. With ``whole_rows`` a
+    struct ``row`` of all columns of ``docs`` comes along; else other columns are left out.
     """
     key = -F.log(uniform(F.col(doc_id), seed)) / quality_weight(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"), *[F.col(k).alias(f"keep_{k}") for k in keep])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"), *([F.struct("*").alias("row")] if whole_rows else []))
     place = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * float(BINS * BINS)), F.lit(BINS * BINS - 1))
     rows = rows.withColumn("bin1", F.floor(place / BINS).cast("int")).withColumn("bin2", (place % BINS).cast("int"))
     rows = write_shared(rows, "sized")
@@ -99,7 +100,14 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     other = by_source(by_source(told.where(~last), bins, "left"), inner, "left")
     other = other.withColumn("more", F.coalesce(F.col("bin1") <= F.col("whole"), F.lit(False)) | F.coalesce((F.col("bin1") == F.col("cut1")) & (F.col("bin2") <= F.col("whole2")), F.lit(False))).drop("whole", "whole2")
     taken = F.col("size") * (F.col("epochs") + F.col("more").cast("long"))
-    return ordered.unionByName(other).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"keep_{k}").alias(k) for k in keep])
+    return ordered.unionByName(other).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(["row"] if whole_rows else []))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it is taken. Rows without words are not."""
+    taken = mix(docs, whole_rows=True, **how).where("taken > 0")
+    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    return taken.select("row", F.explode(times).alias("time")).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import held_out, learnable, remainder, table, write_shared
 from tidewheel.llm.quality_rules import STOP_WORDS
+from tidewheel.llm.toxicity import labelled
 
 COMPONENTS, BANDWIDTH, RIDGE, SEED = 192, 3.0, 1.0, 23
 BINS, CUT = 1000, 0.5
@@ -49,7 +50,7 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
@@ -166,5 +167,26 @@ def scored(rows: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects. Reads labelled texts to fit, then all; no shuffle of text
+    but to find the labelled ones if labels are too many to broadcast. Without labels all rows stay."""
+    rows = labelled(docs, labels, "quality")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pa.array([statistics(t.as_py()) for t in b.column(0)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([x, b.column(1), b.column(2)], names=["x", "fold", "label"])
+
+    model = fit(write_shared(rows.mapInArrow(measure, "x array<double>, fold int, label int"), "labelled"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t.as_py()) for t in b.column(at)], dtype=np.float64).reshape(-1, len(STATISTICS))
+            yield b.filter(pa.array(model.score(x) >= cut))
+
+    return docs if model is None else docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,5 +1,6 @@
 """The corpus operators as queries, with DuckDB SQL where it can express them."""
 
+from tidewheel.llm.ann import op3_ann
 from tidewheel.llm.language_id import op2_language_id
 from tidewheel.llm.mixing import OP9_SQL, op9_mixing
 from tidewheel.llm.packing import op10_packing
@@ -13,6 +14,7 @@ from tidewheel.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
+    "op3_ann": op3_ann,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import table, write_shared
+from tidewheel.llm.common import small_or_shuffled, table, write_shared
 from tidewheel.llm.quality_rules import bind
 
 SCOPE = 240
@@ -94,21 +94,24 @@ def linked(parts: DataFrame, scope: int) -> DataFrame:
     return met.where("by_strong OR roles = 2").select("key", "start", "kind", "end")
 
 
-def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and ``found``: an array of (start, kind, end), by start and kind, for each row of ``docs``.
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))
+
+
+def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ``key``, ``base`` and ``found``: arrays of (start, kind, end), by start and kind, for each row of ``docs``.
 
     Offsets are code points of the whole text, ends exclusive; ``kind`` indexes ``KINDS``. A null or empty text has no
     span. Rows are told apart by id and text, so repeated rows get equal results; null ids are kept. An empty table
     gives an empty result. Columns named in ``keep`` ride along; others, whatever their names, are left out.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), t)
     kinds = [spans_of(F.col("t"), i).alias(f"k{i}") for i in range(len(KINDS))]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), t.alias("t"), *[F.col(k).alias(f"keep_{k}") for k in keep])
-    rows = rows.select("doc_id", "key", *[F.col(f"keep_{k}") for k in keep], *kinds)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), t.alias("t"))
+    rows = rows.select("doc_id", "key", *kinds)
     strong = F.flatten(F.array(*[F.col(f"k{i}") for i, k in enumerate(KINDS) if k.strong]))
     weak = F.flatten(F.array(*[F.col(f"k{i}") for i, k in enumerate(KINDS) if not k.strong]))
-    rows = write_shared(rows.select("doc_id", "key", *[F.col(f"keep_{k}") for k in keep], strong.alias("strong"), weak.alias("weak")), "parts")
+    rows = write_shared(rows.select("doc_id", "key", strong.alias("strong"), weak.alias("weak")), "parts")
     # one row of each text that has a weak part beside others
     several = rows.where((F.size("weak") > 0) & (F.size("weak") + F.size("strong") > 1)).groupBy("key").agg(F.first("strong").alias("strong"), F.first("weak").alias("weak"))
     parts = several.select("key", F.explode(F.concat("strong", "weak")).alias("p")).select("key", "p.*")
@@ -118,7 +121,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
     plain = rows.where(~able).withColumn("more", F.array().cast(f"array<{SPAN}>"))
     joined = rows.where(able).join(more, "key", "left").withColumn("more", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
     both = plain.unionByName(joined)
-    return both.select("doc_id", F.sort_array("strong").alias("base"), F.sort_array(F.concat("strong", "more")).alias("found"), *[F.col(f"keep_{k}").alias(k) for k in keep])
+    return both.select("doc_id", "key", F.sort_array("strong").alias("base"), F.sort_array(F.concat("strong", "more")).alias("found"))
 
 
 def written(spans: Column) -> Column:
@@ -133,6 +136,16 @@ def redact(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span found in ``text`` replaced. Texts are shuffled only if those with spans are many."""
+    found = scan(docs).where(F.size("found") > 0).select("key", "found").dropDuplicates(["key"]).withColumnsRenamed({"key": "tw_key", "found": "tw_found"})
+    found = write_shared(found, "found")
+    key = row_key(F.col("doc_id"), F.col("text"))
+    marked = docs.join(small_or_shuffled(found, 200_000), key == F.col("tw_key"), "left")
+    text = F.when(F.col("tw_found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("tw_found")))
+    return marked.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")

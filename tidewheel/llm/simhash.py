@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import table, write_shared
+from tidewheel.llm.common import small_or_shuffled, table, write_shared
 from tidewheel.llm.components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 3, 3
@@ -53,15 +53,15 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``fp`` (the 64 bits as a signed long), one row for each row of ``docs``."""
+    """doc_id, ``th`` (a hash of the text) and ``fp`` (the 64 bits as a signed long), a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(2)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -131,8 +131,9 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ``fp`` and ``component_id``: the smallest doc_id reachable over links, itself included.
+    """doc_id, ``th``, ``fp``, ``root`` and ``component_id``: the smallest doc_id reachable over links, itself included.
 
+    ``root`` is the class's least fingerprint, ``th`` a hash of the text (which tells rows of one id apart).
     One row for each row of ``docs``. Null and empty texts have fingerprint zero and are linked like any other; rows
     with a null id keep it, and take part in links (their class is null only if no row in it has an id). Repeated rows
     are classed alike. An empty table gives an empty result.
@@ -143,9 +144,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = connected_components(edges)  # node, root: only fingerprints that have a link
     named = comps.join(distinct, comps["node"] == distinct["fp"]).select("root", "fp", "rep")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(least, "root").select("fp", "component_id")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    linked = named.join(least, "root").select("fp", "root", "component_id")
+    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: the one of least id (null last), then text hash.
+
+    Texts are shuffled only if the rows that go are many.
+    """
+    found = write_shared(near_duplicates(docs), "classes")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("id1"), F.col("first.th").alias("th1"))
+    told = found.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("th") == F.col("th1")))
+    rows = told.groupBy(F.col("doc_id").alias("tw_id"), F.col("th").alias("tw_th")).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    odd = write_shared(rows.where("NOT stays OR times > 1"), "odd")  # the rows that go, and those that stay once of several
+    same = F.col("doc_id").eqNullSafe(F.col("tw_id")) & (F.xxhash64("text") == F.col("tw_th"))
+    plain = docs.join(small_or_shuffled(odd.select("tw_id", "tw_th")), same, "left_anti")
+    several = docs.join(small_or_shuffled(odd.where("stays")), same, "left_semi")
+    return plain.unionByName(several.withColumn("tw_th", F.xxhash64("text")).dropDuplicates(["doc_id", "tw_th"]).drop("tw_th"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
