@@ -245,7 +245,9 @@ def diff(e: Expr, i: int) -> Expr:
     match e.op:
         case "var":
             return lift(1.0 if e.value == i else 0.0)
-        case "const" | "lt" | "present" | "absent":
+        case "absent":
+            return absent
+        case "const" | "lt" | "present":
             return lift(0.0)
         case "+" | "-":
             return Expr(e.op, (d(a[0]), d(a[1])))

@@ -16,12 +16,19 @@ def raw(text: Column, precision: int) -> Column:
     """value * 10^precision as a long; fails if a digit would be lost. Trailing zeros are no digits."""
     if not -MOST <= precision <= MOST:
         raise ValueError(f"precision {precision} is not within {MOST}")
-    exact = F.btrim(text).cast("decimal(38,18)")
-    scaled = exact * F.lit(10**precision).cast("decimal(19,0)") if precision >= 0 else exact / F.lit(10**-precision).cast("decimal(19,0)")
-    whole = F.floor(scaled).cast("long")
-    back = whole.cast("decimal(38,0)")
-    lost = F.raise_error(F.concat(F.lit(f"digits lost at precision {precision}: "), text)).cast("long")
-    return F.when(text.isNull(), F.lit(None).cast("long")).when(scaled == back, whole).otherwise(lost)
+    t = F.btrim(text)
+    form = r"^([+-]?)(\d+)(?:\.(\d*))?$"
+    sign, whole, part = (F.regexp_extract(t, form, i) for i in (1, 2, 3))
+    part = F.regexp_replace(part, "0+$", "")
+    if precision >= 0:
+        fits, digits = F.length(part) <= precision, F.concat(whole, F.rpad(part, precision, "0"))
+    else:
+        fits = (part == "") & (F.regexp_like(whole, F.lit(f"0{{{-precision}}}$")) | F.regexp_like(whole, F.lit("^0+$")))
+        digits = F.regexp_replace(whole, f"0{{{-precision}}}$", "")
+    good = F.regexp_like(t, F.lit(form)) & fits
+    value = F.concat(sign, F.when(digits == "", "0").otherwise(digits)).cast("long")
+    lost = F.raise_error(F.concat(F.lit(f"no number, or digits lost at precision {precision}: "), text)).cast("long")
+    return F.when(text.isNull(), F.lit(None).cast("long")).when(good, value).otherwise(lost)
 
 
 def decoded(value: Column, precision: int) -> Column:

@@ -85,7 +85,8 @@ def with_carry(deltas: DataFrame, block: int) -> DataFrame:
     until = F.lead("tw_block").over(Window.partitionBy("sym", "side", "price_raw").orderBy("tw_block"))
     held = nets.withColumn("until", until).where("qty_raw > 0").join(later, "sym")
     held = held.select("sym", "side", "price_raw", "qty_raw", F.explode(F.filter("blocks", lambda x: (x > F.col("tw_block")) & F.coalesce(x <= F.col("until"), F.lit(True)))).alias("tw_block"))
-    return rows.unionByName(held.withColumn("carry", F.lit(1)), allowMissingColumns=True)
+    held = held.withColumns({"carry": F.lit(1), "seq": F.lit(-1).cast("long"), "ts": F.lit(0).cast("long")})  # no nulls: they would make doubles of nanoseconds
+    return rows.unionByName(held, allowMissingColumns=True)
 
 
 def top(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame:
@@ -95,7 +96,7 @@ def top(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame:
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["carry", "seq"], ascending=[False, True], na_position="first")
+        part = part.sort_values(["carry", "seq"], ascending=[False, True])
         book, out = Sides(), []
         for carry, seq, ts, side, price, qty in part[["carry", "seq", "ts", "side", "price_raw", "qty_raw"]].itertuples(index=False):
             book.set(int(side), int(price), int(qty))

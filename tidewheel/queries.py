@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import expr as E
 from tidewheel.functions.precision import pair, raw
-from tidewheel.operators import book, control, recurrences, sampling, series, strategy
+from tidewheel.operators import book, control, recurrences, sampling, series, shadow, strategy
 from tidewheel.operators.series import bars
+from tidewheel.plans import observe
 from tidewheel.plans import weave as W
+from tidewheel.plans.graph import Graph, buffering, gating, node
+from tidewheel.plans.graph import sampling as sampling_of
+from tidewheel.plans.reach import by, elems
 from tidewheel.sources import lanes
 from tidewheel.sources.lanes import DAY, HOUR, SQL
 
@@ -418,8 +422,9 @@ def mock_ohlc_26(spark, sf_dir):
     return series.mock_ohlc(lanes.trades(spark, sf_dir), 26)
 
 
-_X = [F.col("a"), F.col("b")]
+_X = ("a", "b")
 _KERNEL = E.square(E.var(0) + E.var(1)) + E.abs_(E.var(0) - 1.0) / E.select(E.gt(E.var(1), 3.0), E.var(1), E.absent) + E.max_(E.var(0), E.or_(E.sqrt(E.var(1) - 2.0), 0.0))
+#: Values are compared in sevenths: a decimal would often lie on the edge that rounding cuts at.
 _AB = "SELECT seq, price_raw/100.0 AS a, CAST(qty_raw AS DOUBLE) AS b FROM trades"
 
 
@@ -427,17 +432,17 @@ def _ab(spark, sf_dir) -> DataFrame:
     return lanes.trades(spark, sf_dir).select("seq", (F.col("price_raw") / 100.0).alias("a"), F.col("qty_raw").cast("double").alias("b"))
 
 
-@query(f"WITH {_t('trades')}, x AS ({_AB}) SELECT seq, round((a+b)*(a+b) + abs(a-1)/CASE WHEN b > 3 THEN b END + greatest(a, coalesce(CASE WHEN b >= 2 THEN sqrt(b-2) END, 0)), 4) AS value FROM x")
+@query(f"WITH {_t('trades')}, x AS ({_AB}) SELECT seq, round(((a+b)*(a+b) + abs(a-1)/CASE WHEN b > 3 THEN b END + greatest(a, coalesce(CASE WHEN b >= 2 THEN sqrt(b-2) END, 0)))/7.0, 6) AS value FROM x")
 def expr_eval(spark, sf_dir):
-    return _ab(spark, sf_dir).select("seq", F.round(E.to_column(_KERNEL, _X), 4).alias("value"))
+    return _ab(spark, sf_dir).select("seq", r6(E.to_column(_KERNEL, [F.col(c) for c in _X]) / 7.0).alias("value"))
 
 
 @query(f"""WITH {_t('trades')}, x AS ({_AB}), y AS (SELECT *, CASE WHEN b >= 2 THEN sqrt(b-2) END AS s FROM x)
-SELECT seq, round(2*(a+b) + CASE WHEN a > 1 THEN 1.0 WHEN a < 1 THEN -1.0 END / CASE WHEN b > 3 THEN b END + CASE WHEN coalesce(s, 0) < a THEN 1.0 ELSE 0.0 END, 4) AS d_a,
- round(2*(a+b) - abs(a-1)/(CASE WHEN b > 3 THEN b*b END) + CASE WHEN coalesce(s, 0) < a THEN 0.0 WHEN s IS NULL THEN 0.0 WHEN s = 0 THEN NULL ELSE 1/(2*s) END, 4) AS d_b FROM y""")
+SELECT seq, round((2*(a+b) + CASE WHEN a > 1 THEN 1.0 WHEN a < 1 THEN -1.0 END / CASE WHEN b > 3 THEN b END + CASE WHEN coalesce(s, 0) < a THEN 1.0 ELSE 0.0 END)/7.0, 6) AS d_a,
+ round((2*(a+b) - abs(a-1)/(CASE WHEN b > 3 THEN b*b END) + CASE WHEN coalesce(s, 0) < a THEN 0.0 WHEN s IS NULL THEN 0.0 WHEN s = 0 THEN NULL ELSE 1/(2*s) END)/7.0, 6) AS d_b FROM y""")
 def expr_grad(spark, sf_dir):
-    d = [E.to_column(E.simplify(E.diff(_KERNEL, i)), _X) for i in (0, 1)]
-    return _ab(spark, sf_dir).select("seq", F.round(d[0], 4).alias("d_a"), F.round(d[1], 4).alias("d_b"))
+    d = [E.to_column(E.simplify(E.diff(_KERNEL, i)), [F.col(c) for c in _X]) for i in (0, 1)]
+    return _ab(spark, sf_dir).select("seq", r6(d[0] / 7.0).alias("d_a"), r6(d[1] / 7.0).alias("d_b"))
 
 
 @query("SELECT event_id, CAST(CAST(round(value, 2) AS DECIMAL(18,2)) * 10000 AS BIGINT) AS raw FROM events")
@@ -477,3 +482,71 @@ def episodes(spark, sf_dir):
 @query()
 def latch(spark, sf_dir):
     return control.latch(lanes.trades(spark, sf_dir).select("sym", "seq", (F.col("price_raw") > 9000).alias("trigger")), 5)
+
+
+_CHANGE_OF_4 = E.select(E.gt(E.abs_(E.var(0)), 0.0), (E.var(3) - E.var(0)) / E.var(0) * 100.0, E.absent)
+
+
+@query(f"""WITH {_t('trades')}, {_bars('b', HOUR)}, x AS (SELECT sym, ts_close, CAST(close AS DOUBLE) AS z, CAST(lag(close, 3) OVER (PARTITION BY sym ORDER BY ts_close) AS DOUBLE) AS a, lag(close, 2) OVER (PARTITION BY sym ORDER BY ts_close) AS k FROM b)
+SELECT sym, ts_close, round((z - a)/a*100.0, 6) AS value, round(-z/(a*a)*100.0*1000.0, 6) AS d_oldest, round(100.0/a*1000.0, 6) AS d_newest FROM x""")
+def jacobian_block(spark, sf_dir):
+    rows = observe.block(_b(spark, sf_dir).withColumn("close", F.col("close").cast("double")), _CHANGE_OF_4, "close", 4)
+    at = lambda i: F.round(F.get("jac", F.lit(i)) * 1000.0, 6)
+    return rows.select("sym", "ts_close", r6("value").alias("value"), at(0).alias("d_oldest"), at(3).alias("d_newest"))
+
+
+@query(f"""WITH {_t('trades')}, {_bars('b', HOUR)}, {_momentum('m', 'b', 25)}, {_ROLLING}
+SELECT 'momentum' AS node, count(momentum) AS fires, count(*) - count(momentum) AS skips FROM m UNION ALL SELECT 'rolling_vol', count(rolling_vol), count(*) - count(rolling_vol) FROM v""")
+def fires_census(spark, sf_dir):
+    b = _b(spark, sf_dir)
+    return observe.census({"momentum": (series.momentum(b, 25), "momentum"), "rolling_vol": (series.rolling_vol(b, 24), "rolling_vol")})
+
+
+def messages(deltas: DataFrame) -> DataFrame:
+    """Venue messages of five changes each; each twentieth is a snapshot, each seventh follows a gap."""
+    n = F.row_number().over(by("seq")) - 1
+    rows = deltas.withColumn("m", F.floor(n / 5))
+    level = F.struct("seq", "side", "price_raw", "qty_raw")
+    got = rows.groupBy("sym", "m").agg(F.max("ts").alias("ts"), F.max("ts").alias("recv"), F.sort_array(F.collect_list(level)).alias("levels"))
+    return got.select("sym", "ts", "recv", (F.col("m") % 20 == 0).alias("snapshot"), (F.col("m") % 7 == 0).alias("gapped"), F.transform("levels", lambda x: F.struct(x["side"].alias("side"), x["price_raw"].alias("price_raw"), x["qty_raw"].alias("qty_raw"))).alias("levels"))
+
+
+@query()
+def shadow_book(spark, sf_dir):
+    return shadow.reconcile(messages(lanes.deltas(spark, sf_dir)))
+
+
+def strategy_graph() -> Graph:
+    """A small strategy as a declared graph: what it builds is what its outputs need."""
+
+    @node("trades")
+    def bars_1h(t):
+        return bars(t, HOUR)
+
+    @node("trades")
+    def bars_4h(t):
+        return bars(t, H4)
+
+    @node(buffering("bars_4h", elems(13)))
+    def sharpe(b):
+        return series.momentum(b, 13)
+
+    @node(buffering("bars_1h", elems(24)))
+    def volume(b):
+        return series.rolling_vol(b, 24)
+
+    @node("bars_1h", sampling_of("sharpe"))
+    def screener(b, m):
+        return sampling.sample(b, "emit_seq", {"momentum": (m, "emit_seq", "momentum")}).withColumn("passes", control.decides(F.col("momentum") > 5.0))
+
+    @node(gating("screener"), "volume")
+    def hot_volume(gate, v):
+        return v.join(gate.where("passes").select("sym", "ts_close"), ["sym", "ts_close"], "left_semi")
+
+    return Graph(roots=("trades", "deltas"), nodes=(bars_1h, bars_4h, sharpe, volume, screener, hot_volume), outputs=("hot_volume",))
+
+
+@query(f"WITH {_t('trades')}, {_SAMPLED}, {_ROLLING} SELECT v.sym, v.ts_close, round(v.rolling_vol, 4) AS rolling_vol FROM v JOIN y ON v.sym = y.sym AND v.ts_close = y.ts_close WHERE y.momentum > 5.0")
+def graph_hot_volume(spark, sf_dir):
+    out = strategy_graph().build({"trades": lambda: lanes.trades(spark, sf_dir), "deltas": lambda: lanes.deltas(spark, sf_dir)})["hot_volume"]
+    return out.select("sym", "ts_close", F.round("rolling_vol", 4).alias("rolling_vol"))
