@@ -23,6 +23,8 @@ from tidewheel.llm.common import small_or_shuffled, table, write_shared
 RUN, RUN_WORDS = 3, 12
 #: Sentences of more words are cut after each word whose hash ends in three zero bits, or so many words.
 LONG, LONGEST = 16, 48
+#: Places of one run that a task takes; runs in all ranges that may be broadcast.
+SALT, FEW_RANGES = 2000, 500_000
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
@@ -88,12 +90,15 @@ def covered(found: DataFrame) -> DataFrame:
     ``found``: doc_id, th, h, n. The first is the least by doc_id, text hash, place.
     """
     distinct = found.select("doc_id", "th", "h", "n")
-    again = distinct.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    again = distinct.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     again = write_shared(again, "again")
     places = distinct.select("doc_id", "th", F.posexplode(F.arrays_zip("h", "n")).alias("at", "x")).select("doc_id", "th", "at", "x.h", "x.n")
-    places = write_shared(places.join(small_or_shuffled(again), "h", "left_semi"), "places")
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"))
-    later = places.join(first, "h").where(~F.struct("doc_id", "th", "at").eqNullSafe(F.col("first")))
+    places = write_shared(places.join(small_or_shuffled(again), "h").withColumn("salts", F.ceil(F.col("times") / SALT).cast("int")), "places")
+    first = places.groupBy("h", "salts").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"))
+    # a run that stands in very many texts is dealt over several tasks, each of which gets the run's first place
+    first = first.select("h", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.col("salts").cast("long")).cast("int"))
+    later = dealt.join(first, ["h", "salt"]).where(~F.struct("doc_id", "th", "at").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
 
 
@@ -109,7 +114,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     found = write_shared(_with_runs(rows), "runs")
     ranges = write_shared(covered(found.dropDuplicates(["doc_id", "th"])), "ranges")
     ranges = ranges.withColumnsRenamed({"doc_id": "id2", "th": "th2"})
-    marked = rows.join(small_or_shuffled(ranges, 100_000), rows["doc_id"].eqNullSafe(ranges["id2"]) & (rows["th"] == ranges["th2"]), "left").select("doc_id", "text", F.col("ranges.at").alias("at"), F.col("ranges.n").alias("n"))
+    few = (ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= FEW_RANGES
+    marked = rows.join(F.broadcast(ranges) if few else ranges.hint("merge"), rows["doc_id"].eqNullSafe(ranges["id2"]) & (rows["th"] == ranges["th2"]), "left").select("doc_id", "text", F.col("ranges.at").alias("at"), F.col("ranges.n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
