@@ -112,13 +112,19 @@ def top(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame:
     return rows.groupBy("sym", "tw_block").applyInPandas(fold, "sym int, seq long, ts long, bid long, ask long, bid_depth long, ask_depth long")
 
 
+def measures(tops: DataFrame) -> DataFrame:
+    """sym, seq, ts, spread (per cent of the bid), imbalance (of depths; 0 where there is none)."""
+    total = F.col("bid_depth") + F.col("ask_depth")
+    share = F.when(total == 0, 0.0).otherwise((F.col("bid_depth") - F.col("ask_depth")) / F.nullif(total, F.lit(0)))
+    return tops.select("sym", "seq", "ts", ((F.col("ask") - F.col("bid")) / F.nullif(F.col("bid"), F.lit(0)) * 100.0).alias("spread"), share.alias("imbalance"))
+
+
 def spread(tops: DataFrame) -> DataFrame:
-    return tops.select("sym", "seq", "ts", ((F.col("ask") - F.col("bid")) / F.expr("nullif(bid, 0)") * 100.0).alias("spread"))
+    return measures(tops).drop("imbalance")
 
 
 def imbalance(tops: DataFrame) -> DataFrame:
-    total = F.col("bid_depth") + F.col("ask_depth")
-    return tops.select("sym", "seq", "ts", F.when(total == 0, 0.0).otherwise((F.col("bid_depth") - F.col("ask_depth")) / F.expr("nullif(bid_depth + ask_depth, 0)")).alias("imbalance"))
+    return measures(tops).drop("spread")
 
 
 def checkpoints(deltas: DataFrame, cadence: int) -> DataFrame:

@@ -16,11 +16,13 @@ def sample(driver: DataFrame, order: str, series: dict[str, tuple[DataFrame, str
     Where both stand at one order the sampled series comes first (``before``).
     """
     cols = driver.columns
-    row = driver.select("sym", F.col(order).alias("tw_at"), F.lit(1).alias("tw_driver"), F.struct(*cols).alias("tw_row"))
-    kinds = {}
-    for name, (df, at, value) in series.items():
-        kinds[name] = df.schema[value].dataType
-        row = row.unionByName(df.where(F.col(value).isNotNull()).select("sym", F.col(at).alias("tw_at"), F.lit(0 if before else 2).alias("tw_driver"), F.col(value).alias(name)), allowMissingColumns=True)
+    rows = driver.select("sym", F.col(order).alias("tw_at"), F.lit(1).alias("tw_driver"), F.struct(*cols).alias("tw_row"))
+    together: dict[tuple[int, str], tuple[DataFrame, list[tuple[str, str]]]] = {}
+    for name, (df, at, value) in series.items():  # columns of one series come by one branch of the union
+        together.setdefault((id(df), at), (df, []))[1].append((name, value))
+    for (_, at), (df, values) in together.items():
+        some = df.where(F.coalesce(*[F.col(v).cast("string") for _, v in values]).isNotNull())
+        rows = rows.unionByName(some.select("sym", F.col(at).alias("tw_at"), F.lit(0 if before else 2).alias("tw_driver"), *[F.col(v).alias(n) for n, v in values]), allowMissingColumns=True)
     w = Window.partitionBy("sym").orderBy("tw_at", "tw_driver").rowsBetween(Window.unboundedPreceding, 0)
-    out = row.select("tw_driver", "tw_row", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in series])
+    out = rows.select("tw_driver", "tw_row", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in series])
     return out.where("tw_driver = 1").select("tw_row.*", *series)

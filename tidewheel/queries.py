@@ -351,6 +351,7 @@ def checkpoints_1d(spark, sf_dir):
 
 def _situation(spark, sf_dir) -> DataFrame:
     """What the traits read, sampled on hourly bars."""
+    tops = book.measures(_top(spark, sf_dir))
     t = lanes.trades(spark, sf_dir)
     b = bars(t, HOUR)
     b = b.withColumn("vol_1m", F.col("vol") * F.col("close") / 100.0)
@@ -363,8 +364,8 @@ def _situation(spark, sf_dir) -> DataFrame:
         "change_3m": (series.change(b, H4).withColumnRenamed("change", "change_3m"), "emit_seq", "change_3m"),
         "change_1d": (series.change(b, DAY).withColumnRenamed("change", "change_1d"), "emit_seq", "change_1d"),
         "vol_1h": (series.vol_usd(bars(t, DAY)).withColumnRenamed("vol_usd", "vol_1h"), "emit_seq", "vol_1h"),
-        "spread": (book.spread(_top(spark, sf_dir)), "seq", "spread"),
-        "imbalance": (book.imbalance(_top(spark, sf_dir)), "seq", "imbalance"),
+        "spread": (tops, "seq", "spread"),
+        "imbalance": (tops, "seq", "imbalance"),
     }
     return sampling.sample(b.select("sym", "ts_close", "emit_seq", "vol_1m"), "emit_seq", levels)
 
