@@ -12,7 +12,6 @@ pairs of parts, however many a text has.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
