@@ -243,3 +243,27 @@ def test_graph():
     with pytest.raises(graph.GraphError):
         _graph(nodes=(node("src", gating("src"))(lambda *a: a),), outputs=("<lambda>",))
     assert str(sampling("x")) == "sampling(x)"
+
+
+def test_clock(spark):
+    from pyspark.sql import functions as F
+
+    from tidewheel.functions import clock
+
+    one = spark.range(1)
+    at = lambda x, step: one.select(clock.cell_end(F.lit(x), step)).first()[0]
+    assert [at(x, 10) for x in (0, 9, 10, -1, -10)] == [9, 9, 19, -1, -1] and at(5, 0) == 5
+    assert at(clock.MAX - 3, 10) == clock.MAX and at(5, clock.MAX) == clock.MAX - 1
+    assert at(clock.MIN, 10) == clock.MIN + 9
+    assert one.select(clock.floor(F.lit(-1), 10)).first()[0] == -10
+    assert clock.actor("ts_local_recv") == "local"
+    with pytest.raises(ValueError):
+        clock.between("ts_local_recv", "ts_venue_exec")
+
+
+def test_days_are_ingested_once(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    day = spark.createDataFrame([(i * 5 * lanes.MINUTE, None, None, float(i)) for i in range(288)], lanes.LANES["oi"])
+    assert c.ensure_day("oi", "a", 0, lambda: day, expected=288) and not c.ensure_day("oi", "a", 0, lambda: 1 / 0)
+    with pytest.raises(CatalogError):
+        c.ensure_day("oi", "b", 0, lambda: day.limit(3), expected=288)

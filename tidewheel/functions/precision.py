@@ -60,6 +60,29 @@ def pair(text: Column) -> tuple[Column, Column]:
     return pick(1), pick(2)
 
 
+#: What a symbol's instrument adds to its pair.
+INSTRUMENTS = {"Spot": "", "Perp": ".P", "Margin": ".M", "PerpInverse": ".PERP_INVERSE", "Options": ".OPTIONS"}
+
+
+def symbol(text: Column) -> tuple[Column, Column, Column]:
+    """Base, quote and instrument of a symbol such as ``BTC-USDT.P``; all null if it is none."""
+    suffix = F.regexp_extract(F.upper(F.btrim(text)), r"(\.[A-Z_]+)?$", 0)
+    kind = F.coalesce(*[F.when(suffix == mark, F.lit(name)) for name, mark in INSTRUMENTS.items()])
+    base, quote = pair(F.regexp_replace(F.btrim(text), r"\.[A-Za-z_]+$", ""))
+    good = kind.isNotNull() & base.isNotNull()
+    return F.when(good, base), F.when(good, quote), F.when(good, kind)
+
+
+def ticker(base: Column, quote: Column, instrument: Column | None = None, venue: str | None = None) -> Column:
+    """A pair as written: ``BASE-QUOTE`` and the instrument's mark, or in a venue's way."""
+    if venue in ("binance", "bybit"):
+        return F.concat(base, quote)
+    if venue == "mexc":
+        return F.concat(base, F.lit("_"), quote)
+    mark = F.lit("") if instrument is None else F.coalesce(*[F.when(instrument == name, F.lit(m)) for name, m in INSTRUMENTS.items()])
+    return F.concat(base, F.lit("-"), quote, mark)
+
+
 def usd(text: Column) -> Column:
     """An amount with an optional ``$`` and thousands marks, as a double; null if it is none."""
     bare = F.regexp_replace(F.btrim(text), r"[$,_\s]", "")

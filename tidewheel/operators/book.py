@@ -112,6 +112,31 @@ def top(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame:
     return rows.groupBy("sym", "tw_block").applyInPandas(fold, "sym int, seq long, ts long, bid long, ask long, bid_depth long, ask_depth long")
 
 
+def view_changes(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame:
+    """sym, seq, ts, side, price_raw, qty_raw: what each change does to the view of the best ``depth`` levels of a side.
+
+    A level that leaves the view is deleted (quantity 0) though the book may still hold it; one that enters is set.
+    """
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["carry", "seq"], ascending=[False, True])
+        start = part[part["carry"] == 1]
+        book = Sides(zip(*(start[c].astype(int) for c in ("side", "price_raw", "qty_raw")), strict=True))
+        look = lambda s: {p: book.qty[s][p] for p in book.best(s, depth)}
+        seen, out = [look(0), look(1)], []
+        for seq, ts, s, price, qty in part.loc[part["carry"] == 0, ["seq", "ts", "side", "price_raw", "qty_raw"]].itertuples(index=False):
+            book.set(int(s), int(price), int(qty))
+            view = look(s)
+            out += [(seq, ts, s, p, view.get(p, 0)) for p in sorted(seen[s].keys() | view.keys()) if seen[s].get(p, 0) != view.get(p, 0)]
+            seen[s] = view
+        frame = pd.DataFrame(out, columns=["seq", "ts", "side", "price_raw", "qty_raw"])
+        frame.insert(0, "sym", part["sym"].iloc[0])
+        return frame
+
+    rows = with_carry(deltas.select("sym", "seq", "ts", "side", "price_raw", "qty_raw"), block)
+    return rows.groupBy("sym", "tw_block").applyInPandas(fold, "sym int, seq long, ts long, side int, price_raw long, qty_raw long")
+
+
 def measures(tops: DataFrame) -> DataFrame:
     """sym, seq, ts, spread (per cent of the bid), imbalance (of depths; 0 where there is none)."""
     total = F.col("bid_depth") + F.col("ask_depth")

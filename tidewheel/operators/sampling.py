@@ -26,3 +26,8 @@ def sample(driver: DataFrame, order: str, series: dict[str, tuple[DataFrame, str
     w = Window.partitionBy("sym").orderBy("tw_at", "tw_driver").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select("tw_driver", "tw_row", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in series])
     return out.where("tw_driver = 1").select("tw_row.*", *series)
+
+
+def closed_by(driver: DataFrame, series: dict[str, tuple[DataFrame, str]], deadline: str = "ts_close") -> DataFrame:
+    """The last value of slower series that closed at or before each of the driver's deadlines: cut by closing time."""
+    return sample(driver, deadline, {name: (df, "ts_close", value) for name, (df, value) in series.items()})

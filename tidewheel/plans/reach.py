@@ -47,6 +47,21 @@ def by(order: str, part: str = "sym") -> WindowSpec:
     return Window.partitionBy(part).orderBy(order)
 
 
+def lagged(column: str, n: int, order: str = "ts_close", part: str = "sym") -> Column:
+    """The element n back."""
+    return F.lag(column, n).over(by(order, part))
+
+
+def fresh(step: str = "step_id", part: str = "sym") -> WindowSpec:
+    """This step's elements."""
+    return by(step, part).rangeBetween(0, 0)
+
+
+def past(step: str = "step_id", part: str = "sym") -> WindowSpec:
+    """All elements of the steps before."""
+    return by(step, part).rangeBetween(Window.unboundedPreceding, -1)
+
+
 def trailing(reach: Reach, ts: str = "ts_close", seq: str | None = None, part: str = "sym") -> tuple[WindowSpec, Column]:
     """The window that ends at each element, and whether it is complete.
 

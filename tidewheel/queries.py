@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import expr as E
-from tidewheel.functions.precision import pair, raw
+from tidewheel.functions.precision import pair, raw, symbol, ticker
 from tidewheel.operators import book, control, recurrences, sampling, series, shadow, strategy
 from tidewheel.operators.series import bars
 from tidewheel.plans import observe
@@ -330,6 +330,15 @@ def imbalance(spark, sf_dir):
     return book.imbalance(_top(spark, sf_dir)).withColumn("imbalance", r6("imbalance"))
 
 
+@query(_TOP + """, v AS (SELECT sym, seq, side, p, q FROM live WHERE k <= 20), o AS (SELECT sym, seq, ts, lag(seq) OVER (PARTITION BY sym ORDER BY seq) AS before FROM deltas),
+n AS (SELECT v.sym, v.seq, v.side, v.p, v.q FROM v), e AS (SELECT o.sym, o.seq, v.side, v.p, v.q FROM o JOIN v ON v.sym = o.sym AND v.seq = o.before),
+x AS (SELECT coalesce(n.sym, e.sym) AS sym, coalesce(n.seq, e.seq) AS seq, coalesce(n.side, e.side) AS side, coalesce(n.p, e.p) AS price_raw, coalesce(n.q, 0) AS qty_raw, coalesce(e.q, 0) AS was
+ FROM n FULL JOIN e ON n.sym = e.sym AND n.seq = e.seq AND n.side = e.side AND n.p = e.p)
+SELECT x.sym, x.seq, o.ts, x.side, x.price_raw, x.qty_raw FROM x JOIN o ON o.sym = x.sym AND o.seq = x.seq WHERE qty_raw <> was""")
+def book_view_changes(spark, sf_dir):
+    return book.view_changes(lanes.deltas(spark, sf_dir), DAY)
+
+
 @query(f"WITH {_t('deltas')} SELECT sym, seq, CAST(sum((1 - 2*side)*qty_raw) OVER (PARTITION BY sym ORDER BY seq) AS BIGINT) AS book_flow FROM deltas WHERE kind = 0")
 def book_flow(spark, sf_dir):
     return series.book_flow(lanes.deltas(spark, sf_dir), DAY)
@@ -349,6 +358,20 @@ def checkpoints_1d(spark, sf_dir):
     return book.checkpoints(lanes.deltas(spark, sf_dir), DAY)
 
 
+@query(f"WITH {_t('trades')}, {_bars('b', HOUR)}, {_bars('f', H4)} SELECT b.sym, b.ts_close, f.close AS slow_close FROM b ASOF LEFT JOIN f ON b.sym = f.sym AND b.ts_close >= f.ts_close")
+def closed_by(spark, sf_dir):
+    t = lanes.trades(spark, sf_dir)
+    return sampling.closed_by(bars(t, HOUR).select("sym", "ts_close"), {"slow_close": (bars(t, H4), "close")})
+
+
+@query("SELECT event_id, upper(event_type) || '-USDT' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.P' ELSE '.M' END AS ticker, CASE event_id % 3 WHEN 0 THEN 'Spot' WHEN 1 THEN 'Perp' ELSE 'Margin' END AS instrument FROM events")
+def symbol_parse(spark, sf_dir):
+    text = F.concat("event_type", F.lit("usdt"), F.element_at(F.array(F.lit(""), F.lit(".p"), F.lit(".M")), (F.col("event_id") % 3 + 1).cast("int")))
+    base, quote, kind = symbol(text)
+    rows = lanes.events(spark, sf_dir).select("event_id", base.alias("b"), quote.alias("q"), kind.alias("instrument"))
+    return rows.select("event_id", ticker(F.col("b"), F.col("q"), F.col("instrument")).alias("ticker"), "instrument")
+
+
 def _situation(spark, sf_dir) -> DataFrame:
     """What the traits read, sampled on hourly bars."""
     tops = book.measures(_top(spark, sf_dir))

@@ -86,6 +86,18 @@ class Catalog:
         self.spark.createDataFrame(entry, "lane string, sym string, ts_min long, ts_max long, n long, version string, precision string").coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         return True
 
+    def ensure_day(self, lane: str, sym: str, day: int, load, precision: dict[str, int] | None = None, expected: int | None = None) -> bool:
+        """Ingests one day by ``load()`` unless it is there; False if it was. ``expected`` rows or none at all.
+
+        288 five-minute buckets, say, make a day of open interest.
+        """
+        if self.listing(lane, sym, day * DAY, (day + 1) * DAY - 1):
+            return False
+        rows = load()
+        if expected is not None and (n := rows.count()) != expected:
+            raise CatalogError(f"{lane}/{sym}: day {day} has {n} rows, not {expected}")
+        return self.write(lane, sym, rows, precision)
+
     def read(self, lane: str, sym: str, start: int, end: int) -> DataFrame:
         """Rows whose axis is in [start, end]; folders and row groups outside are not read."""
         self.precision(lane, sym, start, end)
