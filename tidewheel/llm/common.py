@@ -69,5 +69,8 @@ def n_words(text: Column) -> Column:
 
 
 def small_or_shuffled(side: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """A hint to broadcast ``side`` if it has at most ``most`` rows (of a few numbers each); else it is shuffled."""
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    """A hint to broadcast ``side`` if it has at most ``most`` rows (of a few numbers each); else it is shuffled.
+
+    All rows are counted, in parallel: a limit would gather its rows in one task.
+    """
+    return F.broadcast(side) if side.count() <= most else side
