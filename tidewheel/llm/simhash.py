@@ -19,7 +19,7 @@ of a group of copies; exact copies of a fingerprint are one from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,12 +149,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: the one of least id (null last), then text hash.
 
-    Texts are shuffled only if the rows that go are many.
+    ``classes`` gives doc_id, ``th`` and ``root`` of each row. Texts are shuffled only if the rows that go are many.
     """
-    found = write_shared(near_duplicates(docs), "classes")
+    found = write_shared(classes(docs), "classes")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
     first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("id1"), F.col("first.th").alias("th1"))
     told = found.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("th") == F.col("th1")))
