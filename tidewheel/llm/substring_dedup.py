@@ -1,7 +1,9 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences, and sentences of many words further, where the content says so; every run of several
-consecutive ones is hashed. Runs are counted over all texts by hash alone, so what is shuffled first is a number for
+A text is cut into sentences, and sentences of many words further, by winnowing: after each word whose hash is the least
+of some ``WINDOW`` consecutive words of the sentence. The cuts at a word depend on the words within ``WINDOW`` of it
+only, and no part is longer, so any 50 words hold three whole units, cut alike wherever they stand; equal words are
+units of one word each, which need no alignment. Every run of several consecutive units is hashed. Runs are counted over all texts by hash alone, so what is shuffled first is a number for
 each run; only runs that repeat go on to find their first place. A sentence is removed if a run that is not the first
 of its hash covers it.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,38 @@ from tidewheel.llm.common import small_or_shuffled, table, write_shared
 
 #: Sentences of a run; words that a run must have (it takes in more sentences until it does).
 RUN, RUN_WORDS = 3, 12
-#: Sentences of more words are cut after each word whose hash ends in three zero bits, or so many words.
-LONG, LONGEST = 16, 48
+#: Sentences of more words are cut; of so many consecutive words of one, the word of least hash (the last such) ends a unit.
+LONG, WINDOW = 10, 6
 #: Places of one run that a task takes; runs in all ranges that may be broadcast.
 SALT, FEW_RANGES = 2000, 500_000
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Numbers of words up to each cut of a long sentence; the last is its end."""
+    hashes = list(map(_hash, words))
+    out, at, n = [], -1, len(hashes)
+    for end in range(WINDOW, n + 1):
+        new = end - 1
+        if at >= 0 and hashes[new] <= hashes[at]:
+            at = new
+        elif at < end - WINDOW or at < 0:
+            at = end - WINDOW
+            for i in range(at + 1, end):
+                if hashes[i] <= hashes[at]:
+                    at = i
+        else:
+            continue
+        out.append(at + 1)
+    return out if out and out[-1] == n else [*out, n]
+
+
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences, or parts of long ones, that make up ``text``.
 
@@ -48,14 +75,11 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         if len(words) <= LONG:
             out.append((at, end, words))
         else:
-            start, held = at, []
-            for m in _WORD.finditer(text, at, end):
-                held.append(m[0].rstrip().lower())
-                if len(held) >= LONGEST or not xxhash.xxh32_intdigest(held[-1]) & 7:
-                    out.append((start, m.end(), held))
-                    start, held = m.end(), []
-            if held:
-                out.append((start, end, held))
+            found = [(m.end(), m[0].rstrip().lower()) for m in _WORD.finditer(text, at, end)]
+            start, before = at, 0
+            for k in cuts([w for _, w in found]):
+                out.append((start, found[k - 1][0], [w for _, w in found[before:k]]))
+                start, before = found[k - 1][0], k
         at = end
     return out
 
