@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import ann, common, components, language_id, quality_classifier, simhash, substring_dedup, toxicity
+from tidewheel.llm import ann, common, components, language_id, quality_classifier, simhash, toxicity
 from tidewheel.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -107,42 +107,6 @@ def test_probe_order_is_by_rising_score():
     assert all(not (s[:4] & s[:3:-1]).any() for s in index.steps)
 
 
-def brute_dedup(rows):
-    seen, marks = {}, {}
-    for i, t in sorted(rows):
-        h, n = substring_dedup.runs(t)
-        for at, (a, k) in enumerate(zip(h, n, strict=True)):
-            if a in seen and seen[a] != (i, at):
-                marks.setdefault(i, set()).update(range(at, at + k))
-            seen.setdefault(a, (i, at))
-    return {i: "".join(t[s:e] for j, (s, e, _) in enumerate(substring_dedup.units(t)) if j not in marks.get(i, ())) for i, t in rows}
-
-
-def test_substring_dedup(spark):
-    r = random.Random(8)
-    words = [f"w{i}" for i in range(3000)]
-    sentence = lambda: " ".join(r.choices(words, k=r.randint(3, 30))) + "."
-    shared = [" ".join(sentence() for _ in range(6)) for _ in range(3)]
-    rows = []
-    for i in range(80):
-        parts = [sentence() for _ in range(12)]
-        if i % 3 == 0:
-            parts.insert(r.randint(0, 12), shared[i % 9 // 3])
-        rows.append((i, "\n".join(parts)))
-    rows += [(100, rows[0][1]), (101, "Only this."), (102, "Only this.")]
-    docs = table(spark, rows)
-    got = {x["doc_id"]: x for x in substring_dedup.dedup(docs).collect()}
-    want = brute_dedup(rows)
-    assert {i: x["text"] for i, x in got.items()} == want and got[100]["text"] == "" and got[102]["text"] == "" and got[101]["text"] == "Only this."
-    assert all(got[i]["n_removed"] >= 4 for i in range(9, 80, 3)) and got[0]["n_removed"] == 0 == got[1]["n_removed"]
-    for i, t in rows:
-        for s, e in (map(int, x.split(":")) for x in got[i]["removed"].split(",") if x):
-            t = t[:s] + "\0" * (e - s) + t[e:]
-        assert t.replace("\0", "") == got[i]["text"]
-    odd = {x["doc_id"]: x["text"] for x in substring_dedup.dedup(table(spark, ODD)).collect()}
-    assert odd[1] is None and odd[5] == "twice told tale" and substring_dedup.dedup(docs.where("false")).count() == 0
-
-
 def test_gradients_of_the_network():
     net = language_id.Network(["a", "b"], units=3)
     for k in net.p:
@@ -210,6 +174,63 @@ def test_toxicity_held_out(spark):
     assert {x["score"] for x in toxicity.toxicity(docs, none).collect()} == {0.5} and toxicity.toxicity(docs.where("false"), none).count() == 0
 
 
+def plain_ratios(docs, view):
+    """Word beginnings of (text, fold, label) to shrunken log ratios, and those of signs unseen after them, by dictionaries."""
+    from collections import Counter
+    from math import copysign, log
+
+    def beginnings(text):
+        signs = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in text.lower().encode())
+        return {w[: k + 1] for w in (x + b" " for x in signs.split()) for k in range(len(w))}
+
+    n = {y: Counter(b for t, f, label in docs if label == y and f != view for b in beginnings(t)) for y in (0, 1)}
+    pooled = Counter(b for t, _, _ in docs for b in beginnings(t))
+    ends = Counter(b[-1] for b in pooled)
+    low = {s: (c + 0.5) / (len(pooled) + 128) for s, c in ends.items()}
+    below = lambda c, h: [v for b, v in c.items() if b[:-1] == h]
+    shrunk = lambda x: copysign(max(abs(x) - toxicity.MARGIN, 0), x)
+    mu, d = toxicity.SHARED, toxicity.DISCOUNT
+    seen, unseen = {}, {}
+    for h in {b[:-1] for b in pooled}:
+        left = {y: (sum(min(v, d) for v in below(n[y], h)) + mu) / (sum(below(n[y], h)) + mu) for y in (0, 1)}
+        unseen[h] = shrunk(log(left[1] / left[0]))
+        for b in (b for b in pooled if b[:-1] == h):
+            share = (pooled[b] - 0.75 + (0.75 * len(below(pooled, h)) + 1) * low[b[-1]]) / (sum(below(pooled, h)) + 1)
+            p = [max(n[y][b] - d, 0) / (sum(below(n[y], h)) + mu) + left[y] * share for y in (0, 1)]
+            seen[b] = shrunk(log(p[1] / p[0]))
+    return lambda text: sum(seen.get(b, unseen.get(b[:-1], 0)) for b in beginnings(text)) / (len(beginnings(text)) + toxicity.PRIOR)
+
+
+@pytest.mark.parametrize("most", [toxicity.MOST, 0])  # 0: no table is sent to tasks, texts are joined to it
+def test_toxicity_by_the_letter(spark, monkeypatch, most):
+    monkeypatch.setattr(toxicity, "SHARED", 2.0)
+    monkeypatch.setattr(toxicity, "MARGIN", 0.05)
+    r = random.Random(3)
+    words = ["aab", "aac", "abcdefghij", "abcdefghix", "Straße", "7up", "b"]
+    docs = [(" ".join(r.choices(words, k=8)) + "!", (0, 2)[i % 2], int(i % 4 > 1)) for i in range(20)]
+    rows = spark.createDataFrame(docs, "text string, fold int, label int")
+    table_ = common.write_shared(toxicity.ratios(common.write_shared(toxicity.count_nodes(rows), "counts")), "ratios")
+    texts = [t for t, _, _ in docs] + ["", "new words abcdefghiz", "abcdefghix abcdefghix"]
+    for view, fold in (("whole", None), ("without0", 0), ("without2", 2)):
+        score = plain_ratios([d for d in docs], fold)
+        asked = spark.createDataFrame([(i, t, view) for i, t in enumerate(texts)], "i long, text string, view string")
+        got = {x["i"]: x["s"] for x in toxicity.scores(asked, table_, most).collect()}
+        assert len(got) == len(texts) and all(abs(got[i] - score(t)) < 1e-7 for i, t in enumerate(texts)), view
+
+
+def test_words_that_differ_late(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        text = r.choices(["aa", "bb", "cc", "dd"], k=40)
+        text[5] = text[20] = "abcdefghijkbad" if i % 4 == 0 else "abcdefghijkfine"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    odd = [(900, None), (None, "abcdefghijkbad"), (901, ""), (902, "abcdefghijkbad " * 20_000), (3, rows[3][1])]
+    got = [(x["doc_id"], x["predicted"]) for x in toxicity.toxicity(table(spark, rows + odd), _labels(spark, labels, "toxic")).collect()]
+    assert len(got) == 405 and np.mean([p == (i % 4 == 0) for i, p in got if i is not None and i < 400]) > 0.97
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,8 +1,12 @@
 """Repeated passages of fifty words, against plain windows of words and not against the operator's own units."""
 
 import random
+import re
 
-from tests.llm.test_models import table
+import pytest
+import xxhash
+
+from tests.llm.test_models import ODD, table
 from tidewheel.llm import substring_dedup
 
 
@@ -31,14 +35,78 @@ def test_fifty_words_lose_some_wherever_they_stand(spark):
     assert sum(got[i] > 0 for i, _ in rows if i not in repeats and i // 2 % 10 < 8) == 0
 
 
+def plain_units(text):
+    """Units as lists of words, by the letter of the definition."""
+    out, k = [], substring_dedup.WINDOW
+    for sentence in re.split(r"(?<=[.!?])\s+|\n\s*", text.lower()):
+        w = sentence.split()
+        h = [xxhash.xxh64_intdigest(x.encode()) for x in w]
+        stops = {len(w)}
+        if len(w) > substring_dedup.LONG:
+            stops |= {min(range(i, i + k), key=lambda j: (h[j], -j)) + 1 for i in range(len(w) - k + 1)}  # noqa: B023
+        before = 0
+        for at in sorted(stops) if w else ():
+            out.append(w[before:at])
+            before = at
+    return out
+
+
+def brute_dedup(rows):
+    """Removed units of each (id, text) by comparing words, with no hash of runs."""
+    seen, gone = {}, {}
+    for i, t in sorted(rows):
+        units = plain_units(t)
+        gone[i] = set()
+        for at in range(len(units)):
+            end = at + substring_dedup.RUN
+            while end <= len(units) and sum(map(len, units[at:end])) < substring_dedup.RUN_WORDS:
+                end += 1
+            if end > len(units):
+                if at or not units:
+                    break
+                end = len(units)
+            words = tuple(x for u in units[at:end] for x in u)
+            if seen.setdefault(words, (i, at)) != (i, at):
+                gone[i] |= set(range(at, end))
+    return {i: (len(plain_units(t)), len(gone[i]), " ".join(x for k, u in enumerate(plain_units(t)) if k not in gone[i] for x in u)) for i, t in rows}
+
+
 def test_units_are_whole_and_cut_alike():
     r = random.Random(5)
-    text = " ".join(r.choices([f"w{i}" for i in range(500)], k=4000))
+    text = "\n ".join(" ".join(r.choices([f"w{i}" for i in range(500)], k=n)) for n in (4000, 3, 11, 10, 1))
     units = substring_dedup.units(text)
-    assert [w for _, _, x in units for w in x] == text.split() and "".join(text[s:e] for s, e, _ in units) == text
-    assert max(len(x) for _, _, x in units) <= substring_dedup.WINDOW
-    # plain definition
-    h = [substring_dedup._hash(w) for w in text.split()]
-    k = substring_dedup.WINDOW
-    want = {min(range(i, i + k), key=lambda j: (h[j], -j)) + 1 for i in range(len(h) - k + 1)} | {len(h)}
-    assert substring_dedup.cuts(text.split()) == sorted(want)
+    assert "".join(text[s:e] for s, e in units) == text
+    assert [text[s:e].split() for s, e in units] == plain_units(text)
+    assert max(len(u) for u in plain_units(text)[:1000]) <= substring_dedup.WINDOW
+
+
+@pytest.mark.parametrize("batch", [1000, 7])
+def test_against_words(spark, monkeypatch, batch):
+    """Few texts to a batch and few buckets, so that firsts are settled between batches."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", batch)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    sentence = lambda: " ".join(r.choices(words, k=r.randint(3, 30))) + "."
+    shared = [" ".join(sentence() for _ in range(6)) for _ in range(3)]
+    rows = []
+    for i in range(80):
+        parts = [sentence() for _ in range(12)]
+        if i % 3 == 0:
+            parts.insert(r.randint(0, 12), shared[i % 9 // 3])
+        rows.append((i, "\n".join(parts)))
+    rows += [(100, rows[0][1]), (101, "Only this."), (102, "Only this."), (103, " \n ")]
+    got = {x["doc_id"]: x for x in substring_dedup.dedup(table(spark, rows)).collect()}
+    assert {i: (x["n_sentences"], x["n_removed"], " ".join(x["text"].lower().split())) for i, x in got.items()} == brute_dedup(rows)
+    assert got[100]["text"] == "" == got[102]["text"] and got[101]["text"] == "Only this." and got[103]["text"] == " \n "
+    for i, t in rows:
+        for s, e in (map(int, x.split(":")) for x in got[i]["removed"].split(",") if x):
+            t = t[:s] + "\0" * (e - s) + t[e:]
+        assert t.replace("\0", "") == got[i]["text"]
+
+
+def test_odd_rows_and_hot_passages(spark):
+    odd = {x["doc_id"]: x["text"] for x in substring_dedup.dedup(table(spark, ODD)).collect()}
+    assert odd[1] is None and odd[5] == "twice told tale" and substring_dedup.dedup(table(spark, ODD).where("false")).count() == 0
+    hot = [(i, f"own{i} words here. " + " ".join(f"h{k}" for k in range(60))) for i in range(400)] + [(None, " ".join(f"h{k}" for k in range(60)))]
+    got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.dedup(table(spark, hot)).collect()}
+    assert got[None] == 0 and all(got[i] > 0 for i in range(400))

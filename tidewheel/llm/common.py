@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,24 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewheel-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tw_path = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def forget(*written: DataFrame) -> None:
+    """Deletes tables of ``write_shared`` that no later plan reads; other frames are left alone."""
+    for df in written:
+        if path := getattr(df, "tw_path", None):
+            fs, folder = _folder(df.sparkSession, path)
+            fs.delete(folder, True)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -64,8 +79,27 @@ def learnable(doc_id: str = "doc_id") -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of words, without a Python function; null text has none."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_CLASS + "+"))).cast("long")
+    single = F.regexp_replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), SPACE_CLASS + "+", " ")
+    gaps = F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit("")))
+    return F.when(single == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """text, fold (the id's remainder) and label of the rows that may be learned from. Repeated labels are averaged."""
+    known = labels.where(F.col(label).isNotNull() & learnable("doc_id")).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(learnable("doc_id"))
+    return rows.join(small_or_shuffled(known), "doc_id").select("text", remainder("doc_id").cast("int").alias("fold"), "label")
+
+
+def isotonic(scores: np.ndarray, ones: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising step function that fits best: adjacent violators are pooled. ``scores`` rise."""
+    blocks: list[list[float]] = []  # ones, count, sum of score * count
+    for s, y, n in zip(scores, ones, counts, strict=True):
+        blocks.append([y, n, s * n])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
+    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 def small_or_shuffled(side: DataFrame, most: int = 2_000_000) -> DataFrame:

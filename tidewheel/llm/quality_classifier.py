@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import held_out, learnable, remainder, table, write_shared
+from tidewheel.llm.common import held_out, isotonic, labelled, learnable, remainder, table, write_shared
 from tidewheel.llm.quality_rules import STOP_WORDS
-from tidewheel.llm.toxicity import labelled
 
 COMPONENTS, BANDWIDTH, RIDGE, SEED = 192, 3.0, 1.0, 23
 BINS, CUT = 1000, 0.5
+#: Sums of partitions are dealt to so many tasks before they meet in one.
+ROUND = 64
 STATISTICS = (
     "log_words", "mean_word", "log_longest", "distinct_words", "distinct_triples", "repeated_lines", "log_words_per_line",
     "digits", "capitals", "symbols", "punctuation", "not_ascii", "stop_words", "ends_per_word",
@@ -85,19 +86,11 @@ def solve(a: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.solve(a[:, :-1] + penalty, a[:, -1])
 
 
-def isotonic(scores: np.ndarray, ones: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the rising step function that fits best: adjacent violators are pooled. ``scores`` rise."""
-    blocks: list[list[float]] = []  # ones, count, sum of score * count
-    for s, y, n in zip(scores, ones, counts, strict=True):
-        blocks.append([y, n, s * n])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
-
-
 def normal_equations(rows: DataFrame, model: Model) -> dict[int, np.ndarray]:
-    """For each fold of ``rows`` (x, fold, label) the matrix that ``solve`` takes, summed in and over partitions."""
+    """For each fold of ``rows`` (x, fold, label) the matrix that ``solve`` takes, summed in and over partitions.
+
+    Sums of partitions are added in two rounds, so that no task takes a row of every partition.
+    """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -113,7 +106,9 @@ def normal_equations(rows: DataFrame, model: Model) -> dict[int, np.ndarray]:
 
     form = "fold int, i int, v array<double>"
     out: dict[int, np.ndarray] = {}
-    for r in rows.select("x", "fold", "label").mapInPandas(local, form).groupBy("fold", "i").applyInPandas(total, form).collect():
+    own = rows.select("x", "fold", "label").mapInPandas(local, form).withColumn("some", F.spark_partition_id() % ROUND)
+    summed = own.groupBy("fold", "i", "some").applyInPandas(total, form).groupBy("fold", "i").applyInPandas(total, form)
+    for r in summed.collect():
         a = out.setdefault(r["fold"], np.zeros((len(model.b) + 1, len(model.b) + 2)))
         a[r["i"]] = r["v"]
     return out

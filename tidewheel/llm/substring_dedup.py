@@ -3,127 +3,176 @@
 A text is cut into sentences, and sentences of many words further, by winnowing: after each word whose hash is the least
 of some ``WINDOW`` consecutive words of the sentence. The cuts at a word depend on the words within ``WINDOW`` of it
 only, and no part is longer, so any 50 words hold three whole units, cut alike wherever they stand; equal words are
-units of one word each, which need no alignment. Every run of several consecutive units is hashed. Runs are counted over all texts by hash alone, so what is shuffled first is a number for
-each run; only runs that repeat go on to find their first place. A sentence is removed if a run that is not the first
-of its hash covers it.
+units of one word each, which need no alignment. Every run of several consecutive units is hashed, and a sentence is
+removed if a run that is not the first of its hash, over all texts, covers it.
+
+Runs are joined globally in one shuffle. Each batch of texts sends the first place of each of its hashes, packed, to the
+hash's bucket, and knows of its other places at once that they are not the first. So a bucket holds at most one place of
+a hash from each batch, however often a passage stands; there the first of all is found, and the others are sent back
+to their texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import small_or_shuffled, table, write_shared
+from tidewheel.llm.common import table
 
 #: Sentences of a run; words that a run must have (it takes in more sentences until it does).
 RUN, RUN_WORDS = 3, 12
 #: Sentences of more words are cut; of so many consecutive words of one, the word of least hash (the last such) ends a unit.
 LONG, WINDOW = 10, 6
-#: Places of one run that a task takes; runs in all ranges that may be broadcast.
-SALT, FEW_RANGES = 2000, 500_000
+#: Buckets that hashes are dealt to, for each partition of the texts, and at least.
+BUCKETS, LEAST_BUCKETS = 8, 64
+#: Texts of which runs are gathered before they are sent; words whose hashes a task remembers before it starts afresh.
+CHUNK, REMEMBERED = 1024, 200_000
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PLACE = np.dtype([("h", "<i8"), ("has", "i1"), ("doc_id", "<i8"), ("th", "<i4"), ("at", "<i4")])
+_ORDER = ["h", "has", "doc_id", "th", "at"]
+
+
+class _Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
 
+_HASHES = _Hashes()
 
-@lru_cache(1 << 16)
-def _hash(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
 
+def _words(text: str) -> tuple[list[str], np.ndarray]:
+    """Words in lower case, and how many each sentence that holds any has."""
+    sentences = [s.split() for s in _END.split(text.lower())]
+    return list(chain.from_iterable(sentences)), np.array([len(s) for s in sentences if s], dtype=np.int64)
 
-def cuts(words: list[str]) -> list[int]:
-    """Numbers of words up to each cut of a long sentence; the last is its end."""
-    hashes = list(map(_hash, words))
-    out, at, n = [], -1, len(hashes)
-    for end in range(WINDOW, n + 1):
-        new = end - 1
-        if at >= 0 and hashes[new] <= hashes[at]:
-            at = new
-        elif at < end - WINDOW or at < 0:
-            at = end - WINDOW
-            for i in range(at + 1, end):
-                if hashes[i] <= hashes[at]:
-                    at = i
-        else:
-            continue
-        out.append(at + 1)
-    return out if out and out[-1] == n else [*out, n]
 
+def ends(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of words up to the end of each unit of a text with words of ``hashes`` in sentences of ``sizes``."""
+    stops = np.cumsum(sizes)
+    n = len(hashes) - WINDOW + 1
+    if n < 1 or not (sizes > LONG).any():
+        return stops
+    first = np.arange(n)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    whole = (sentence[:n] == sentence[WINDOW - 1 :]) & (sizes > LONG)[sentence[:n]]
+    least, at = hashes[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, WINDOW):  # ties are the later word's
+        later = hashes[k : n + k]
+        better = later <= least
+        at[better] = k
+        np.minimum(least, later, out=least)
+    return np.union1d(stops, (first + at)[whole] + 1)
 
-def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences, or parts of long ones, that make up ``text``.
 
-    Ends take in the white space that follows. What holds no word goes with the sentence before.
+def runs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs by their first unit, the unit after each, and the words up to the end of each unit.
+
+    A run's hash is a polynomial of its words' hashes. A text that is too short for a run is one run as a whole.
     """
-    out: list[tuple[int, int, list[str]]] = []
-    at = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end == at:
-            continue
-        words = text[at:end].lower().split()
-        if not words:
-            if out:
-                out[-1] = (out[-1][0], end, out[-1][2])
-                at = end
-            continue
-        if len(words) <= LONG:
-            out.append((at, end, words))
-        else:
-            found = [(m.end(), m[0].rstrip().lower()) for m in _WORD.finditer(text, at, end)]
-            start, before = at, 0
-            for k in cuts([w for _, w in found]):
-                out.append((start, found[k - 1][0], [w for _, w in found[before:k]]))
-                start, before = found[k - 1][0], k
-        at = end
-    return out
-
-
-def runs(text: str | None) -> tuple[list[int], list[int]]:
-    """Hashes of all runs, by their first sentence, and the number of sentences of each.
-
-    A text that is too short for a run is one run as a whole.
+    words, sizes = _words(text or "")
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    stops = ends(hashes, sizes)
+    total = np.concatenate([[0], stops])
+    after = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS), np.arange(len(stops)) + RUN)
+    after = after[after <= len(stops)]
+    if not len(after):
+        after = np.array([len(stops)])
+    one = np.ones(1, np.uint64)
+    powers, back = (np.cumprod(np.concatenate([one, np.full(len(words), b)]), dtype=np.uint64) for b in (_BASE, _BACK))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+    start, stop = total[np.arange(len(after))], total[after]
+    h = (sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return (h * _BASE).view(np.int64), after, stops
+
+
+def units(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences, or parts of long ones, that make up ``text``, in code points.
+
+    Ends take in the white space that follows; the first unit begins with the text.
     """
-    us = units(text or "")
-    hashes = [xxhash.xxh64_digest(" ".join(w)) for _, _, w in us]
-    total = np.cumsum([0] + [len(w) for _, _, w in us])
-    ends = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS), np.arange(len(us)) + RUN)
-    found = [(i, int(j)) for i, j in enumerate(ends) if j <= len(us)] or ([(0, len(us))] if us else [])
-    values = [xxhash.xxh64_intdigest(b"".join(hashes[i:j])) for i, j in found]
-    return [v - (1 << 64) if v >> 63 else v for v in values], [j - i for i, j in found]
+    _, _, stops = runs(text)
+    upto = np.array([m.end() for m in _WORD.finditer(text)], dtype=np.int64)
+    if not len(stops):
+        return []
+    bounds = upto[stops - 1].tolist()
+    bounds[-1] = len(text)
+    return list(zip([0, *bounds[:-1]], bounds, strict=True))
 
 
-def _with_runs(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [runs(t) for t in b.column(2).to_pylist()]
-            h, n = (pa.array([x[i] for x in both], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), h, n], names=["doc_id", "th", "h", "n"])
+def row_key(doc_id: str, text: Column) -> tuple[Column, Column, Column]:
+    """has, doc_id and th: what tells texts apart and orders them. Null ids come first."""
+    return F.col(doc_id).isNotNull().cast("byte").alias("has"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"), F.hash(text).alias("th")
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, h array<long>, n array<int>")
 
+def later_places(rows: DataFrame, buckets: int) -> DataFrame:
+    """has, doc_id, th, at: the first units of runs of ``rows`` (has, doc_id, th, text) that are not the first of their hash.
 
-def covered(found: DataFrame) -> DataFrame:
-    """doc_id, th, ranges: the runs (first sentence, number) of each text that are not the first of their hash.
-
-    ``found``: doc_id, th, h, n. The first is the least by doc_id, text hash, place.
+    The first is the least by doc_id (null before all), text hash, place.
     """
-    distinct = found.select("doc_id", "th", "h", "n")
-    again = distinct.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = write_shared(again, "again")
-    places = distinct.select("doc_id", "th", F.posexplode(F.arrays_zip("h", "n")).alias("at", "x")).select("doc_id", "th", "at", "x.h", "x.n")
-    places = write_shared(places.join(small_or_shuffled(again), "h").withColumn("salts", F.ceil(F.col("times") / SALT).cast("int")), "places")
-    first = places.groupBy("h", "salts").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"))
-    # a run that stands in very many texts is dealt over several tasks, each of which gets the run's first place
-    first = first.select("h", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    dealt = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.col("salts").cast("long")).cast("int"))
-    later = dealt.join(first, ["h", "salt"]).where(~F.struct("doc_id", "th", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(begin, CHUNK)
+                found = [runs(t.as_py())[0] for t in b.column(3)]
+                n = [len(h) for h in found]
+                places = np.zeros(sum(n), _PLACE)
+                places["h"] = np.concatenate(found)
+                for i, k in enumerate(("has", "doc_id", "th")):
+                    places[k] = np.repeat(b.column(i).to_numpy(zero_copy_only=False), n)
+                places["at"] = np.concatenate([np.arange(k) for k in n])
+                places = places[np.lexsort([places[k] for k in reversed(_ORDER)])]
+                first = np.ones(len(places), bool)
+                first[1:] = places["h"][1:] != places["h"][:-1]
+                out = [(int(begin % buckets), False, _pack(_later(places, first)))] if not first.all() else []
+                places = places[first]
+                at = places["h"].view(np.uint64) % np.uint64(buckets)
+                order = np.argsort(at, kind="stable")
+                places, at = places[order], at[order]
+                cuts = np.flatnonzero(np.diff(at)) + 1
+                out += [(int(k), True, _pack(x)) for k, x in zip(at[np.concatenate([[0], cuts]).astype(int)], np.split(places, cuts), strict=True)] if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.bool_(), pa.binary()))], names=["bucket", "open", "places"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        told = group["open"].to_pylist()
+        parts = [np.frombuffer(p.as_buffer(), _PLACE) for p in group["places"]]
+        places = np.concatenate([p for p, o in zip(parts, told, strict=True) if o] or [np.zeros(0, _PLACE)])
+        places = places[np.lexsort([places[k] for k in reversed(_ORDER)])]
+        first = np.ones(len(places), bool)
+        first[1:] = places["h"][1:] != places["h"][:-1]
+        out = np.concatenate([_later(places, first), *(p for p, o in zip(parts, told, strict=True) if not o)])
+        return pa.table({k: pa.array(np.ascontiguousarray(out[k])) for k in ("has", "doc_id", "th", "at")})
+
+    sent = rows.select("has", "doc_id", "th", "text").mapInArrow(send, "bucket long, open boolean, places binary")
+    return sent.groupBy("bucket").applyInArrow(settle, "has byte, doc_id long, th int, at int")
+
+
+def _later(places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places, ordered, that are not ``first`` and differ from the first of their hash (rows equal in id and text fare alike)."""
+    lead = places[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(places) else places
+    return places[~first & (places != lead)]
+
+
+def _pack(places: np.ndarray) -> bytes:
+    return places.tobytes()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,35 +181,35 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ``text`` is what is left; ``removed`` has the removed spans as start:end in code points of the original, comma-
     joined. Later copies of a text lose all of it. Rows equal in id and text count as one text and fare alike, rows
     with a null id come before all others, null texts stay null and have no sentence. An empty table gives an empty
-    result; other columns are left out.
+    result; other columns are left out. Texts are shuffled once, to meet their ranges.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    found = write_shared(_with_runs(rows), "runs")
-    ranges = write_shared(covered(found.dropDuplicates(["doc_id", "th"])), "ranges")
-    ranges = ranges.withColumnsRenamed({"doc_id": "id2", "th": "th2"})
-    few = (ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= FEW_RANGES
-    marked = rows.join(F.broadcast(ranges) if few else ranges.hint("merge"), rows["doc_id"].eqNullSafe(ranges["id2"]) & (rows["th"] == ranges["th2"]), "left").select("doc_id", "text", F.col("ranges.at").alias("at"), F.col("ranges.n").alias("n"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), *row_key(doc_id, F.col(text)), F.col(text).alias("text"))
+    buckets = max(LEAST_BUCKETS, BUCKETS * rows.rdd.getNumPartitions())
+    ranges = later_places(rows, buckets).groupBy("has", "doc_id", "th").agg(F.collect_set("at").alias("at"))
+    marked = rows.join(ranges.hint("shuffle_hash"), ["has", "doc_id", "th"], "left").select("id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for t, at, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                us = units(t or "")
-                gone = np.zeros(len(us), dtype=bool)
-                for i, k in zip(at or (), n or (), strict=True):
-                    gone[i : i + k] = True
-                if not gone.any():
-                    out.append((t, len(us), 0, ""))
+            for t, at in zip((x.as_py() for x in b.column(1)), b.column(2), strict=True):
+                _, after, stops = runs(t)
+                if not at.is_valid:
+                    out.append((t, len(stops), 0, ""))
                     continue
-                left, spans = [t[: us[0][0]]], []
-                for (s, e, _), g in zip(us, gone, strict=True):
+                own = np.asarray(at.values)
+                edge = np.zeros(len(stops) + 1, np.int64)
+                np.add.at(edge, own, 1)
+                np.add.at(edge, after[own], -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                left, spans = [], []
+                for (s, e), g in zip(units(t), gone.tolist(), strict=True):
                     if not g:
                         left.append(t[s:e])
                     elif spans and spans[-1][1] == s:
                         spans[-1][1] = e
                     else:
                         spans.append([s, e])
-                out.append(("".join(left), len(us), int(gone.sum()), ",".join(f"{s}:{e}" for s, e in spans)))
+                out.append(("".join(left), len(stops), int(gone.sum()), ",".join(f"{s}:{e}" for s, e in spans)))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["doc_id", "text", "n_sentences", "n_removed", "removed"])
 

@@ -1,15 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-Each class has a model of the next sign given all signs of the word so far (up to ``DEPTH``), over an alphabet of 32
-signs. Counts of the larger class are scaled to the size of the smaller, so that equal discounts treat both alike. What
-is discounted goes to a distribution that both share: continuation counts of the last two signs, in how many different
-word beginnings each follows them. So a rare expression has the same probability in both classes. A document's score
-is the difference of its log-likelihoods, normalised by length (a little shrunken, as short texts tell little) and
-calibrated; signs for which the models differ by less than ``STYLE`` nats, or which ordinary text favours, count as
-equal: those are differences of style, such as lists or languages, that would drown a few expressions in a long text.
-
-Counts are taken over all labelled text that may be learned from; they grow with the corpus. Word beginnings are hashed
-to ``2**BITS`` places, which bounds what reaches the driver and the scorers at any size.
+Each class has a model of the next sign given all signs of the word so far, with the word's end as a sign of its own. A
+sign's count is the number of documents of the class that hold the word up to it, so a burst within one document says no
+more than one use. Absolute discounts go to a distribution that both classes share: Kneser-Ney counts of the same signs
+over both classes, which back off to the number of different word beginnings that a sign ends. So a rare expression has
+nearly the same probability in both classes. A document's score is the difference of its two log-likelihoods over all
+its different word beginnings, for either class, normalised by their number, and calibrated by pooling adjacent
+violators over scores of each fold under the other's counts. Each sign's difference is shrunken towards 0 by ``MARGIN``
+nats, on both sides: smaller ones are differences of style or language that add up over a long text.
+
+Counts are rows of a distributed table and grow with the corpus. Signs whose models agree are dropped from it; what is
+left is broadcast up to ``MOST`` rows, and beyond that joined to the signs of the texts.
 """
 
 from __future__ import annotations
@@ -17,199 +18,201 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import held_out, learnable, remainder, small_or_shuffled, table
+from tidewheel.llm.common import forget, held_out, isotonic, labelled, write_shared
+from tidewheel.llm.common import table as read
 
-SIGNS, DEPTH, BITS = 32, 7, 22
-SIZE = 1 << BITS
-DISCOUNT, SHARED, STYLE = 1.0, 10.0, 1.5
-#: Signs that a text must have besides its own before its mean difference counts in full.
-PRIOR = 200
+#: Discount of the class counts and of the shared ones; documents that the shared distribution weighs as.
+DISCOUNT, SHARED_DISCOUNT, SHARED = 1.0, 0.75, 50.0
+#: Nats by which each sign's log ratio is shrunken; signs that a text must have besides its own before its mean counts in full.
+MARGIN, PRIOR = 0.5, 1500
 CUT = 0.7
-BLOCKS = 64
-_LEAD = bytes(range(0xC0, 0x100))
-_BINS, _SPAN = 4000, 2.0
+#: Rows of the table of ratios that may be broadcast (of 32 bytes each).
+MOST = 1_500_000
+CHUNK = 256
+_BINS, _SPAN = 8000, 1.0
+VIEWS = ("whole", "without0", "without2")
 
 
 def _signs() -> bytes:
+    """Letters in lower case, digits and all bytes outside ASCII are signs; anything else ends a word."""
     signs = bytearray(256)
-    for i in range(26):
-        signs[65 + i] = signs[97 + i] = i + 1
-    for b in range(0x80, 0xC0):  # what follows the first byte of a character outside ASCII
-        signs[b] = 27 + (b & 3)
+    for b in (*range(48, 58), *range(97, 123), *range(128, 256)):
+        signs[b] = b
+    for b in range(65, 91):
+        signs[b] = b + 32
     return bytes(signs)
 
 
 _SIGNS = _signs()
-_FACTORS = (np.random.default_rng(0).integers(1, 1 << 63, DEPTH + 1) | 1).astype(np.uint64)
+_TERMS = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def nodes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For each sign at most ``DEPTH`` deep in its word: the place of the word up to it, and up to the sign before;
-    the last three signs as one number. And the number of all signs.
+def nodes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different word beginnings of a text: their keys (rising), the keys of what precedes their last sign, that sign.
 
-    Letters, and characters outside ASCII, make words; anything else is sign 0, which also ends a word.
+    A key is a 64-bit polynomial of the signs; 0 is the empty beginning.
     """
-    signs = (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS, _LEAD)
-    c = np.frombuffer(b"\0" + signs + b"\0", np.uint8)
+    c = np.frombuffer(b"\0" + (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS) + b"\0", np.uint8)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
+    c = c[keep]
     i = np.arange(len(c))
     start = np.zeros(len(c), np.int64)
     start[1:] = np.maximum.accumulate(np.where(c[:-1] == 0, i[:-1], 0))
     deep = i - start
-    ok = (deep <= DEPTH) & ((c > 0) | (deep > 1))
-    ok[0] = False
-    sums = np.cumsum(np.where(ok, (c.astype(np.uint64) + np.uint64(1)) * _FACTORS[np.minimum(deep, DEPTH)], np.uint64(0)), dtype=np.uint64)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(deep.max()), _BASE)]), dtype=np.uint64)
+    sums = np.cumsum(_TERMS[c] * powers[deep], dtype=np.uint64)
     own = sums - sums[start]
     above = np.where(deep > 1, np.concatenate([own[:1], own[:-1]]), np.uint64(0))
-    place = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
-    wide = np.concatenate([np.zeros(2, np.int32), c.astype(np.int32)])
-    last = (wide[:-2] * SIGNS + wide[1:-1]) * SIGNS + wide[2:]
-    return place(own[ok]), place(above[ok]), last[ok].astype(np.int32), len(signs)
-
-
-def _smoothed(counts: np.ndarray, low: np.ndarray, discount: float = 0.75) -> np.ndarray:
-    """Interpolated absolute discounting of ``counts`` with ``low``, the next shorter order's probabilities."""
-    m = counts.reshape(-1, SIGNS).astype(np.float64)
-    low = np.tile(low.reshape(-1, SIGNS), (len(m) // (low.size // SIGNS), 1))
-    total, kinds = m.sum(1, keepdims=True), (m > 0).sum(1, keepdims=True)
-    return np.where(total > 0, (np.maximum(m - discount, 0) + discount * kinds * low) / np.maximum(total, 1), low).ravel()
-
-
-class Counts:
-    """Occupied places (rising), the place above each, its last signs, and counts by fold and label."""
-
-    def __init__(self, at: np.ndarray, above: np.ndarray, last: np.ndarray, n: dict[tuple[int, int], np.ndarray]) -> None:
-        self.at, self.n = at, n
-        self.above = np.unique(above, return_inverse=True)[1] if len(above) else above
-        seen = [np.bincount(last, minlength=SIGNS**3)]
-        while seen[-1].size > SIGNS:
-            seen.append((seen[-1] > 0).reshape(SIGNS, -1).sum(0))
-        p = np.full(SIGNS, 1 / SIGNS)
-        for counts in reversed(seen):
-            p = _smoothed(counts, p)
-        self.low = p[last]
-
-    def of(self, label: int, leave: int | None = None) -> np.ndarray:
-        return sum((n for (f, y), n in self.n.items() if y == label and f != leave), np.zeros(len(self.at), np.int64)).astype(np.float64)
-
-    def ratios(self, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and values of log P(sign | word so far, toxic) - the same of ordinary text, where over ``STYLE``."""
-        both = [self.of(label, leave) for label in (0, 1)]
-        least = min(n.sum() for n in both)
-        logs = []
-        for n in both:
-            n = n * (least / max(n.sum(), 1))
-            total = np.bincount(self.above, weights=n)[self.above]
-            cut = np.bincount(self.above, weights=np.minimum(n, DISCOUNT))[self.above]
-            logs.append(np.log((np.maximum(n - DISCOUNT, 0) + (cut + SHARED) * self.low) / (total + SHARED)))
-        r = logs[1] - logs[0]
-        return self.at[r > STYLE], r[r > STYLE].astype(np.float32)
-
-
-def dense(sparse: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = np.zeros(SIZE, np.float32)
-    out[sparse[0]] = sparse[1]
-    return out
-
-
-def count_nodes(rows: DataFrame) -> Counts:
-    """Counts of all word beginnings of ``rows`` (text, fold, label).
-
-    Each task sums its own rows; its occupied places are shuffled in 64 blocks and summed there.
+    keys, first = np.unique(own[1:].view(np.int64), return_index=True)
+    return keys, above[1:][first].view(np.int64), c[1:][first]
+
+
+def count_nodes(rows: DataFrame) -> DataFrame:
+    """key, above, sign, n00, n01, n20, n21: of each word beginning in ``rows`` (text, fold, label) the documents by fold and label.
+
+    Each batch is summed before it leaves Python, then Spark sums in and over partitions.
     """
-    keys = [(f, y) for f in (0, 2) for y in (0, 1)]
-    schema = pa.schema([("block", pa.int32()), *((k, pa.binary()) for k in ("at", "above", "last", *(f"n{f}{y}" for f, y in keys)))])
-    form = "block int, " + ", ".join(f"{k} binary" for k in schema.names[1:])
+    counts = [f"n{f}{y}" for f in (0, 2) for y in (0, 1)]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(SIZE, np.int32) for k in keys}
-        above, last = np.zeros(SIZE, np.int32), np.zeros(SIZE, np.int32)
-        for b in batches:
-            for text, fold, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, up, end, _ = nodes(text)
-                np.add.at(sums[fold, label], at, 1)
-                above[at], last[at] = up, end
-        used = np.flatnonzero(sum((s > 0) for s in sums.values()))
-        step = SIZE // BLOCKS
-        for block in range(BLOCKS):
-            at = used[np.searchsorted(used, block * step) : np.searchsorted(used, (block + 1) * step)].astype(np.int32)
-            if len(at):
-                yield pa.RecordBatch.from_pylist([{"block": block, "at": at.tobytes(), "above": above[at].tobytes(), "last": last[at].tobytes(), **{f"n{f}{y}": sums[f, y][at].tobytes() for f, y in keys}}], schema=schema)
-
-    def total(part: pd.DataFrame) -> pd.DataFrame:
-        whole = {k: np.concatenate([np.frombuffer(x, np.int32) for x in part[k]]) for k in schema.names[1:]}
-        at, where = np.unique(whole["at"], return_inverse=True)
-        out = {"block": part["block"].iloc[0], "at": at.tobytes()}
-        for k in ("above", "last"):  # two word beginnings may share a place; the larger stands for both, whatever the order
-            most = np.zeros(len(at), np.int32)
-            np.maximum.at(most, where, whole[k])
-            out[k] = most.tobytes()
-        out |= {k: np.bincount(where, weights=whole[k], minlength=len(at)).astype(np.int64).tobytes() for k in schema.names[4:]}
-        return pd.DataFrame([out])
-
-    got = rows.select("text", "fold", "label").mapInArrow(local, form).groupBy("block").applyInPandas(total, form).orderBy("block").collect()
-    join = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in got] or [np.zeros(0, kind)])
-    return Counts(join("at", np.int32), join("above", np.int32), join("last", np.int32), {(f, y): join(f"n{f}{y}", np.int64) for f, y in keys})
-
-
-def normalised(text: str | None, ratios: np.ndarray) -> float:
-    at, _, _, n = nodes(text)
-    return float(ratios[at].sum(dtype=np.float64)) / (n + PRIOR)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit by Newton's method, lightly penalised so that it always exists."""
-    scale = max(float(np.sqrt(np.average(x * x, weights=weight))), 1e-12)
-    X = np.stack([x / scale, np.ones_like(x)], axis=1)
-    b, ridge = np.zeros(2), np.diag([1e-3, 1e-3])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(X @ b, -30, 30)))
-        slope = X.T @ (weight * (y - p)) - ridge @ b
-        step = np.linalg.solve((X * (weight * p * (1 - p))[:, None]).T @ X + ridge, slope)
-        b += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(b[0] / scale), float(b[1])
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """text, fold (the id's remainder) and label of the rows that may be learned from. Repeated labels are averaged."""
-    known = labels.where(F.col(label).isNotNull() & learnable("doc_id")).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(learnable("doc_id"))
-    return rows.join(small_or_shuffled(known), "doc_id").select("text", remainder("doc_id").cast("int").alias("fold"), "label")
-
-
-def fit(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], float, float]:
-    """Log ratios, and slope and intercept of the calibration.
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4 * CHUNK):
+                b = whole.slice(at, 4 * CHUNK)
+                found = [nodes(t.as_py()) for t in b.column(0)]
+                which = np.array([(f == 2) * 2 + y for f, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+                keys, above, sign = (np.concatenate([x[i] for x in found]) for i in range(3))
+                group = np.repeat(which, [len(x[0]) for x in found])
+                some, first, where = np.unique(keys, return_index=True, return_inverse=True)
+                n = [np.bincount(where[group == g], minlength=len(some)) for g in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(above[first]), pa.array(sign[first].astype(np.int32)), *map(pa.array, n)], names=["key", "above", "sign", *counts])
 
-    The calibration uses scores of each fold under counts of the other, so that no text is scored by counts of its
-    own; scores are gathered as a histogram. With one fold only, or one label only, scores are flat at the share of
-    label 1 (a half where nothing is labelled).
+    found = rows.select("text", "fold", "label").mapInArrow(local, "key long, above long, sign int, " + ", ".join(f"{c} long" for c in counts))
+    return found.groupBy("key").agg(F.min("above").alias("above"), F.min("sign").alias("sign"), *[F.sum(c).alias(c) for c in counts])
+
+
+def _of(view: str, label: int) -> Column:
+    folds = {"whole": (0, 2), "without0": (2,), "without2": (0,)}[view]
+    return sum((F.col(f"n{f}{label}") for f in folds[1:]), F.col(f"n{folds[0]}{label}"))
+
+
+def _shrunk(ratio: Column) -> Column:
+    return (F.signum(ratio) * F.greatest(F.abs(ratio) - MARGIN, F.lit(0.0))).cast("float")
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """key, and for each of ``VIEWS`` r_ and u_: the shrunken log ratio of the key's last sign, and that of a sign never seen after it.
+
+    ``counts`` is written already. Keys all of whose numbers are 0 are left out.
     """
-    counts = count_nodes(rows)
-    folds = [f for f in (0, 2) if any(counts.n[f, y].any() for y in (0, 1))]
-    if any(not counts.of(y, leave).any() for y in (0, 1) for leave in folds) or len(folds) < 2:
-        share = rows.agg(F.avg("label")).first()[0]
-        share = min(max(0.5 if share is None else share, 0.01), 0.99)
-        return (np.zeros(0, np.int32), np.zeros(0, np.float32)), 0.0, float(np.log(share / (1 - share)))
-    crossed = {f: counts.ratios(f) for f in folds}
-    whole = counts.ratios()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = {f: dense(r) for f, r in crossed.items()}
-        for b in batches:
-            texts, fold, label = (c.to_pylist() for c in b.columns)
-            s = np.array([normalised(t, full[f]) for t, f in zip(texts, fold, strict=True)], dtype=np.float64)
-            bins = np.clip((s + _SPAN) * (_BINS / (2 * _SPAN)), 0, _BINS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(label, pa.int32())], names=["bin", "label"])
+    pairs = [(v, y) for v in VIEWS for y in (0, 1)]
+    pooled = _of("whole", 0) + _of("whole", 1)
+    sums = [F.sum(_of(v, y)).alias(f"t_{v}{y}") for v, y in pairs] + [F.sum(F.least(_of(v, y).cast("double"), F.lit(DISCOUNT))).alias(f"c_{v}{y}") for v, y in pairs]
+    above = counts.groupBy("above").agg(F.sum(pooled).alias("t_all"), F.count(F.lit(1)).alias("kinds"), *sums)
+    ends = {r["sign"]: r["n"] for r in counts.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).collect()}  # 256 signs at most
+    total = sum(ends.values()) + 0.5 * 256
+    low = F.element_at(F.array(*[F.lit((ends.get(s, 0) + 0.5) / total) for s in range(256)]), F.col("sign") + 1)
+    shared = (pooled - SHARED_DISCOUNT + (SHARED_DISCOUNT * F.col("kinds") + 1.0) * low) / (F.col("t_all") + 1.0)
+
+    def left(v: str, y: int) -> Column:
+        return (F.col(f"c_{v}{y}") + SHARED) / (F.col(f"t_{v}{y}") + SHARED)
 
-    h = rows.select("text", "fold", "label").mapInArrow(score, "bin int, label int").groupBy("bin", "label").count().orderBy("bin", "label").toPandas()
+    def p(v: str, y: int) -> Column:
+        return F.greatest(_of(v, y) - DISCOUNT, F.lit(0.0)) / (F.col(f"t_{v}{y}") + SHARED) + left(v, y) * F.col("shared")
+
+    unseen = above.select("above", "t_all", "kinds", *sums_of(pairs), *[_shrunk(F.log(left(v, 1)) - F.log(left(v, 0))).alias(f"u_{v}") for v in VIEWS])
+    seen = counts.join(unseen, "above").withColumn("shared", shared)
+    seen = seen.select("key", *[_shrunk(F.log(p(v, 1)) - F.log(p(v, 0))).alias(f"r_{v}") for v in VIEWS], F.expr(" OR ".join(f"u_{v} <> 0" for v in VIEWS)).alias("told"))
+    both = seen.join(unseen.select(F.col("above").alias("key"), *[f"u_{v}" for v in VIEWS]), "key", "full_outer")
+    numbers = [f"{k}_{v}" for v in VIEWS for k in "ru"]
+    return both.where("told OR " + " OR ".join(f"{c} <> 0" for c in numbers)).select("key", *[F.coalesce(c, F.lit(0.0).cast("float")).alias(c) for c in numbers])
+
+
+def sums_of(pairs: list[tuple[str, int]]) -> list[str]:
+    return [f"{k}_{v}{y}" for v, y in pairs for k in "tc"]
+
+
+class Ratios:
+    """The table of ratios in memory, for tasks."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        got = rows.toArrow().sort_by("key")
+        self.keys = got["key"].to_numpy()
+        self.of = {c: got[c].to_numpy() for c in got.column_names[1:]}
+
+    def total(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], view: str) -> float:
+        if not len(self.keys):
+            return 0.0
+        at, up = (np.minimum(np.searchsorted(self.keys, found[i]), len(self.keys) - 1) for i in (0, 1))
+        unseen = np.where(self.keys[up] == found[1], self.of[f"u_{view}"][up], 0)
+        return float(np.where(self.keys[at] == found[0], self.of[f"r_{view}"][at], unseen).sum(dtype=np.float64))
+
+
+def scores(rows: DataFrame, table: DataFrame, most: int = MOST) -> DataFrame:
+    """``rows`` with ``s``, the normalised difference of log-likelihoods of ``text``, which is left out, under ``view``.
+
+    A table of up to ``most`` rows goes to the tasks. A larger one is joined to the signs of the texts, which are
+    shuffled then; common signs are told apart by the join's handling of skew.
+    """
+    keep = [c for c in rows.columns if c not in ("text", "view")]
+    form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    ordered = rows.select(*keep, "view", "text")
+    if table.count() <= most:
+        ratio = Ratios(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for view, text in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1), strict=True):
+                    found = nodes(text.as_py())
+                    out.append(ratio.total(found, view) / (len(found[0]) + PRIOR))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "s"])
+
+        return ordered.mapInArrow(run, f"{form}, s double")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                found = [nodes(t.as_py()) for t in b.column(len(keep) + 1)]
+                lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], *lists], names=[*keep, "view", "keys", "above"])
+
+    spelled = write_shared(ordered.mapInArrow(spell, f"{form}, view string, keys array<long>, above array<long>").withColumn("tw_row", F.monotonically_increasing_id()), "spelled")
+    pick = lambda k: F.coalesce(*[F.when(F.col("view") == v, F.col(f"{k}_{v}")) for v in VIEWS])
+    signs = spelled.select("tw_row", "view", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("above").alias("above"))).alias("x")).select("tw_row", "view", "x.*")
+    own = signs.join(table.select("key", *[f"r_{v}" for v in VIEWS]), "key", "left").select("tw_row", "view", "above", pick("r").alias("r"))
+    up = table.select(F.col("key").alias("above"), *[f"u_{v}" for v in VIEWS])
+    sums = own.join(up, "above", "left").groupBy("tw_row").agg(F.sum(F.coalesce("r", pick("u"), F.lit(0.0)).cast("double")).alias("total"))
+    return spelled.join(sums, "tw_row", "left").select(*keep, (F.coalesce("total", F.lit(0.0)) / (F.size("keys") + PRIOR)).alias("s"))
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame | None, tuple[np.ndarray, np.ndarray]]:
+    """The table of ratios, and scores and probabilities between which scores are calibrated.
+
+    The calibration uses scores of each fold under counts of the other, so that no text is scored by counts of its
+    own; scores are gathered as a histogram. With one fold only, or one label only, there is no table and scores are
+    flat at the share of label 1 (a half where nothing is labelled).
+    """
+    rows = write_shared(rows, "labelled")
+    have = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
+    if any((f, y) not in have for f in (0, 2) for y in (0, 1)):
+        n = sum(have.values())
+        share = min(max(sum(c for (_, y), c in have.items() if y) / n, 0.01), 0.99) if n else 0.5
+        return None, (np.array([0.0]), np.array([share]))
+    counts = write_shared(count_nodes(rows), "counts")
+    table = write_shared(ratios(counts), "ratios")
+    crossed = scores(rows.select("text", "label", F.concat(F.lit("without"), F.col("fold")).alias("view")), table)
+    place = F.least(F.greatest(F.floor((F.col("s") + _SPAN) * (_BINS / (2 * _SPAN))), F.lit(0)), F.lit(_BINS - 1)).cast("int")
+    h = crossed.groupBy(place.alias("bin")).agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("n")).orderBy("bin").toPandas()
+    forget(rows, counts)
     x = (h["bin"].to_numpy() + 0.5) * (2 * _SPAN / _BINS) - _SPAN
-    return (whole, *logistic(x, h["label"].to_numpy(dtype=np.float64), h["count"].to_numpy(dtype=np.float64)))
+    return table, isotonic(x, h["ones"].to_numpy(dtype=np.float64), h["n"].to_numpy(dtype=np.float64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,17 +222,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, doc_id: str =
     as texts of no sign. Repeated rows score alike; null ids are scored but not learned from; an empty table gives an
     empty result; without labels every score is a half. Other columns are left out.
     """
-    ratios, slope, intercept = fit(labelled(docs, labels, "toxic", doc_id, text))
+    table, (x, y) = fit(labelled(docs, labels, "toxic", doc_id, text))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"))
+    if table is None:
+        return rows.withColumn("score", F.lit(float(y[0]))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.lit("whole").alias("view"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = dense(ratios)
+    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.array([normalised(t.as_py(), full) for t in b.column(2)], dtype=np.float64)
-            p = 1 / (1 + np.exp(-np.clip(slope * s + intercept, -500, 500)))
+            p = np.interp(b.column(2).to_numpy(zero_copy_only=False), x, y).clip(0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return scores(rows, table).mapInArrow(calibrate, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
