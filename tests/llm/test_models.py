@@ -69,6 +69,27 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)}
 
 
+def test_keys_of_many_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i > 50 else 7) for i in range(90)], "id long, k long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k long, v string")
+    want = sorted((i, {0: "a", 1: "b", 7: "c"}.get(i % 3 if i > 50 else 7)) for i in range(90))
+    for most in (4, 1000):
+        got = common.dealt(rows, one, "k", ["id"], "left", most)
+        assert sorted(((r["id"], r["v"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sides_too_large_to_broadcast(spark, monkeypatch):
+    """All joins shuffled: the results are those of the broadcast ones."""
+    from tidewheel.llm import mixing, resemblance, secret_scan
+
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    told = lambda: [sorted(map(str, df.collect())) for df in (secret_scan.redacted(docs), simhash.near_duplicates(docs), simhash.one_of_each(docs, resemblance.near_copies), mixing.mix(docs))]
+    want = told()
+    for m in (common, mixing, resemblance, secret_scan, simhash):
+        monkeypatch.setattr(m, "small_or_shuffled", lambda side, most=0: side)
+    assert told() == want
+
+
 def test_near_duplicates_and_odd_rows(spark):
     docs = table(spark, [*ODD, (9, "twice told tale"), (10, None)])
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
@@ -78,7 +99,10 @@ def test_near_duplicates_and_odd_rows(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0 and simhash.one_of_each(docs.where("false")).count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block", [ann.BLOCK, 3])  # 3: nearly every group serves several blocks of queries
+def test_neighbours(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "GROUP", 8000 if block > 3 else 700)
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(size=(1500, 16)), np.repeat(r.normal(size=(1, 16)), 600, axis=0)])
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(10_000, None, 0), (10_100, [0.0] * 16, 0), (10_200, [float("nan")] * 16, 0), (None, [1.0] * 16, 0), (10_300, [1.0] * 3, 0), (10_400, [1.0, None] * 8, 0), (7, x[7].tolist(), 0)]
@@ -96,6 +120,7 @@ def test_neighbours(spark):
         if q >= 1500:
             assert list(g["vec_id"]) == list(best)  # ties among copies
     assert hits / (10 * got["query_id"].nunique()) >= 0.9
+    assert ann.search(df.where("embedding IS NULL")).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in ann.search(few).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert ann.search(few.where("false")).count() == 0 and ann.search(few.where("vec_id > 0")).count() == 0
@@ -181,7 +206,7 @@ def plain_ratios(docs, view):
 
     def beginnings(text):
         signs = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in text.lower().encode())
-        return {w[: k + 1] for w in (x + b" " for x in signs.split()) for k in range(len(w))}
+        return [w[: k + 1] for w in {x + b" " for x in signs.split()} for k in range(len(w))]
 
     n = {y: Counter(b for t, f, label in docs if label == y and f != view for b in beginnings(t)) for y in (0, 1)}
     pooled = Counter(b for t, _, _ in docs for b in beginnings(t))

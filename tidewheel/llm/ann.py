@@ -6,25 +6,29 @@ original vectors. How many buckets to probe is fitted: for a bounded sample of q
 a full scan, and the least number of probes is taken that reaches the recall aimed at. All rows are indexed.
 
 Buckets are dealt to groups of bounded size, and a bucket too large for one (copies of a vector) over several, all of
-which its probes visit. Query rows are dealt in blocks. Each group returns its nearest few for each query, so no list of
-candidates is ever shuffled.
+which its probes visit. Rows are placed once in each table; queries stream past the group's rows, so a task holds one
+group and no list of queries. A group that very many queries visit is placed once for each ``BLOCK`` of them. Each group
+returns its nearest few for each query, so no list of candidates is ever shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import table, write_shared
+from tidewheel.llm.common import small_or_shuffled, table, write_shared
 
 TABLES, HASHES, WIDTH, MOST_PROBES, RECALL, SEED = 4, 8, 1.8, 3000, 0.97, 3
-#: Queries whose true neighbours are found to fit the probes; rows of the index in a group; queries in a block.
+#: Queries whose true neighbours are found to fit the probes; rows of the index in a group; queries that one copy of a group serves.
 SAMPLE, GROUP, BLOCK = 48, 8000, 20000
+#: Queries whose probes are spelled out at a time; factor by which buckets widen while no number of probes does.
+CHUNK, WIDER = 64, 1.5
 
 
 class Index:
@@ -125,7 +129,10 @@ def scan(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> Data
 
 
 def fit(rows: DataFrame, dim: int, every: int, k: int, recall: float = RECALL) -> Index | None:
-    """An index whose probes reach ``recall`` on a sample of the queries; None if no number of probes does."""
+    """An index whose probes reach ``recall`` on a sample of the queries; None if no query has a neighbour.
+
+    Buckets are widened until some number of probes does; in the end one bucket holds all.
+    """
     picked = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).collect()
     queries = [(r["vec_id"], np.array(r["v"])) for r in picked]
     if not queries:
@@ -134,21 +141,22 @@ def fit(rows: DataFrame, dim: int, every: int, k: int, recall: float = RECALL) -
     farthest = [max(r["score"] for r in true if r["query_id"] == q) for q in {r["query_id"] for r in true}]
     if not farthest:
         return None
-    index = Index(dim, WIDTH * (float(np.median(farthest)) or 1.0))
-    by_id, first = dict(queries), []
-    for q, v in by_id.items():
-        near = np.array([r["v"] for r in true if r["query_id"] == q])
-        if len(near):
-            at = np.full(len(near), MOST_PROBES + 1)
-            for t in range(index.tables):
-                where = {c: i for i, c in reversed(list(enumerate(index.visited(v, t, index.probes).tolist())))}
-                at = np.minimum(at, [where.get(c, MOST_PROBES + 1) for c in index.codes(near, t)[0].tolist()])
-            first += at.tolist()
-    need = int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))) - 1)]) + 1
-    if need > index.probes:
-        return None
-    index.probes = need
-    return index
+    width, by_id = WIDTH * (float(np.median(farthest)) or 1.0), dict(queries)
+    near = {q: np.array([r["v"] for r in true if r["query_id"] == q]) for q in by_id}
+    while True:
+        index, first = Index(dim, width), []
+        for q, v in by_id.items():
+            if len(near[q]):
+                at = np.full(len(near[q]), MOST_PROBES + 1)
+                for t in range(index.tables):
+                    where = {c: i for i, c in reversed(list(enumerate(index.visited(v, t, index.probes).tolist())))}
+                    at = np.minimum(at, [where.get(c, MOST_PROBES + 1) for c in index.codes(near[q], t)[0].tolist()])
+                first += at.tolist()
+        need = int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))) - 1)]) + 1
+        if need <= index.probes:
+            index.probes = need
+            return index
+        width *= WIDER
 
 
 def search(rows: DataFrame, every: int = 100, k: int = 10, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -171,7 +179,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, recall: float = RECAL
     n_queries = own.where(F.col("vec_id") % every == 0).count()
     if not n_queries:
         return empty
-    found = write_shared(_probe(own, index, every, k, n, n_queries, dim), "found") if index else None
+    found = write_shared(_probe(own, index, every, k, n, dim), "found") if index else None
     if found is not None:
         counts = own.where(F.col("vec_id") % every == 0).select("vec_id").distinct().join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left")
         short = write_shared(counts.where(F.coalesce("count", F.lit(0)) < min(k, n - 1)).select("vec_id"), "short")
@@ -179,13 +187,12 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, recall: float = RECAL
             return found
         rest = own.join(short, "vec_id", "left_semi")
         done = found.join(short, found["query_id"] == short["vec_id"], "left_anti")
-        return done.unionByName(_probe(own, None, every, k, n, n_queries, dim, rest))
-    return _probe(own, None, every, k, n, n_queries, dim)
+        return done.unionByName(_probe(own, None, every, k, n, dim, rest))
+    return _probe(own, None, every, k, n, dim)
 
 
-def _probe(rows: DataFrame, index: Index | None, every: int, k: int, n: int, n_queries: int, dim: int, queries: DataFrame | None = None) -> DataFrame:
+def _probe(rows: DataFrame, index: Index | None, every: int, k: int, n: int, dim: int, queries: DataFrame | None = None) -> DataFrame:
     """The search itself. Without an index every group is visited as a whole."""
-    blocks = -(-n_queries // BLOCK)
     if index is None:
         index, whole = Index(dim, 1.0, tables=1, hashes=2), True
     else:
@@ -203,6 +210,8 @@ def _probe(rows: DataFrame, index: Index | None, every: int, k: int, n: int, n_q
         index.hot = {r["code"]: -(-r["n"] // most) for r in large}
     index.groups = max(1, -(-index.tables * n // GROUP))
 
+    names = ["grp", "kind", "id", "v", "codes"]
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, ids = _matrix(b.column(1), dim), np.asarray(b.column(0))
@@ -215,56 +224,81 @@ def _probe(rows: DataFrame, index: Index | None, every: int, k: int, n: int, n_q
                 elif index.hot:
                     salt = np.array([s % index.hot.get(c, 1) for c, s in zip(code.tolist(), own.tolist(), strict=True)], dtype=np.int64)
                 grp = index.group(code, salt)
-                for block in range(blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), block)), pa.array(code), b.column(0), b.column(1)], names=["grp", "block", "code", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.zeros(len(grp), np.int32)), b.column(0), b.column(1), pa.array(code[:, None].tolist(), pa.list_(pa.int64()))], names=names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        for full in batches:
+            for begin in range(0, full.num_rows, CHUNK):
+                b, out = full.slice(begin, CHUNK), []
+                for q, v in zip(np.asarray(b.column(0)).tolist(), _matrix(b.column(1), dim), strict=True):
+                    if whole:
+                        parts = {g: None for g in range(index.groups)}
+                    else:
+                        codes = np.concatenate([index.visited(v, t, index.probes) for t in range(index.tables)])
+                        pairs = [(index.group(codes, np.zeros(len(codes), np.int64)), codes)]
+                        for c in codes.tolist() if index.hot else ():
+                            if c in index.hot:
+                                salts = np.arange(1, index.hot[c])
+                                pairs.append((index.group(np.full(len(salts), c), salts), np.full(len(salts), c)))
+                        grp, codes = (np.concatenate([p[j] for p in pairs]) for j in (0, 1))
+                        order = np.argsort(grp, kind="stable")
+                        cuts = np.flatnonzero(np.diff(grp[order])) + 1
+                        parts = {int(grp[o[0]]): np.unique(codes[o]) for o in np.split(order, cuts)}
+                    out += [(g, 1, q, v, c) for g, c in parts.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names=names)
+
+    def answer(code: np.ndarray, ids: np.ndarray, x: np.ndarray, part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for q, v, codes in zip(part["id"].to_pylist(), _matrix(part["v"], dim), part["codes"], strict=True):
+            if not codes.is_valid:
+                some = np.arange(len(code))
+            else:
+                codes = np.asarray(codes.values)
+                edge = np.zeros(len(code) + 1, np.int64)
+                np.add.at(edge, np.searchsorted(code, codes, "left"), 1)
+                np.add.at(edge, np.searchsorted(code, codes, "right"), -1)
+                some = np.flatnonzero(np.cumsum(edge[:-1]))
+            if len(some):
+                best, d = _nearest(v, q, x[some], ids[some], k * index.tables)  # a row may come once from each table
+                once = np.sort(np.unique(ids[some[best]], return_index=True)[1])[:k]
+                yield q, ids[some[best]][once], d[once]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group: first those of the index, which are kept, then its queries."""
+        now, held, sorted_ = None, [], None
         for b in batches:
-            for i, (q, v) in enumerate(zip(np.asarray(b.column(0)), _matrix(b.column(1), dim), strict=True)):
-                if whole:
-                    parts = {g: None for g in range(index.groups)}
-                else:
-                    codes = np.concatenate([index.visited(v, t, index.probes) for t in range(index.tables)])
-                    grp = index.group(codes, np.zeros(len(codes), np.int64))
-                    pairs = [(grp, codes)]
-                    for c in codes.tolist() if index.hot else ():
-                        if c in index.hot:
-                            salts = np.arange(1, index.hot[c])
-                            pairs.append((index.group(np.full(len(salts), c), salts), np.full(len(salts), c)))
-                    grp, codes = (np.concatenate([p[j] for p in pairs]) for j in (0, 1))
-                    order = np.argsort(grp, kind="stable")
-                    cuts = np.flatnonzero(np.diff(grp[order])) + 1
-                    parts = {int(grp[o[0]]): np.unique(codes[o]) for o in np.split(order, cuts)}
-                out = [(g, int(q) // every % blocks, int(q), v, c) for g, c in parts.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names=["grp", "block", "query_id", "q", "codes"])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            order = np.argsort(left["code"].to_numpy(), kind="stable")
-            code, ids, x = left["code"].to_numpy()[order], left["vec_id"].to_numpy()[order], _matrix(left["v"], dim)[order]
-            for q, v, codes in zip(right["query_id"].to_pylist(), right["q"].to_pylist(), right["codes"].to_pylist(), strict=True):
-                if codes is None:
-                    some = np.arange(len(code))
-                else:
-                    codes = np.array(codes)
-                    edge = np.zeros(len(code) + 1, np.int64)
-                    np.add.at(edge, np.searchsorted(code, codes, "left"), 1)
-                    np.add.at(edge, np.searchsorted(code, codes, "right"), -1)
-                    some = np.flatnonzero(np.cumsum(edge[:-1]))
-                if len(some):
-                    best, d = _nearest(np.array(v), q, x[some], ids[some], k * index.tables)  # a row may come once from each table
-                    once = np.sort(np.unique(ids[some[best]], return_index=True)[1])[:k]
-                    out.append((q, ids[some[best]][once], d[once]))
-        q = np.concatenate([np.full(len(o[1]), o[0]) for o in out] or [np.zeros(0, np.int64)])
-        flat = [np.concatenate([o[i] for o in out] or [np.zeros(0)]) for i in (1, 2)]
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(flat[0].astype(np.int64)), "score": pa.array(flat[1].astype(np.float64))})
-
+            marks = np.stack([b[c].to_numpy() for c in ("grp", "salt", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for at, to in pairwise(cuts):
+                if at == to:
+                    continue
+                part, own = b.slice(at, to - at), (marks[at, 0], marks[at, 1])
+                if own != now:
+                    now, held, sorted_ = own, [], None
+                if marks[at, 2] == 0:
+                    held.append((np.asarray(part["codes"].flatten()), part["id"].to_numpy(), _matrix(part["v"], dim)))
+                elif held:
+                    if sorted_ is None:
+                        code, ids, x = (np.concatenate([h[i] for h in held]) for i in range(3))
+                        order = np.argsort(code, kind="stable")
+                        sorted_, held = (code[order], ids[order], x[order]), [None]
+                    out += answer(*sorted_, part)
+            q = np.concatenate([np.full(len(o[1]), o[0]) for o in out] or [np.zeros(0, np.int64)])
+            flat = [np.concatenate([o[i] for o in out] or [np.zeros(0)]) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.float64))], names=["query_id", "vec_id", "score"])
+
+    form = "grp long, kind int, id long, v array<double>, codes array<long>"
     asked = rows.where(F.col("vec_id") % every == 0) if queries is None else queries
-    placed = rows.select("vec_id", "v").mapInArrow(place, "grp long, block long, code long, vec_id long, v array<double>")
-    probes = asked.select("vec_id", "v").mapInArrow(ask, "grp long, block long, query_id long, q array<double>, codes array<long>")
-    near = placed.groupBy("grp", "block").cogroup(probes.groupBy("grp", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    placed = rows.select("vec_id", "v").mapInArrow(place, form)
+    probes = write_shared(asked.select("vec_id", "v").mapInArrow(ask, form), "probes")
+    crowded = probes.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")).where("salts > 1")
+    crowded = small_or_shuffled(write_shared(crowded, "crowded"))
+    salts = F.coalesce("salts", F.lit(1))
+    copies = placed.join(crowded, "grp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    dealt = probes.join(crowded, "grp", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts.cast("long")).cast("int"))
+    both = copies.unionByName(dealt).drop("salts").repartition("grp", "salt").sortWithinPartitions("grp", "salt", "kind")
+    near = both.mapInArrow(meet, "query_id long, vec_id long, score double")
     merged = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -108,3 +108,26 @@ def small_or_shuffled(side: DataFrame, most: int = 2_000_000) -> DataFrame:
     All rows are counted, in parallel: a limit would gather its rows in one task.
     """
     return F.broadcast(side) if side.count() <= most else side
+
+
+def dealt(rows: DataFrame, one: DataFrame, key: str, by: list[str], how: str = "inner", most: int = 2000) -> DataFrame:
+    """``rows`` joined to ``one``, which has a row for each ``key``.
+
+    Rows of a key that has more than ``most`` are dealt over several tasks by a hash of the columns ``by``, and the row
+    of ``one`` goes to each. Rows of a key are counted first, summed before they are shuffled.
+    """
+    hot = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("tw_salts")).where("tw_salts > 1")
+    hot = small_or_shuffled(write_shared(hot, "hot"))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("tw_salts", F.lit(1).cast("long")))
+    left = rows.join(hot, key, "left").withColumn("tw_salt", salt).drop("tw_salts")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("tw_salts", F.lit(1).cast("long")) - 1)
+    right = one.join(hot, key, "left").withColumn("tw_salt", F.explode(salts)).drop("tw_salts")
+    return left.join(right, [key, "tw_salt"], how).drop("tw_salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -19,9 +19,9 @@ SHARE, MOST = 1.5, 2.0
 BINS = 1024
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in (0, 1) fixed by the id and the seed: 48 bits of an MD5."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) fixed by the id, the text and the seed: 48 bits of an MD5. Rows without an id, or of one, differ by text."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -65,11 +65,11 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
 
     ``taken`` is the words that the mix takes of a document: whole epochs, and once more if it is drawn for the
     fraction that is left; of a source they differ from the target by half a document at most. A null text has no
-    words; null sources are a source; null ids draw one key; repeated rows are taken one by one, ties in keys by id and
-    size. A source without words has target 0. An empty table gives an empty result. With ``whole_rows`` a
+    words; null sources are a source; rows of one id, or none, draw by their texts; repeated rows are taken one by one,
+    ties in keys by id and size. A source without words has target 0. An empty table gives an empty result. With ``whole_rows`` a
     struct ``row`` of all columns of ``docs`` comes along; else other columns are left out.
     """
-    key = -F.log(uniform(F.col(doc_id), seed)) / quality_weight(F.col(text))
+    key = -F.log(uniform(F.col(doc_id), F.col(text), seed)) / quality_weight(F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"), *([F.struct("*").alias("row")] if whole_rows else []))
     place = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * float(BINS * BINS)), F.lit(BINS * BINS - 1))
     rows = rows.withColumn("bin1", F.floor(place / BINS).cast("int")).withColumn("bin2", (place % BINS).cast("int"))
@@ -86,7 +86,8 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     first = by_source(rows.groupBy("source", F.col("bin1").alias("bin")).agg(F.sum("size").alias("n")), goals.select("source", "rest"))
     first = write_shared(_cut(first, None).withColumnsRenamed({"bin": "cut1", "before": "before1"}), "cut1")
     inside = by_source(rows, first).where("bin1 = cut1").groupBy("source", F.col("bin2").alias("bin"), "before1").agg(F.sum("size").alias("n"))
-    second = _cut(by_source(inside, goals.select("source", "rest")), "before1").withColumnsRenamed({"bin": "cut2", "before": "before2"})
+    inside = write_shared(inside, "inside")
+    second = write_shared(_cut(by_source(inside, goals.select("source", "rest")), "before1").withColumnsRenamed({"bin": "cut2", "before": "before2"}), "cut2")
     ends = write_shared(by_source(by_source(goals, first, "left"), second, "left"), "ends")
 
     told = by_source(rows, ends)
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     bins = by_source(rows.groupBy("source", "bin1").agg(F.sum("size").alias("n")), goals.select("source", "rest"))
     bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("bin1"))).where("upto <= rest").groupBy("source").agg(F.max("bin1").alias("whole"))
     inner = by_source(inside, goals.select("source", "rest")).withColumn("upto", F.col("before1") + F.sum("n").over(Window.partitionBy("source").orderBy("bin"))).where("upto <= rest").groupBy("source").agg(F.max("bin").alias("whole2"))
-    other = by_source(by_source(told.where(~last), bins, "left"), inner, "left")
+    other = by_source(by_source(told.where(~last), write_shared(bins, "whole"), "left"), write_shared(inner, "whole2"), "left")
     other = other.withColumn("more", F.coalesce(F.col("bin1") <= F.col("whole"), F.lit(False)) | F.coalesce((F.col("bin1") == F.col("cut1")) & (F.col("bin2") <= F.col("whole2")), F.lit(False))).drop("whole", "whole2")
     taken = F.col("size") * (F.col("epochs") + F.col("more").cast("long"))
     return ordered.unionByName(other).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(["row"] if whole_rows else []))
@@ -117,7 +118,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 z AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-        -ln((CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)
+        -ln((CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(t)), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)
         / (1.0 / (1.0 + 9.0 * CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS DOUBLE) / greatest(length(t), 1))) AS k FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank FROM s),

@@ -56,14 +56,14 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
     """
     if budget < max_len:
         raise ValueError("budget is smaller than max_len")
-    sized = docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("n"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("n"), F.monotonically_increasing_id().alias("row"))
     last = F.greatest(F.floor((F.col("n") - 1) / max_len), F.lit(0)).cast("int")
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = sized.select("doc_id", "n", "row", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = (F.col("piece") * max_len).cast("long")
-    pieces = write_shared(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_len)).alias("length")), "pieces")
+    pieces = write_shared(pieces.select("doc_id", "row", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_len)).alias("length")), "pieces")
     histogram = pieces.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("length")
     bounds, _ = boundaries(histogram["length"].to_numpy(), histogram["n"].to_numpy(), buckets)
-    none = pieces.where("length = 0").select("*", F.lit(None).cast("int").alias("bucket_len"), F.lit(None).cast("string").alias("batch_id"), F.lit(None).cast("int").alias("slot"))
+    none = pieces.where("length = 0").drop("row").select("*", F.lit(None).cast("int").alias("bucket_len"), F.lit(None).cast("string").alias("batch_id"), F.lit(None).cast("int").alias("slot"))
     if not bounds:
         return none
     in_bucket = histogram.groupby(np.searchsorted(bounds, histogram["length"]))["n"].sum()
@@ -73,9 +73,9 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
         at = F.when(F.col("length") <= bounds[b], b).otherwise(at)
     pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
     rows = pieces.where("length > 0").withColumn("b", at).withColumn("bucket_len", pick(bounds, F.col("b")))
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", "piece", "length"), pick(slices, F.col("b")).cast("long")))
-    # copies of one row may share a slice; they are few in any that repeats are dealt by, but for a table of one row only
-    seat = F.row_number().over(Window.partitionBy("b", "s").orderBy("doc_id", "piece", "length")) - 1
+    # dealt by the row's number, written with it, so that null ids and copies of one row are dealt out too
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("row", "piece"), pick(slices, F.col("b")).cast("long")))
+    seat = F.row_number().over(Window.partitionBy("b", "s").orderBy("doc_id", "piece", "row")) - 1
     room = F.floor(F.lit(budget) / F.col("bucket_len")).cast("int")
     rows = rows.withColumn("seat", seat)
     batch = F.concat_ws("-", "bucket_len", "s", F.floor(F.col("seat") / room))

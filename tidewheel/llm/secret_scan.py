@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import small_or_shuffled, table, write_shared
+from tidewheel.llm.common import free_name, small_or_shuffled, table, write_shared
 from tidewheel.llm.quality_rules import bind
 
 SCOPE = 240
@@ -55,16 +55,9 @@ def spans_of(text: Column, index: int) -> Column:
     k = KINDS[index]
 
     def lay(found: Column, values: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            end = start + x["len"]
-            keep = (x["len"] == k.least) if k.exact else (x["val"] >= k.least)
-            more = F.when(keep, F.array(F.struct(start.alias("start"), F.lit(index).alias("kind"), end.alias("end")))).otherwise(F.array().cast(f"array<{SPAN}>"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
-
         gaps = F.split(text, k.pattern, -1)
-        parts = F.transform(F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda z: F.struct(F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("len"), F.length(z["v"]).alias("val")))
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda acc: acc["out"])
+        sizes = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")), lambda z: F.length(z["g"]) + F.length(z["m"]))
+        return bind(running(sizes), lambda end: F.transform(F.filter(F.transform(F.arrays_zip(end.alias("e"), found.alias("m"), values.alias("v")), lambda z: F.struct((z["e"] - F.length(z["m"])).alias("start"), z["e"].alias("end"), F.length(z["m"]).alias("len"), F.length(z["v"]).alias("val"))), lambda x: (x["len"] == k.least) if k.exact else (x["val"] >= k.least)), lambda x: F.struct(x["start"].alias("start"), F.lit(index).alias("kind"), x["end"].alias("end"))))
 
     empty = F.array().cast(f"array<{SPAN}>")
     whole = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
@@ -73,6 +66,30 @@ def spans_of(text: Column, index: int) -> Column:
     return F.when(F.contains(text, F.lit(k.hint)), found).otherwise(empty) if k.hint else found
 
 
+def _scan(values: Column, join, block: int = 256) -> Column:
+    """Running results of ``join`` over an array of integers not below 0, which starts from 0.
+
+    An array is grown step by step within blocks of 256 only, then over blocks, so a long one costs little more than its length.
+    """
+
+    def steps(own: Column) -> Column:
+        grow = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], x))).alias("out"))
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), grow, lambda acc: acc["out"])
+
+    def blocks(whole: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / block).cast("int")), lambda i: steps(F.slice(whole, i * block + 1, block)))
+
+    def joined(parts: Column) -> Column:
+        before = steps(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return bind(before, lambda t: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: join(F.coalesce(F.get(t, i - 1), F.lit(0)), x)))))
+
+    return F.when(F.size(values) <= block, steps(values)).otherwise(bind(blocks(values), joined))
+
+
+def running(sizes: Column) -> Column:
+    return _scan(sizes, lambda a, b: a + b)
+
+
 def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
@@ -102,7 +119,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
 
     Offsets are code points of the whole text, ends exclusive; ``kind`` indexes ``KINDS``. A null or empty text has no
     span. Rows are told apart by id and text, so repeated rows get equal results; null ids are kept. An empty table
-    gives an empty result. Columns named in ``keep`` ride along; others, whatever their names, are left out.
+    gives an empty result. Other columns are left out.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     kinds = [spans_of(F.col("t"), i).alias(f"k{i}") for i in range(len(KINDS))]
@@ -128,20 +145,32 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _pick([k.name for k in KINDS], s["kind"]), s["start"], s["end"])), ",")
 
 
+def merged(spans: Column) -> Column:
+    """Spans, by start, as (start, end) with those that overlap or lie within others joined."""
+    ends = F.transform(spans, lambda s: s["end"])
+    # a span begins a group if none before it ends after its start
+    return bind(_scan(ends, F.greatest), lambda most: bind(F.filter(F.transform(F.arrays_zip(spans.alias("s"), most.alias("e")), lambda z, i: F.struct(z["s"]["start"].alias("start"), i.alias("i"), (F.coalesce(F.get(most, i - 1), F.lit(0)) <= z["s"]["start"]).alias("new"))), lambda x: x["new"]), lambda heads: F.transform(heads, lambda h, j: F.struct(h["start"].alias("start"), F.get(most, F.coalesce(F.get(heads, j + 1)["i"], F.size(most)) - 1).alias("end")))))
+
+
 def redact(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """``text`` with every span replaced; overlapping spans go together."""
-    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))).alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
+    """``text`` with every span replaced; overlapping spans go together. The pieces between are joined once."""
+
+    def built(groups: Column) -> Column:
+        pieces = F.transform(groups, lambda g, i: bind(F.coalesce(F.get(groups, i - 1)["end"], F.lit(0)), lambda at: F.substring(text, at + 1, g["start"] - at)))
+        rest = F.substring(text, F.element_at(groups, -1)["end"] + 1, F.length(text))
+        return F.array_join(F.concat(pieces, F.array(rest)), by)
+
+    return F.when(F.size(spans) == 0, text).otherwise(bind(merged(spans), built))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span found in ``text`` replaced. Texts are shuffled only if those with spans are many."""
-    found = scan(docs).where(F.size("found") > 0).select("key", "found").dropDuplicates(["key"]).withColumnsRenamed({"key": "tw_key", "found": "tw_found"})
+    key, id_, mark = (free_name(docs, n) for n in ("tw_key", "tw_id", "tw_found"))
+    found = scan(docs).where(F.size("found") > 0).select("doc_id", "key", "found").dropDuplicates(["doc_id", "key"]).toDF(id_, key, mark)
     found = write_shared(found, "found")
-    key = row_key(F.col("doc_id"), F.col("text"))
-    marked = docs.join(small_or_shuffled(found, 200_000), key == F.col("tw_key"), "left")
-    text = F.when(F.col("tw_found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("tw_found")))
+    same = (row_key(F.col("doc_id"), F.col("text")) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    marked = docs.join(small_or_shuffled(found, 200_000), same, "left")
+    text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col(mark)))
     return marked.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -14,7 +14,8 @@ pairs of a crowded bucket:
 3. *Connect.* Classes are the connected components over links, by rounds of large-star and small-star.
 
 Cost per distinct fingerprint is bounded (about 130 rows in step 1, at most 2,081 more in step 2), whatever the size
-of a group of copies; exact copies of a fingerprint are one from the start.
+of a group of copies; exact copies of a fingerprint are one from the start. Buckets are counted by partial sums, and keys
+of many rows are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import small_or_shuffled, table, write_shared
+from tidewheel.llm.common import dealt, free_name, small_or_shuffled, table, write_shared
 from tidewheel.llm.components import connected_components
 
 SEED, WIDTH, RADIUS = 42, 3, 3
@@ -107,13 +108,9 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` has distinct values in column ``fp``.
     """
-    by_key = Window.partitionBy("key")
-    met = (
-        _punctured(fps)
-        .select("key", "fp", F.count(F.lit(1)).over(by_key).alias("n"), F.lead("fp", 1).over(by_key.orderBy("fp")).alias("next"))
-        .where("n > 1")
-    )
-    met = write_shared(met, "met")
+    keyed = _punctured(fps)
+    busy = write_shared(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "busy")
+    met = write_shared(keyed.join(small_or_shuffled(busy), "key"), "met")
     few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_verified, "src long, dst long").distinct()
     crowd = met.where(F.col("n") > FEW).select("fp").distinct()
     # the points of whole balls: kind 0, one bit around all; kind 1, where an even one (one bit) meets odd ones (two bits)
@@ -142,11 +139,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     distinct = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     edges = write_shared(links(distinct.select("fp")), "links")
     comps = connected_components(edges)  # node, root: only fingerprints that have a link
-    named = comps.join(distinct, comps["node"] == distinct["fp"]).select("root", "fp", "rep")
+    named = write_shared(comps.join(distinct, comps["node"] == distinct["fp"]).select("root", "fp", "rep"), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(least, "root").select("fp", "root", "component_id")
+    linked = dealt(named, least, "root", ["fp"]).select("fp", "root", "component_id")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
+    return dealt(prints, write_shared(classes, "classes"), "fp", ["doc_id", "th"]).select("doc_id", "th", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
@@ -157,13 +154,16 @@ def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = nea
     found = write_shared(classes(docs), "classes")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
     first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("id1"), F.col("first.th").alias("th1"))
-    told = found.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("th") == F.col("th1")))
-    rows = told.groupBy(F.col("doc_id").alias("tw_id"), F.col("th").alias("tw_th")).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    told = dealt(found, first, "root", ["doc_id", "th"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("id1")) & (F.col("th") == F.col("th1")))
+    id_, th = free_name(docs, "tw_id"), free_name(docs, "tw_th")
+    rows = told.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
     odd = write_shared(rows.where("NOT stays OR times > 1"), "odd")  # the rows that go, and those that stay once of several
-    same = F.col("doc_id").eqNullSafe(F.col("tw_id")) & (F.xxhash64("text") == F.col("tw_th"))
-    plain = docs.join(small_or_shuffled(odd.select("tw_id", "tw_th")), same, "left_anti")
-    several = docs.join(small_or_shuffled(odd.where("stays")), same, "left_semi")
-    return plain.unionByName(several.withColumn("tw_th", F.xxhash64("text")).dropDuplicates(["doc_id", "tw_th"]).drop("tw_th"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th))
+    plain = docs.join(small_or_shuffled(odd.select(id_, th)), same, "left_anti")
+    several = docs.join(small_or_shuffled(odd.where("stays").select(id_, th)), same, "left_semi")
+    # of rows equal in id and text, the one of least hash of all columns
+    one = several.groupBy("doc_id", F.xxhash64("text").alias(th)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("tw_row"))
+    return plain.unionByName(one.select("tw_row.*"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

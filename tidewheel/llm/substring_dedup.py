@@ -142,7 +142,7 @@ def later_places(rows: DataFrame, buckets: int) -> DataFrame:
                 places = places[np.lexsort([places[k] for k in reversed(_ORDER)])]
                 first = np.ones(len(places), bool)
                 first[1:] = places["h"][1:] != places["h"][:-1]
-                out = [(int(begin % buckets), False, _pack(_later(places, first)))] if not first.all() else []
+                out = [(int(places['th'][0]) % buckets, False, _pack(_later(places, first)))] if not first.all() else []
                 places = places[first]
                 at = places["h"].view(np.uint64) % np.uint64(buckets)
                 order = np.argsort(at, kind="stable")

@@ -1,11 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-Each class has a model of the next sign given all signs of the word so far, with the word's end as a sign of its own. A
-sign's count is the number of documents of the class that hold the word up to it, so a burst within one document says no
-more than one use. Absolute discounts go to a distribution that both classes share: Kneser-Ney counts of the same signs
+Each class has a model of the next sign given all signs of the word so far, with the word's end as a sign of its own.
+Counts are over the different words of each document, so a burst within one says no more than one use. Absolute discounts go to a distribution that both classes share: Kneser-Ney counts of the same signs
 over both classes, which back off to the number of different word beginnings that a sign ends. So a rare expression has
-nearly the same probability in both classes. A document's score is the difference of its two log-likelihoods over all
-its different word beginnings, for either class, normalised by their number, and calibrated by pooling adjacent
+nearly the same probability in both classes. A document's score is the difference of the two log-likelihoods of all its
+different words, normalised by the number of their signs, and calibrated by pooling adjacent
 violators over scores of each fold under the other's counts. Each sign's difference is shrunken towards 0 by ``MARGIN``
 nats, on both sides: smaller ones are differences of style or language that add up over a long text.
 
@@ -15,6 +14,7 @@ left is broadcast up to ``MOST`` rows, and beyond that joined to the signs of th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +32,15 @@ MARGIN, PRIOR = 0.5, 1500
 CUT = 0.7
 #: Rows of the table of ratios that may be broadcast (of 32 bytes each).
 MOST = 1_500_000
-CHUNK = 256
+#: Texts, and words, that a task takes at a time; words whose totals it remembers.
+CHUNK, WORDS, REMEMBERED = 256, 65536, 200_000
 _BINS, _SPAN = 8000, 1.0
 VIEWS = ("whole", "without0", "without2")
 
 
 def _signs() -> bytes:
     """Letters in lower case, digits and all bytes outside ASCII are signs; anything else ends a word."""
-    signs = bytearray(256)
+    signs = bytearray(b" " * 256)
     for b in (*range(48, 58), *range(97, 123), *range(128, 256)):
         signs[b] = b
     for b in range(65, 91):
@@ -52,45 +53,45 @@ _TERMS = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def nodes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different word beginnings of a text: their keys (rising), the keys of what precedes their last sign, that sign.
+def words_of(text: str | None) -> set[bytes]:
+    return set((text or "").encode("utf-8", "surrogatepass").translate(_SIGNS).split())
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each sign of each word, its end included: the key of the word up to it, and up to the sign before; the sign; the word's number.
 
     A key is a 64-bit polynomial of the signs; 0 is the empty beginning.
     """
-    c = np.frombuffer(b"\0" + (text or "").encode("utf-8", "surrogatepass").translate(_SIGNS) + b"\0", np.uint8)
-    keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
-    c = c[keep]
-    i = np.arange(len(c))
-    start = np.zeros(len(c), np.int64)
-    start[1:] = np.maximum.accumulate(np.where(c[:-1] == 0, i[:-1], 0))
-    deep = i - start
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(deep.max()), _BASE)]), dtype=np.uint64)
-    sums = np.cumsum(_TERMS[c] * powers[deep], dtype=np.uint64)
-    own = sums - sums[start]
-    above = np.where(deep > 1, np.concatenate([own[:1], own[:-1]]), np.uint64(0))
-    keys, first = np.unique(own[1:].view(np.int64), return_index=True)
-    return keys, above[1:][first].view(np.int64), c[1:][first]
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    c = np.frombuffer(b" ".join([*words, b""]), np.uint8) if words else np.zeros(0, np.uint8)
+    start = np.repeat(np.cumsum(n) - n, n)
+    deep = np.arange(len(c)) - start
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(n.max(initial=1)), _BASE)]), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TERMS[c] * powers[deep], dtype=np.uint64)])
+    own, above = sums[1:] - sums[start], np.where(deep > 0, sums[:-1] - sums[start], np.uint64(0))
+    return own.view(np.int64), above.view(np.int64), c, np.repeat(np.arange(len(words)), n)
 
 
 def count_nodes(rows: DataFrame) -> DataFrame:
-    """key, above, sign, n00, n01, n20, n21: of each word beginning in ``rows`` (text, fold, label) the documents by fold and label.
+    """key, above, sign, n00, n01, n20, n21: how often each word beginning stands in the different words of each text of ``rows``
+    (text, fold, label), by fold and label.
 
     Each batch is summed before it leaves Python, then Spark sums in and over partitions.
     """
     counts = [f"n{f}{y}" for f in (0, 2) for y in (0, 1)]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4 * CHUNK):
-                b = whole.slice(at, 4 * CHUNK)
-                found = [nodes(t.as_py()) for t in b.column(0)]
-                which = np.array([(f == 2) * 2 + y for f, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
-                keys, above, sign = (np.concatenate([x[i] for x in found]) for i in range(3))
-                group = np.repeat(which, [len(x[0]) for x in found])
-                some, first, where = np.unique(keys, return_index=True, return_inverse=True)
-                n = [np.bincount(where[group == g], minlength=len(some)) for g in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(above[first]), pa.array(sign[first].astype(np.int32)), *map(pa.array, n)], names=["key", "above", "sign", *counts])
+        for b in batches:
+            held: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
+            for text, fold, label in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                held[(fold == 2) * 2 + label].update(words_of(text.as_py()))
+            words = sorted(set().union(*held))
+            for at in range(0, len(words), WORDS):
+                some = words[at : at + WORDS]
+                own, above, sign, of = spelled(some)
+                keys, first, where = np.unique(own, return_index=True, return_inverse=True)
+                n = [np.bincount(where, weights=np.fromiter(map(h.__getitem__, some), np.int64, len(some))[of], minlength=len(keys)).astype(np.int64) for h in held]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(above[first]), pa.array(sign[first].astype(np.int32)), *map(pa.array, n)], names=["key", "above", "sign", *counts])
 
     found = rows.select("text", "fold", "label").mapInArrow(local, "key long, above long, sign int, " + ", ".join(f"{c} long" for c in counts))
     return found.groupBy("key").agg(F.min("above").alias("above"), F.min("sign").alias("sign"), *[F.sum(c).alias(c) for c in counts])
@@ -145,33 +146,55 @@ class Ratios:
         self.keys = got["key"].to_numpy()
         self.of = {c: got[c].to_numpy() for c in got.column_names[1:]}
 
-    def total(self, found: tuple[np.ndarray, np.ndarray, np.ndarray], view: str) -> float:
-        if not len(self.keys):
-            return 0.0
-        at, up = (np.minimum(np.searchsorted(self.keys, found[i]), len(self.keys) - 1) for i in (0, 1))
-        unseen = np.where(self.keys[up] == found[1], self.of[f"u_{view}"][up], 0)
-        return float(np.where(self.keys[at] == found[0], self.of[f"r_{view}"][at], unseen).sum(dtype=np.float64))
+    def totals(self, words: list[bytes], view: str) -> np.ndarray:
+        """The summed log ratios of words."""
+        own, above, _, of = spelled(words)
+        if not len(self.keys) or not words:
+            return np.zeros(len(words))
+        at, up = (np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1) for x in (own, above))
+        unseen = np.where(self.keys[up] == above, self.of[f"u_{view}"][up], 0)
+        return np.bincount(of, weights=np.where(self.keys[at] == own, self.of[f"r_{view}"][at], unseen), minlength=len(words))
+
+
+class _Known:
+    """Totals of words under one view; a task remembers so many, then starts afresh."""
+
+    def __init__(self, ratio: Ratios, view: str) -> None:
+        self.ratio, self.view, self.of = ratio, view, {}
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.of) > REMEMBERED:
+            self.of = {}
+        new = [w for w in words if w not in self.of]
+        for at in range(0, len(new), WORDS):
+            some = new[at : at + WORDS]
+            self.of.update(zip(some, self.ratio.totals(some, self.view).tolist(), strict=True))
 
 
 def scores(rows: DataFrame, table: DataFrame, most: int = MOST) -> DataFrame:
     """``rows`` with ``s``, the normalised difference of log-likelihoods of ``text``, which is left out, under ``view``.
 
-    A table of up to ``most`` rows goes to the tasks. A larger one is joined to the signs of the texts, which are
+    A table of up to ``most`` rows goes to the tasks. A larger one is joined to the signs of the texts' words, which are
     shuffled then; common signs are told apart by the join's handling of skew.
     """
     keep = [c for c in rows.columns if c not in ("text", "view")]
     form = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     ordered = rows.select(*keep, "view", "text")
+    normal = lambda words: sum(map(len, words)) + len(words) + PRIOR
     if table.count() <= most:
         ratio = Ratios(table)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for view, text in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1), strict=True):
-                    found = nodes(text.as_py())
-                    out.append(ratio.total(found, view) / (len(found[0]) + PRIOR))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "s"])
+            known = {v: _Known(ratio, v) for v in VIEWS}
+            for whole in batches:
+                for at in range(0, whole.num_rows, CHUNK):
+                    b = whole.slice(at, CHUNK)
+                    words = [words_of(t.as_py()) for t in b.column(len(keep) + 1)]
+                    views = b.column(len(keep)).to_pylist()
+                    for v in set(views):
+                        known[v].learn(set().union(*(w for w, x in zip(words, views, strict=True) if x == v)))
+                    out = [sum(map(known[v].of.__getitem__, sorted(w))) / normal(w) for w, v in zip(words, views, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], names=[*keep, "s"])
 
         return ordered.mapInArrow(run, f"{form}, s double")
 
@@ -179,17 +202,17 @@ def scores(rows: DataFrame, table: DataFrame, most: int = MOST) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(at, CHUNK)
-                found = [nodes(t.as_py()) for t in b.column(len(keep) + 1)]
+                found = [spelled(list(words_of(t.as_py()))) for t in b.column(len(keep) + 1)]
                 lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], *lists], names=[*keep, "view", "keys", "above"])
 
-    spelled = write_shared(ordered.mapInArrow(spell, f"{form}, view string, keys array<long>, above array<long>").withColumn("tw_row", F.monotonically_increasing_id()), "spelled")
+    texts = write_shared(ordered.mapInArrow(spell, f"{form}, view string, keys array<long>, above array<long>").withColumn("tw_row", F.monotonically_increasing_id()), "spelled")
     pick = lambda k: F.coalesce(*[F.when(F.col("view") == v, F.col(f"{k}_{v}")) for v in VIEWS])
-    signs = spelled.select("tw_row", "view", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("above").alias("above"))).alias("x")).select("tw_row", "view", "x.*")
+    signs = texts.select("tw_row", "view", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("above").alias("above"))).alias("x")).select("tw_row", "view", "x.*")
     own = signs.join(table.select("key", *[f"r_{v}" for v in VIEWS]), "key", "left").select("tw_row", "view", "above", pick("r").alias("r"))
     up = table.select(F.col("key").alias("above"), *[f"u_{v}" for v in VIEWS])
     sums = own.join(up, "above", "left").groupBy("tw_row").agg(F.sum(F.coalesce("r", pick("u"), F.lit(0.0)).cast("double")).alias("total"))
-    return spelled.join(sums, "tw_row", "left").select(*keep, (F.coalesce("total", F.lit(0.0)) / (F.size("keys") + PRIOR)).alias("s"))
+    return texts.join(sums, "tw_row", "left").select(*keep, (F.coalesce("total", F.lit(0.0)) / (F.size("keys") + PRIOR)).alias("s"))
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame | None, tuple[np.ndarray, np.ndarray]]:
