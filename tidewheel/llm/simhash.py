@@ -37,6 +37,8 @@ FEW = 1024
 #: Blocks of the 64 bits, (first bit, end).
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 CHUNK = 1 << 16
+#: Rows of keys that a task spells out.
+SPREAD = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -108,7 +110,8 @@ def links(fps: DataFrame) -> DataFrame:
 
     ``fps`` has distinct values in column ``fp``.
     """
-    keyed = _punctured(fps)
+    # each row becomes 132, so a small table is dealt out first
+    keyed = _punctured(fps.repartition(max(2, 132 * fps.count() // SPREAD), "fp"))
     busy = write_shared(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "busy")
     met = write_shared(keyed.join(small_or_shuffled(busy), "key"), "met")
     few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_verified, "src long, dst long").distinct()

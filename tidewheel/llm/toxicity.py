@@ -33,7 +33,7 @@ CUT = 0.7
 #: Rows of the table of ratios that may be broadcast (of 32 bytes each).
 MOST = 1_500_000
 #: Texts, and words, that a task takes at a time; words whose totals it remembers.
-CHUNK, WORDS, REMEMBERED = 256, 65536, 200_000
+CHUNK, WORDS, REMEMBERED = 256, 32768, 100_000
 _BINS, _SPAN = 8000, 1.0
 VIEWS = ("whole", "without0", "without2")
 
@@ -76,24 +76,32 @@ def count_nodes(rows: DataFrame) -> DataFrame:
     """key, above, sign, n00, n01, n20, n21: how often each word beginning stands in the different words of each text of ``rows``
     (text, fold, label), by fold and label.
 
-    Each batch is summed before it leaves Python, then Spark sums in and over partitions.
+    Words are counted first, in and over partitions, so each different one is spelled out once.
     """
     counts = [f"n{f}{y}" for f in (0, 2) for y in (0, 1)]
+    numbers = ", ".join(f"{c} long" for c in counts)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
-            for text, fold, label in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held[(fold == 2) * 2 + label].update(words_of(text.as_py()))
-            words = sorted(set().union(*held))
-            for at in range(0, len(words), WORDS):
-                some = words[at : at + WORDS]
-                own, above, sign, of = spelled(some)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                held: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
+                for text, fold, label in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    held[(fold == 2) * 2 + label].update(words_of(text.as_py()))
+                words = list(set().union(*held))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array(map(h.__getitem__, words), pa.int64()) for h in held)], names=["word", *counts])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, WORDS):
+                b = whole.slice(at, WORDS)
+                own, above, sign, of = spelled(b.column(0).to_pylist())
                 keys, first, where = np.unique(own, return_index=True, return_inverse=True)
-                n = [np.bincount(where, weights=np.fromiter(map(h.__getitem__, some), np.int64, len(some))[of], minlength=len(keys)).astype(np.int64) for h in held]
+                n = [np.bincount(where, weights=b.column(i).to_numpy()[of], minlength=len(keys)).astype(np.int64) for i in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(above[first]), pa.array(sign[first].astype(np.int32)), *map(pa.array, n)], names=["key", "above", "sign", *counts])
 
-    found = rows.select("text", "fold", "label").mapInArrow(local, "key long, above long, sign int, " + ", ".join(f"{c} long" for c in counts))
+    words = rows.select("text", "fold", "label").mapInArrow(count, f"word binary, {numbers}").groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
+    found = words.mapInArrow(spell, f"key long, above long, sign int, {numbers}")
     return found.groupBy("key").agg(F.min("above").alias("above"), F.min("sign").alias("sign"), *[F.sum(c).alias(c) for c in counts])
 
 
