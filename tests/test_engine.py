@@ -64,12 +64,17 @@ def test_latch(spark):
 
 
 def test_trailing_stop(spark):
+    from pyspark.sql import functions as F
+
     for buy, prices in ((True, [100, 95, 100, 110, 100, 50]), (False, [100, 105, 100, 90, 100, 150])):
         rows = spark.createDataFrame([(0, i, float(p)) for i, p in enumerate(prices)], "sym int, seq long, price double")
         got = [r["multiplier"] for r in strategy.trailing_stop(rows, 10.0, 0.33, buy).orderBy("seq").collect()]
         assert np.allclose(got, [1, 0.835, 0.835, 0.835, 0.67, 0.67])
-        trail = strategy.Trail(buy, 10.0, 0.33)
-        assert np.allclose([trail.step(p)[0] for p in prices], got)
+        cut = [r["multiplier"] for r in strategy.trailing_stop(rows, 10.0, 0.33, buy, block=F.floor(F.col("seq") / 2)).orderBy("seq").collect()]
+        assert np.allclose(cut, got)
+        position = strategy.Position(strategy.Knobs(trail_pct=0.1, sl_x=1e9, tp_x=1e9))
+        position.want("Long" if buy else "Short", 1.0)
+        assert np.allclose([position.tick(0, float(p), 1.0)[3] for p in prices], got)
 
 
 def test_episode_invariants():

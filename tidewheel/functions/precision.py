@@ -8,8 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MOST = 18
-#: Quote currencies that a pair written without a delimiter may end in, longest first.
-QUOTES = ("USDT", "USDC", "BUSD", "TUSD", "USD", "EUR", "GBP", "JPY", "BTC", "ETH", "BNB")
+#: Quote currencies that a pair written without a delimiter may end in; the first that fits counts.
+QUOTES = (
+    "EURI", "EUR", "FDUSD", "BFUSD", "RWUSD", "USD1", "BNFCR", "USD", "GBP", "USDP", "USDS", "PLN", "RON", "CZK", "TRY", "JPY",
+    "BRL", "RUB", "AUD", "NGN", "MXN", "COP", "ARS", "BKRW", "IDRT", "UAH", "BIDR", "BVND", "ZAR",
+    "USDT", "USDC", "UST", "BTC", "WETH", "ETH", "BNB", "SOL", "XRP", "PAX", "DAI", "VAI", "DOGE", "DOT", "TRX",
+)
 
 
 def raw(text: Column, precision: int) -> Column:
@@ -55,9 +59,12 @@ def pair(text: Column) -> tuple[Column, Column]:
     """
     t = F.upper(F.regexp_replace(text, r"\s", ""))
     by_sign = r"^([A-Z0-9]{1,16})[-,_/]([A-Z0-9]{1,16})$"
-    by_end = rf"^([A-Z0-9]{{1,16}}?)({'|'.join(QUOTES)})$"
-    pick = lambda i: F.when(F.regexp_like(t, F.lit(by_sign)), F.regexp_extract(t, by_sign, i)).when(F.regexp_like(t, F.lit(by_end)), F.regexp_extract(t, by_end, i))
-    return pick(1), pick(2)
+    quote = F.coalesce(*[F.when(F.endswith(t, F.lit(q)), F.lit(q)) for q in QUOTES])
+    base = F.substring(t, 1, F.length(t) - F.length(quote))
+    whole = F.regexp_like(base, F.lit("^[A-Z0-9]{1,16}$"))
+    signed = F.regexp_like(t, F.lit(by_sign))
+    first = F.when(signed, F.regexp_extract(t, by_sign, 1)).when(whole, base)
+    return first, F.when(signed, F.regexp_extract(t, by_sign, 2)).when(whole, quote)
 
 
 #: What a symbol's instrument adds to its pair.
@@ -92,7 +99,9 @@ def usd(text: Column) -> Column:
 def parse_pair(text: str) -> tuple[str, str]:
     """The driver's form of ``pair``; raises ValueError."""
     t = re.sub(r"\s", "", text).upper()
-    m = re.fullmatch(r"([A-Z0-9]{1,16})[-,_/]([A-Z0-9]{1,16})", t) or re.fullmatch(rf"([A-Z0-9]{{1,16}}?)({'|'.join(QUOTES)})", t)
-    if not m:
+    if m := re.fullmatch(r"([A-Z0-9]{1,16})[-,_/]([A-Z0-9]{1,16})", t):
+        return m[1], m[2]
+    quote = next((q for q in QUOTES if t.endswith(q)), None)
+    if quote is None or not re.fullmatch("[A-Z0-9]{1,16}", t[: -len(quote)]):
         raise ValueError(f"not a pair: {text!r}")
-    return m[1], m[2]
+    return t[: -len(quote)], quote

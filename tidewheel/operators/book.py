@@ -67,7 +67,8 @@ class Sides:
         return self.prices[0][: -n - 1 : -1] if side == 0 else self.prices[1][:n]
 
     def depth(self, side: int, n: int = DEPTH) -> int:
-        return sum(p * self.qty[side][p] for p in self.best(side, n))
+        own = self.qty[side]
+        return sum([p * own[p] for p in self.best(side, n)])
 
     def levels(self) -> dict[tuple[int, int], int]:
         return {(s, p): q for s in (0, 1) for p, q in self.qty[s].items()}
@@ -97,12 +98,15 @@ def top(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame:
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["carry", "seq"], ascending=[False, True])
-        book, out = Sides(), []
-        for carry, seq, ts, side, price, qty in part[["carry", "seq", "ts", "side", "price_raw", "qty_raw"]].itertuples(index=False):
-            book.set(int(side), int(price), int(qty))
-            if not carry:
-                bid, ask = book.best(0), book.best(1)
-                out.append((int(seq), int(ts), *((bid[0], ask[0], book.depth(0, depth), book.depth(1, depth)) if bid and ask else (None,) * 4)))
+        start = part[part["carry"] == 1]
+        book, out = Sides(zip(*(start[c].tolist() for c in ("side", "price_raw", "qty_raw")), strict=True)), []
+        own = [(book.best(s), book.depth(s, depth)) for s in (0, 1)]
+        rest = part[part["carry"] == 0]
+        for seq, ts, side, price, qty in zip(*(rest[c].tolist() for c in ("seq", "ts", "side", "price_raw", "qty_raw")), strict=True):
+            book.set(side, price, qty)
+            own[side] = (book.best(side), book.depth(side, depth))  # the other side stands
+            (bid, b), (ask, a) = own
+            out.append((seq, ts, bid[0], ask[0], b, a) if bid and ask else (seq, ts, None, None, None, None))
         names = ["seq", "ts", "bid", "ask", "bid_depth", "ask_depth"]  # each an integer array of its own: nanoseconds don't fit a double
         frame = pd.DataFrame({k: pd.array([r[i] for r in out], dtype="Int64") for i, k in enumerate(names)})
         frame.insert(0, "sym", part["sym"].iloc[0])
@@ -137,6 +141,100 @@ def view_changes(deltas: DataFrame, block: int, depth: int = DEPTH) -> DataFrame
     return rows.groupBy("sym", "tw_block").applyInPandas(fold, "sym int, seq long, ts long, side int, price_raw long, qty_raw long")
 
 
+def joined(deltas: DataFrame, period: int) -> DataFrame:
+    """Each period's net with the net of the period before: sym, period, side, price_raw, qty_raw (the later value of a level
+    that both touch), prev (whether the period before meets this one and both ran unbroken).
+
+    A net is a level's last quantity, so it can be folded over any book that stands within the two periods.
+    """
+    nets = net(deltas, period).select("sym", "period", "side", "price_raw", "qty_raw")
+    w = Window.partitionBy("sym").orderBy("period")
+    spans = contiguity(deltas, period)
+    able = F.col("whole") & F.lag("whole").over(w) & (F.lag("period").over(w) == F.col("period") - period) & (F.lag("last_seq").over(w) + 1 == F.col("first_seq"))
+    spans = spans.select("sym", "period", F.coalesce(able, F.lit(False)).alias("prev"))
+    before = nets.withColumn("period", F.col("period") + period).withColumn("late", F.lit(0))
+    both = before.join(spans.where("prev").select("sym", "period"), ["sym", "period"], "left_semi").unionByName(nets.withColumn("late", F.lit(1)))
+    return both.groupBy("sym", "period", "side", "price_raw").agg(F.max_by("qty_raw", "late").alias("qty_raw")).join(spans, ["sym", "period"])
+
+
+def levels_of(anchors: DataFrame) -> DataFrame:
+    """A row for each level of checkpoints (sym, seq, ts, bid_prices, bid_qtys, ask_prices, ask_qtys)."""
+    sides = [F.transform(F.arrays_zip(F.col(f"{n}_prices").alias("p"), F.col(f"{n}_qtys").alias("q")), lambda x, i=i: F.struct(F.lit(i).alias("side"), x["p"].cast("long").alias("price_raw"), x["q"].cast("long").alias("qty_raw"))) for i, n in enumerate(("bid", "ask"))]
+    return anchors.select("sym", "seq", "ts", F.explode(F.concat(*sides)).alias("x")).select("sym", "seq", "ts", "x.*")
+
+
+def checkpoint_shapes(deltas: DataFrame, cadence: int) -> DataFrame:
+    """Checkpoints of a gapless stream: the book after the first change of each period, as sym, seq, ts and four lists."""
+    due = checkpoints(deltas, cadence).select("sym", F.col("seq").alias("at"), F.col("ts").alias("at_ts"), F.col("period").alias("p"))
+    cut = deltas.withColumn("p", bucket("ts", cadence))
+    # nets of whole periods, and of the part of each up to its own checkpoint
+    part = cut.join(due, ["sym", "p"]).where("seq <= at").groupBy("sym", "p", "side", "price_raw").agg(F.max_by("qty_raw", "seq").alias("qty_raw")).withColumn("part", F.lit(1))
+    carried = with_carry(deltas.select("sym", "seq", "ts", "side", "price_raw", "qty_raw"), cadence).where("carry = 1").select("sym", F.col("tw_block").alias("p"), "side", "price_raw", "qty_raw").withColumn("part", F.lit(0))
+    held = part.unionByName(carried).groupBy("sym", "p", "side", "price_raw").agg(F.max_by("qty_raw", "part").alias("qty_raw")).where("qty_raw > 0").join(due, ["sym", "p"])
+    keyed = held.withColumn("id", F.struct("sym", "at", "at_ts"))
+    shapes = shape(keyed.select(F.col("id").alias("sym"), "side", "price_raw", "qty_raw"))
+    return shapes.select("sym.sym", F.col("sym.at").alias("seq"), F.col("sym.at_ts").alias("ts"), *shapes.columns[1:])
+
+
+def from_anchor(deltas: DataFrame, anchors: DataFrame, upto: int) -> DataFrame:
+    """The book at time ``upto`` from the newest checkpoint at or before it and the changes after that: sym, side, price_raw, qty_raw.
+
+    Equal to the fold from the first change, at the cost of what came since the checkpoint. Symbols without a checkpoint
+    have no book yet.
+    """
+    newest = anchors.where(F.col("ts") <= upto).groupBy("sym").agg(F.max_by(F.struct(*[c for c in anchors.columns if c != "sym"]), F.struct("ts", "seq")).alias("a")).select("sym", "a.*")
+    later = deltas.where(F.col("ts") <= upto).join(newest.select("sym", F.col("seq").alias("from")), "sym").where("seq > from").drop("from")
+    return state(levels_of(newest).unionByName(later.select("sym", "seq", "ts", "side", F.col("price_raw").cast("long").alias("price_raw"), "qty_raw")))
+
+
+class Epochs:
+    """A book that may lose its place: checkpoints seed it, and count only while it has no place in the stream.
+
+    ``step`` takes a tick's checkpoint (levels, or None), its changes [(seq, side, price, qty)] in order, and what the
+    retained net speaks for: (first seq, last seq, levels), or None where the net has a hole.
+    """
+
+    def __init__(self) -> None:
+        self.book, self.seq, self.epoch, self.synced = Sides(), None, 0, False
+
+    def step(self, anchor: list | None, changes: list, net_: tuple[int, int, list] | None = None) -> bool:
+        if self.synced:
+            follows = not changes or self.seq is None or changes[0][0] == self.seq + 1
+            covered = net_ is not None and self.seq is not None and net_[0] <= self.seq + 1 and self.seq <= net_[1]
+            if follows:
+                self._apply(changes)
+                return True
+            if covered:
+                self._absorb(net_)
+                return True
+            self.synced = False
+        if anchor is not None:
+            self.book, self.seq, self.synced = Sides(anchor), None, True
+            self.epoch += 1
+            if net_ is not None:
+                self._absorb(net_)
+            else:
+                self._apply(changes)
+        return self.synced
+
+    def rewind(self, anchor: list | None, changes: list) -> None:
+        """Rebuilds the book from a checkpoint and rows, or rows alone, within the same epoch."""
+        if anchor is not None:
+            self.book, self.seq = Sides(anchor), None
+        self._apply(changes)
+        self.synced = True
+
+    def _apply(self, changes: list) -> None:
+        for seq, *level in changes:
+            self.book.set(*level)
+            self.seq = seq
+
+    def _absorb(self, net_: tuple[int, int, list]) -> None:
+        for level in net_[2]:
+            self.book.set(*level)
+        self.seq = net_[1]
+
+
 def measures(tops: DataFrame) -> DataFrame:
     """sym, seq, ts, spread (per cent of the bid), imbalance (of depths; 0 where there is none)."""
     total = F.col("bid_depth") + F.col("ask_depth")

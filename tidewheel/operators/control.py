@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +21,19 @@ def gated(rows: DataFrame, gate: Column) -> DataFrame:
     return rows.where(decides(gate))
 
 
-def moved(rows: DataFrame, value: str, order: str = "seq") -> DataFrame:
+def moved(rows: DataFrame, value: str, order: str = "seq", block: Column | None = None) -> DataFrame:
     """``rows`` with ``moved``: whether the level changed since the tick before; absent equals absent.
 
-    At a symbol's first tick a level has moved if it is present.
+    At a symbol's first tick a level has moved if it is present. ``block`` (which must not fall) cuts a symbol: only the
+    last level of each block is carried to the next.
     """
+    if block is not None:
+        cut = rows.withColumn("tw_block", block)
+        ends = cut.groupBy("sym", "tw_block").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("tw_end"))
+        carried = ends.select("sym", "tw_block", F.lag("tw_end").over(by("tw_block")).alias("tw_carry"))
+        w = Window.partitionBy("sym", "tw_block").orderBy(order)
+        was = F.when(F.row_number().over(w) == 1, F.col("tw_carry")["v"]).otherwise(F.lag(value).over(w))
+        return cut.join(carried, ["sym", "tw_block"]).withColumn("moved", ~F.col(value).eqNullSafe(was)).drop("tw_block", "tw_carry")
     return rows.withColumn("moved", ~F.col(value).eqNullSafe(F.lag(value).over(by(order))))
 
 
@@ -44,24 +54,49 @@ def clocked(ticks: DataFrame, period: int, ts: str = "ts", order: str = "seq", g
     return rows.withColumn("tw_p", p).withColumn("tw_before", F.lag("tw_p").over(by(order))).where(~F.col("tw_p").eqNullSafe(F.col("tw_before"))).drop("tw_p", "tw_before")
 
 
-def latch(ticks: DataFrame, length: int) -> DataFrame:
-    """A self-terminating episode: sym, seq, armed, n, done.
+def episodic(ticks: DataFrame, body: Callable[[], Callable[[tuple], tuple[tuple | None, bool]]], reads: list[str], out: str) -> DataFrame:
+    """Self-terminating episodes: sym, seq, armed, done and the columns ``out`` of each armed tick's element (null otherwise).
 
-    Per tick, in this order: a pending end disarms and resets; ``trigger`` arms; an armed episode takes a step; its
-    ``length``-th step is terminal and pends. So the terminal tick is published and a trigger on it is lost.
+    ``body()`` makes a fresh state: a function from a tick's columns ``reads`` to its element and whether that is
+    terminal. Per tick, in this order: a pending end disarms and drops the state; ``trigger`` arms; an armed episode takes
+    a step; a terminal step pends. So the terminal tick is published and a trigger on it is lost, and every episode
+    starts from scratch. State is one episode's: a symbol is streamed batch by batch, never held whole.
     """
+    names = [f.split()[0] for f in out.split(", ")]
+    cols = ["sym", "seq", "trigger", *reads]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sym = object()
+        armed = pending = False
+        step = None
+        for part in batches:
+            rows = []
+            for s, seq, trigger, *rest in part[cols].itertuples(index=False):
+                if s != sym or pending:
+                    sym, armed, pending, step = s, False, False, None
+                armed = armed or bool(trigger)
+                value = None
+                if armed:
+                    step = step or body()
+                    value, pending = step(tuple(rest))
+                rows.append((s, seq, armed, pending, *(value if value is not None else (None,) * len(names))))
+            yield pd.DataFrame(rows, columns=["sym", "seq", "armed", "done", *names])
+
+    ordered = ticks.select(*cols).repartition("sym").sortWithinPartitions("sym", "seq")
+    return ordered.mapInPandas(fold, f"sym int, seq long, armed boolean, done boolean, {out}")
+
+
+def latch(ticks: DataFrame, length: int) -> DataFrame:
+    """The simplest episode: sym, seq, armed, n, done; its ``length``-th step is terminal."""
+
+    def counting():
+        n = 0
+
+        def step(_: tuple) -> tuple[tuple, bool]:
+            nonlocal n
+            n += 1
+            return (n,), n >= length
+
+        return step
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out, armed, pending, n = [], False, False, 0
-        for seq, trigger in part.sort_values("seq")[["seq", "trigger"]].itertuples(index=False):
-            if pending:
-                armed, pending, n = False, False, 0
-            armed = armed or bool(trigger)
-            n += armed
-            pending = armed and n >= length
-            out.append((seq, armed, n, pending))
-        frame = pd.DataFrame(out, columns=["seq", "armed", "n", "done"])
-        frame.insert(0, "sym", part["sym"].iloc[0])
-        return frame
-
-    return ticks.select("sym", "seq", "trigger").groupBy("sym").applyInPandas(fold, "sym int, seq long, armed boolean, n long, done boolean")
+    return episodic(ticks, counting, [], "n long").select("sym", "seq", "armed", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "done")

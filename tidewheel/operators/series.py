@@ -56,18 +56,28 @@ def flows(b: DataFrame) -> DataFrame:
     return b.select("sym", "ts_close", "close", "flow")
 
 
-def running_sum(rows: DataFrame, value: Column, block: Column, out: str) -> DataFrame:
-    """A running sum by ``seq`` within ``sym``, in blocks, so that one symbol is not one task.
+def running(rows: DataFrame, values: dict[str, tuple[Column, str]], block: Column, order: str = "seq") -> DataFrame:
+    """``rows`` with running aggregates by ``order`` within ``sym``, in blocks, so that one symbol is not one task.
 
-    Totals of blocks (partial sums, small) are summed first; each block then needs only its own rows and its carry.
-    ``block`` must not fall as ``seq`` rises.
+    ``values``: name -> (column, sum, max, or last: the last present). What blocks end with (partial aggregates, one row
+    each) is carried over blocks first; each block then needs only its own rows and its carry. ``block`` must not fall
+    as ``order`` rises.
     """
-    rows = rows.withColumn("tw_block", block).withColumn("tw_value", value)
-    totals = rows.groupBy("sym", "tw_block").agg(F.sum("tw_value").alias("total"))
+    rows = rows.withColumn("tw_block", block).withColumns({f"tw_{k}": v for k, (v, _) in values.items()})
+    whole = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))}
+    over = {"sum": lambda c, w: F.sum(c).over(w), "max": lambda c, w: F.max(c).over(w), "last": lambda c, w: F.last(c, ignorenulls=True).over(w)}
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(b, a)}
+    totals = rows.groupBy("sym", "tw_block").agg(*[whole[how](f"tw_{k}").alias(f"tw_{k}") for k, (_, how) in values.items()])
     before = Window.partitionBy("sym").orderBy("tw_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("sym", "tw_block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("carry"))
-    w = Window.partitionBy("sym", "tw_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("part", F.sum("tw_value").over(w)).join(carry, ["sym", "tw_block"]).withColumn(out, F.col("carry") + F.col("part")).drop("part", "carry", "tw_block", "tw_value")
+    carry = totals.select("sym", "tw_block", *[over[how](f"tw_{k}", before).alias(f"tw_carry_{k}") for k, (_, how) in values.items()])
+    w = Window.partitionBy("sym", "tw_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"tw_{k}": over[how](f"tw_{k}", w) for k, (_, how) in values.items()}).join(carry, ["sym", "tw_block"])
+    out = out.withColumns({k: join[how](F.col(f"tw_carry_{k}"), F.col(f"tw_{k}")) for k, (_, how) in values.items()})
+    return out.drop("tw_block", *[f"tw_{k}" for k in values], *[f"tw_carry_{k}" for k in values])
+
+
+def running_sum(rows: DataFrame, value: Column, block: Column, out: str) -> DataFrame:
+    return running(rows, {out: (value, "sum")}, block)
 
 
 def cvd(trades: DataFrame, block: int) -> DataFrame:
@@ -131,8 +141,15 @@ def kyle_lambda(b: DataFrame, n: int) -> DataFrame:
     return x.select("sym", "ts_close", "emit_seq", F.when(whole, F.when(bottom == 0, 0.0).otherwise(top / bottom)).alias("kyle_lambda"))
 
 
-def mock_ohlc(trades: DataFrame, step: int) -> DataFrame:
-    """Candles of ``step`` trades each; the last may have fewer."""
-    n = F.row_number().over(by("seq")) - 1
-    rows = trades.withColumn("chunk", F.floor(n / step))
+def numbered(rows: DataFrame, block: Column, out: str, order: str = "seq") -> DataFrame:
+    """``rows`` with their number from 0 by ``order`` within ``sym``, in blocks as ``running``."""
+    return running(rows, {out: (F.lit(1).cast("long"), "sum")}, block, order).withColumn(out, F.col(out) - 1)
+
+
+def mock_ohlc(trades: DataFrame, step: int, block: int | None = None) -> DataFrame:
+    """Candles of ``step`` trades each; the last may have fewer. ``block``: ns of ``ts`` that one task numbers."""
+    if block:
+        rows = numbered(trades, bucket("ts", block), "tw_n").withColumn("chunk", F.floor(F.col("tw_n") / step))
+    else:
+        rows = trades.withColumn("chunk", F.floor((F.row_number().over(by("seq")) - 1) / step))
     return rows.groupBy("sym", "chunk").agg(F.min_by("price_raw", "seq").alias("open"), F.max("price_raw").alias("high"), F.min("price_raw").alias("low"), F.max_by("price_raw", "seq").alias("close"))

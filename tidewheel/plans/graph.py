@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidewheel.operators.control import clocked
 from tidewheel.plans.reach import UNIT, Reach
 
 
@@ -27,6 +29,8 @@ class Read:
     node: str
     how: str = "bare"
     reach: Reach = UNIT
+    on: tuple[str, ...] = ()
+    passes: str = "passes"
 
     def __str__(self) -> str:
         return self.node if self.how == "bare" else f"{self.how}({self.node}{'' if self.reach == UNIT else f', {self.reach}'})"
@@ -44,8 +48,10 @@ def folding(node: str, reach: Reach) -> Read:
     return Read(node, "folding", reach)
 
 
-def gating(node: str) -> Read:
-    return Read(node, "gating")
+def gating(node: str, on: tuple[str, ...] = (), passes: str = "passes") -> Read:
+    """A permission. With ``on`` the graph applies it: the node's driving input keeps the rows whose ``on`` columns the
+    gate's frame has with a true ``passes``, before the body sees them. Without, the body gets the gate's frame."""
+    return Read(node, "gating", on=on, passes=passes)
 
 
 @dataclass(frozen=True)
@@ -57,13 +63,25 @@ class Node:
     latch: bool = False
     anchored: bool = False
     fidelity: str = "exact"  # or partial, opaque
+    cut: str | None = None  # of a latch: the node whose terminal element ends it
+    ts: str = "ts"
+    order: str = "seq"
 
+    @property
+    def clocked(self) -> bool:
+        """A declared clock is enforced only where every input is retained; else it is a note."""
+        return bool(self.clock) and all(r.how in ("buffering", "sampling", "gating") for r in self.reads)
+
+
+def node(*reads: str | Read, **flags) -> Callable[[Callable], Node]:
+    """A decorator: the function's name names the node. ``flags`` are the other fields of ``Node``.
 
-def node(*reads: str | Read, clock: int | None = None, latch: bool = False, anchored: bool = False, fidelity: str = "exact") -> Callable[[Callable], Node]:
-    """A decorator: the function's name names the node."""
+    An enforced ``clock`` (in ns of the column ``ts``) keeps those rows of the driving input, the first that is no gate,
+    at which a period begins by ``order``; gates are applied first, so a shut gate consumes no period.
+    """
 
     def make(f: Callable) -> Node:
-        return Node(f.__name__, tuple(Read(r) if isinstance(r, str) else r for r in reads), f, clock, latch, anchored, fidelity)
+        return Node(f.__name__, tuple(Read(r) if isinstance(r, str) else r for r in reads), f, **flags)
 
     return make
 
@@ -123,6 +141,10 @@ class Graph:
                 raise GraphError(f"{name}: gates come first")
             if gates and any(r.how == "folding" for r in n.reads):
                 raise GraphError(f"{name}: a gated node may not fold")
+            if n.latch and n.cut and not self.cut_gated(name, n.cut):
+                raise GraphError(f"{name}: its cut {n.cut} isn't gated on it")
+            if n.latch and self.deadlocked(name):
+                raise GraphError(f"{name}: what arms it is gated on it, so it can never arm again")
             if n.clock:
                 for r in n.reads:
                     feed = self.by_name.get(self.resolve(r.node))
@@ -131,6 +153,22 @@ class Graph:
             if n.anchored and (any(self.resolve(r.node) not in self.roots for r in n.reads) or any(r.how == "folding" for r in n.reads)):
                 raise GraphError(f"{name}: an anchored node reads roots only, and folds none")
 
+    def contains(self, name: str) -> bool:
+        return self.resolve(name) in self.order
+
+    def gates_on(self, name: str, gate: str) -> bool:
+        """Whether a node reads ``gate`` as a gate. Roots are never gated."""
+        n = self.by_name.get(self.resolve(name))
+        return bool(n) and any(r.how == "gating" and self.resolve(r.node) == self.resolve(gate) for r in n.reads)
+
+    def cut_gated(self, latch: str, cut: str) -> bool:
+        """A latch is ended from within: its cut must be a node gated on it."""
+        return self.gates_on(cut, latch)
+
+    def deadlocked(self, latch: str) -> bool:
+        """A latch armed by a node that it gates would be dark exactly when it is needed."""
+        return any(self.gates_on(r.node, latch) for r in self.by_name[latch].reads)
+
     @property
     def required_lanes(self) -> list[str]:
         """The roots that an output needs."""
@@ -205,16 +243,41 @@ class Graph:
         kinds = [self.by_name[n].fidelity for n in self.order if n in self.by_name]
         return {k: kinds.count(k) for k in ("exact", "partial", "opaque")}
 
-    def build(self, lanes: dict[str, DataFrame | Callable[[], DataFrame]], share: Callable[[str, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-        """The outputs. Lanes may be functions, which are called only if needed."""
+    def build(self, lanes: dict[str, DataFrame | Callable[[], DataFrame]], share: Callable[[str, DataFrame], DataFrame] | None = None, observer: Callable[[str, DataFrame], None] | None = None) -> dict[str, DataFrame]:
+        """The outputs. Lanes may be functions, which are called only if needed.
+
+        Gates with ``on``, and enforced clocks, act on a node's driving input before its body. ``share`` may write a
+        node's frame once for all its readers; ``observer`` sees each node's frame and changes nothing.
+        """
         made: dict[str, DataFrame] = {}
         for name in self.order:
             if name in self.roots:
                 lane = lanes[name]
                 made[name] = lane() if callable(lane) else lane
             else:
-                n = self.by_name[name]
-                made[name] = n.body(*[made[self.resolve(r.node)] for r in n.reads])
+                made[name] = self._run(self.by_name[name], made)
             if share:
                 made[name] = share(name, made[name])
+            if observer:
+                observer(name, made[name])
         return {o: made[self.resolve(o)] for o in self.outputs}
+
+    def _run(self, n: Node, made: dict[str, DataFrame]) -> DataFrame:
+        acting = [r for r in n.reads if r.how == "gating" and r.on]
+        args = [made[self.resolve(r.node)] for r in n.reads if r not in acting]
+        driver = next((i for i, r in enumerate(r for r in n.reads if r not in acting) if r.how != "gating"), None)
+        if driver is not None:
+            for r in acting:
+                open_ = made[self.resolve(r.node)].where(F.coalesce(F.col(r.passes), F.lit(False))).select(*r.on)
+                args[driver] = args[driver].join(open_, list(r.on), "left_semi")
+            if n.clocked:
+                args[driver] = clocked(args[driver], n.clock, n.ts, n.order)
+        return n.body(*args)
+
+    def census(self, lanes: dict, values: dict[str, str]) -> DataFrame:
+        """node, fires, skips of the nodes named in ``values`` (node -> its value column): one pass over each."""
+        from tidewheel.plans.observe import census
+
+        seen: dict[str, DataFrame] = {}
+        self.build(lanes, observer=seen.__setitem__)
+        return census({n: (seen[self.resolve(n)], v) for n, v in values.items()})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.series import bucket, running
 from tidewheel.sources.lanes import ORDER
 
 #: Cells of the read clock: each arrival its own, or all in one.
@@ -18,18 +19,25 @@ def cell(arrival: Column, step: int) -> Column:
     return F.lit(0).cast("long") if step == ALL else arrival - F.pmod(arrival, F.lit(step))
 
 
-def latency(seq: Column, seed: int, p68: int = 25_000_000, p95: int = 60_000_000, p997: int = 150_000_000) -> Column:
-    """A simulated delay in ns, fixed by the row's number and the seed: straight lines between three quantiles."""
-    u = F.pmod(F.xxhash64(seq, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+def latency(seq: Column, seed: int | str, p68: int = 25_000_000, p95: int = 60_000_000, p997: int = 150_000_000) -> Column:
+    """A simulated delay in ns, fixed by the row's number and the seed (of lane and symbol, say): straight lines between three quantiles."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    u = F.pmod(F.xxhash64(seq, seed), F.lit(1_000_000)) / 1_000_000.0
     line = lambda lo, hi, a, b: a + (u - lo) / (hi - lo) * (b - a)
     return F.when(u < 0.68, line(0.0, 0.68, 0, p68)).when(u < 0.95, line(0.68, 0.95, p68, p95)).otherwise(line(0.95, 0.997, p95, p997)).cast("long")
 
 
-def arrivals(lane: DataFrame, name: str, recv: str | None, ts: str = "ts", seq: str = "seq", seed: int = 0) -> DataFrame:
-    """sym, lane, lane_ix, seq, ts, arrival: recorded reception if there is one, else simulated; never falling by ``seq``."""
-    at = F.coalesce(F.col(recv), F.col(ts) + latency(F.col(seq), seed)) if recv else F.col(ts)
-    running = F.max(at).over(Window.partitionBy("sym").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return lane.select("sym", F.lit(name).alias("lane"), F.lit(ORDER.index(name)).alias("lane_ix"), F.col(seq).alias("seq"), F.col(ts).alias("ts"), running.alias("arrival"))
+def arrivals(lane: DataFrame, name: str, recv: str | None, ts: str = "ts", seq: str = "seq", seed: int = 0, block: int | None = None) -> DataFrame:
+    """sym, lane, lane_ix, seq, ts, arrival: recorded reception if there is one, else simulated; never falling by ``seq``.
+
+    With ``block`` (of ns of ``ts``, which must not fall) the running maximum is taken in blocks, each a task of its own.
+    """
+    tag = F.concat_ws(":", F.lit(name), F.col("sym").cast("string"), F.lit(str(seed)))
+    at = F.coalesce(F.col(recv), F.col(ts) + latency(F.col(seq), tag)) if recv else F.col(ts)
+    rows = lane.select("sym", F.lit(name).alias("lane"), F.lit(ORDER.index(name)).alias("lane_ix"), F.col(seq).alias("seq"), F.col(ts).alias("ts"), at.alias("arrival"))
+    if block:
+        return running(rows, {"arrival": (F.col("arrival"), "max")}, bucket("ts", block))
+    return rows.withColumn("arrival", F.max("arrival").over(Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def weave(lanes: list[DataFrame], step: int = EVENT) -> DataFrame:
@@ -48,6 +56,17 @@ def weave(lanes: list[DataFrame], step: int = EVENT) -> DataFrame:
     return rows.withColumn("step_id", F.sum("tw_new").over(w)).drop("tw_cell", "tw_new")
 
 
+def anchors(checkpoints: DataFrame) -> DataFrame:
+    """The anchors lane of checkpoints (sym, seq, ts): arrivals on their own axis, weighed between deltas and open interest."""
+    return arrivals(checkpoints, "anchors", None)
+
+
+def newest(woven: DataFrame, lane: str = "anchors") -> DataFrame:
+    """``woven`` with each step's run of ``lane`` collapsed to its last element: of several checkpoints only the newest counts."""
+    runs = woven.where(F.col("lane") == lane).groupBy("sym", "step_id").agg(F.max_by(F.struct("*"), "ord").alias("x")).select("x.*")
+    return woven.where(F.col("lane") != lane).unionByName(runs)
+
+
 def steps(woven: DataFrame) -> DataFrame:
     """sym, step_id, lane, n, ts: the venue time of a step is its last element's."""
     return woven.groupBy("sym", "step_id").agg(F.first("lane").alias("lane"), F.count(F.lit(1)).alias("n"), F.max_by("ts", "ord").alias("ts"))

@@ -406,14 +406,17 @@ z0 AS (SELECT sym, ts_close, emit_seq, vol*close/100.0 AS vol_1m FROM b),
 """ + ",\n".join(f"z{i} AS (SELECT l.*, r.{c} FROM z{i - 1} l ASOF LEFT JOIN s{i} r ON l.sym = r.sym AND l.emit_seq >= r.at)" for i, c in enumerate(("momentum", "market_cap", "oi_value", "change_3m", "change_1d", "vol_1h", "spread", "imbalance"), 1))
 
 
-def _votes_sql() -> str:
-    def own(c: str) -> str:
-        terms = [f"CASE WHEN coalesce({t.hit}, FALSE) THEN {float(t.relevance if t.category == c else -t.relevance)} ELSE 0.0 END" for t in strategy.TRAITS if t.category == c or t.invalidates]
-        return f"greatest({' + '.join(terms)}, 0.0) AS w_{c.lower()}"
+# Written out, not made of the operator's table: a wrong value there must not be wrong here as well.
+_VOTES = f"""{_SITUATION}, hits AS (SELECT *, coalesce(abs(momentum) > 3, FALSE)::INT AS h1, coalesce(abs(momentum) > 2 AND abs(momentum) <= 3, FALSE)::INT AS h2, coalesce(abs(momentum) <= 2, FALSE)::INT AS h3,
+ coalesce(market_cap > 500e6, FALSE)::INT AS h4, coalesce(oi_value > market_cap, FALSE)::INT AS h5, coalesce(oi_value > market_cap / 3 AND change_3m < -7, FALSE)::INT AS h6, coalesce(abs(change_1d) > 20, FALSE)::INT AS h7,
+ coalesce(spread > 0.1 AND abs(imbalance) > 0.5, FALSE)::INT AS h8, coalesce(vol_1h > 0 AND vol_1m > vol_1h / 60 * 3, FALSE)::INT AS h9 FROM z8),
+votes AS (SELECT *, 0.0 AS w_indeterminate, greatest(h2 + 2*h6 + h7 - 2*h4, 0)::DOUBLE AS w_liquidations, greatest(h3 - 2*h4, 0)::DOUBLE AS w_mmclosing, greatest(h1 + 2*h5 + 2*h8 - 2*h4, 0)::DOUBLE AS w_manipulation, (2*h4 + 2*h9)::DOUBLE AS w_momentum FROM hits),
+sums AS (SELECT *, w_liquidations + w_mmclosing + w_manipulation + w_momentum AS total FROM votes), scaled AS (SELECT *, greatest(sqrt(14.0), total) AS bottom FROM sums),
+p AS (SELECT *, greatest(1.0 - total / bottom, 0.0) AS p_indeterminate, w_liquidations / bottom AS p_liquidations, w_mmclosing / bottom AS p_mmclosing, w_manipulation / bottom AS p_manipulation, w_momentum / bottom AS p_momentum FROM scaled)"""
+
 
-    total = " + ".join(f"w_{c.lower()}" for c in strategy.CATEGORIES)
-    share = lambda i, c: f"w_{c.lower()} / greatest(sqrt({strategy.POINTS}), {total})" + (f" + greatest(1.0 - ({total}) / greatest(sqrt({strategy.POINTS}), {total}), 0.0)" if i == 0 else "") + f" AS p_{c.lower()}"
-    return f"{_SITUATION}, votes AS (SELECT *, {', '.join(own(c) for c in strategy.CATEGORIES)} FROM z8), p AS (SELECT *, {', '.join(share(i, c) for i, c in enumerate(strategy.CATEGORIES))} FROM votes)"
+def _votes_sql() -> str:
+    return _VOTES
 
 
 _P = [f"p_{c.lower()}" for c in strategy.CATEGORIES]

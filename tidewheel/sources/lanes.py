@@ -7,8 +7,10 @@ nanoseconds in ``BIGINT``. ``sym`` and ``day`` are partition columns, so a range
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,48 +45,69 @@ class CatalogError(ValueError):
     pass
 
 
+#: How much a file of a lane may hold, in bytes and in ns of its axis.
+ROTATION = {"trades": (50 << 20, DAY), "deltas": (256 << 20, HOUR), "anchors": (64 << 20, 6 * HOUR), "oi": (64 << 20, 7 * DAY), "mc": (64 << 20, 7 * DAY)}
+#: Bytes that a row takes, about; a checkpoint's lists are taken to hold 200 levels.
+ROW_BYTES = {"trades": 40, "deltas": 40, "anchors": 2500, "oi": 32, "mc": 24}
+MANIFEST = "lane string, sym string, ts_min long, ts_max long, n long, version string, precision string, recv_max long, batch string"
+
+
 class Catalog:
-    """Lane tables under one root, each partitioned by symbol and day, with a manifest of the ranges written.
+    """Lane tables under one root, with a manifest of the ranges written.
 
-    The manifest is a small Parquet table of its own, so it can be read wherever Spark can.
+    Rows of a batch stand in folders of their own, by batch, symbol and day, and are read only if the manifest lists the
+    batch. Its entry is written last, as one file of the batch's name: a write that fails leaves nothing that a reader
+    sees, and a batch that is written again takes the place of its first try.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _manifest(self) -> DataFrame | None:
+    def manifest(self) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(f"{self.root}/manifest") if fs.exists(path) else None
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).option("recursiveFileLookup", True).parquet(f"{self.root}/manifest")
 
     def listing(self, lane: str, sym: str, start: int | None = None, end: int | None = None) -> list:
         """Ranges written for a lane, oldest first; those that meet [start, end]."""
-        m = self._manifest()
-        if m is None:
-            return []
-        m = m.where((F.col("lane") == lane) & (F.col("sym") == str(sym)))
+        m = self.manifest().where((F.col("lane") == lane) & (F.col("sym") == str(sym)))
         if start is not None:
             m = m.where((F.col("ts_max") >= start) & (F.col("ts_min") <= end))
-        return m.orderBy("ts_min").collect()
+        return m.orderBy("ts_min", "batch").collect()
 
-    def write(self, lane: str, sym: str, rows: DataFrame, precision: dict[str, int] | None = None, max_records: int = 5_000_000) -> bool:
+    def write(self, lane: str, sym: str, rows: DataFrame, precision: dict[str, int] | None = None, max_bytes: int | None = None) -> bool:
         """Appends ``rows`` (the lane's columns) of one symbol; refuses a range that overlaps one written before.
 
         False if there was nothing to write.
         """
-        at = axis(lane)
-        fields = LANES[lane].fields
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-        lo, hi, n = rows.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
-        if not n:
-            return False
-        for old in self.listing(lane, sym, lo, hi):
-            raise CatalogError(f"{lane}/{sym}: [{lo}, {hi}] overlaps [{old['ts_min']}, {old['ts_max']}]")
-        out = rows.withColumn("sym", F.lit(str(sym))).withColumn("day", F.floor(F.col(at) / DAY).cast("int"))
-        out.write.mode("append").partitionBy("sym", "day").option("compression", "zstd").option("maxRecordsPerFile", max_records).parquet(f"{self.root}/{lane}")
-        entry = [(lane, str(sym), lo, hi, n, SCHEMA_VERSION, json.dumps(precision or {}, sort_keys=True))]
-        self.spark.createDataFrame(entry, "lane string, sym string, ts_min long, ts_max long, n long, version string, precision string").coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        return True
+        return bool(self.write_batch(lane, rows.withColumn("sym", F.lit(str(sym))), uuid.uuid4().hex, precision, max_bytes, apart=True))
+
+    def write_batch(self, lane: str, rows: DataFrame, batch: str, precision: dict[str, int] | None = None, max_bytes: int | None = None, apart: bool = False) -> int:
+        """Writes ``rows`` (the lane's columns and ``sym``) of any symbols as one batch, in one job; the number of ranges.
+
+        A batch of the same name is replaced. ``apart`` refuses ranges that overlap those of other batches: times may
+        tie or step back between batches of live input, whose order is that of reception. Files hold no more than the
+        lane's ``ROTATION`` in bytes (or ``max_bytes``) and in time.
+        """
+        at, (most, age) = axis(lane), ROTATION[lane]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LANES[lane].fields], F.col("sym").cast("string").alias("sym"))
+        recv = F.max("ts_local_recv") if "ts_local_recv" in rows.columns else F.max(at)
+        ranges = rows.groupBy("sym").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n"), recv.alias("recv")).collect()
+        for r in ranges if apart else ():
+            for old in self.listing(lane, r["sym"], r["lo"], r["hi"]):
+                raise CatalogError(f"{lane}/{r['sym']}: [{r['lo']}, {r['hi']}] overlaps [{old['ts_min']}, {old['ts_max']}]")
+        if not ranges:
+            return 0
+        out = rows.withColumn("day", F.floor(F.col(at) / DAY).cast("int")).withColumn("slot", F.floor(F.col(at) / age).cast("int"))
+        spread = out.repartition("sym", "day", "slot").sortWithinPartitions("sym", "day", "slot", at)
+        write = spread.write.mode("overwrite").partitionBy("sym", "day", "slot").option("compression", "zstd").option("maxRecordsPerFile", max(1, (max_bytes or most) // ROW_BYTES[lane]))
+        write.parquet(f"{self.root}/{lane}/batch={batch}")
+        said = json.dumps(precision or {}, sort_keys=True)
+        entries = [(lane, r["sym"], r["lo"], r["hi"], r["n"], SCHEMA_VERSION, said, r["recv"], batch) for r in ranges]
+        self.spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{lane}-{batch}")
+        return len(ranges)
 
     def ensure_day(self, lane: str, sym: str, day: int, load, precision: dict[str, int] | None = None, expected: int | None = None) -> bool:
         """Ingests one day by ``load()`` unless it is there; False if it was. ``expected`` rows or none at all.
@@ -100,27 +123,54 @@ class Catalog:
 
     def read(self, lane: str, sym: str, start: int, end: int) -> DataFrame:
         """Rows whose axis is in [start, end]; folders and row groups outside are not read."""
-        self.precision(lane, sym, start, end)
-        s = T.StructType([*LANES[lane].fields, T.StructField("sym", T.StringType()), T.StructField("day", _INT)])
-        if not self.listing(lane, sym):
-            return self.spark.createDataFrame([], s)
+        found = self.listing(lane, sym, start, end)
+        s = T.StructType([*LANES[lane].fields, T.StructField("batch", T.StringType()), T.StructField("sym", T.StringType()), T.StructField("day", _INT), T.StructField("slot", _INT)])
+        if not found:
+            return self.spark.createDataFrame([], s).drop("batch", "slot")
+        self._agree(lane, sym, found)
         at = axis(lane)
-        rows = self.spark.read.schema(s).parquet(f"{self.root}/{lane}")
-        return rows.where((F.col("sym") == str(sym)) & F.col("day").between(start // DAY, end // DAY) & F.col(at).between(start, end))
+        rows = self.spark.read.schema(s).option("basePath", f"{self.root}/{lane}").parquet(*sorted({f"{self.root}/{lane}/batch={r['batch']}" for r in found}))
+        return rows.where((F.col("sym") == str(sym)) & F.col("day").between(start // DAY, end // DAY) & F.col(at).between(start, end)).drop("batch", "slot")
 
-    def precision(self, lane: str, sym: str, start: int, end: int) -> dict[str, int]:
-        """The precision that all ranges read agree on; fails on another schema version or a mixture."""
-        found = self.listing(lane, sym, start, end)
+    def _agree(self, lane: str, sym: str, found: list) -> dict[str, int]:
         if bad := [r for r in found if r["version"] != SCHEMA_VERSION]:
             raise CatalogError(f"{lane}/{sym}: schema version {bad[0]['version']}, not {SCHEMA_VERSION}")
         if len(kinds := {r["precision"] for r in found}) > 1:
             raise CatalogError(f"{lane}/{sym}: precisions differ: {sorted(kinds)}")
-        return json.loads(kinds.pop()) if kinds else {}
+        return json.loads(kinds.pop())
+
+    def precision(self, lane: str, sym: str, start: int, end: int) -> dict[str, int]:
+        """The precision that all ranges read agree on; fails on another schema version, a mixture, or if there is no file."""
+        found = self.listing(lane, sym, start, end)
+        if not found:
+            raise CatalogError(f"{lane}/{sym}: nothing in [{start}, {end}], so no precision")
+        return self._agree(lane, sym, found)
 
     def anchor(self, sym: str, start: int, reach: int = ANCHOR_REACH) -> DataFrame:
         """The newest checkpoint at or before ``start`` and within ``reach``: one row or none."""
         return pick_anchor(self.read("anchors", sym, start - reach, start), start, reach)
 
+    def last_reception(self) -> int:
+        """The latest reception recorded in any lane; 0 if there is none."""
+        return self.manifest().agg(F.max("recv_max")).first()[0] or 0
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share: below ``spark.checkpoint.dir``, or of this machine in a purely local session."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def shape_of(anchor: DataFrame) -> DataFrame:
+    """A checkpoint as two maps of price to quantity."""
+    both = [F.map_from_arrays(f"{s}_prices", f"{s}_qtys").alias(f"{s}s") for s in ("bid", "ask")]
+    return anchor.select(*[c for c in anchor.columns if not c.startswith(("bid_", "ask_"))], *both)
+
 
 def pick_anchor(anchors: DataFrame, start: int, reach: int = ANCHOR_REACH) -> DataFrame:
     near = anchors.where(F.col("ts_venue_exec").between(start - reach, start))
@@ -129,12 +179,20 @@ def pick_anchor(anchors: DataFrame, start: int, reach: int = ANCHOR_REACH) -> Da
 
 
 def read_csv_trades(spark: SparkSession, path: str, price_precision: int, qty_precision: int) -> DataFrame:
-    """Historic trades: gzipped CSV with header ``timestamp,symbol,side,size,price``, exact to the last digit."""
+    """Historic trades: gzipped CSV with header ``timestamp,symbol,side,size,price``, exact to the last digit.
+
+    Fails on a line that is earlier than the one before it in its file.
+    """
     from tidewheel.functions.precision import ns_from_seconds, raw
 
     rows = spark.read.option("header", True).schema("timestamp string, symbol string, side string, size string, price string").csv(path)
+    # each time must be at or after that of the line before: lines are compared as Spark read them, file by file
+    line = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    before = F.lag(ns_from_seconds(F.col("timestamp"))).over(Window.partitionBy("line.file").orderBy("line.line"))
+    rows = rows.withColumn("line", line).withColumn("before", before)
     side = F.when(F.lower("side") == "buy", 0).when(F.lower("side") == "sell", 1).otherwise(F.raise_error(F.concat(F.lit("side: "), F.coalesce("side", F.lit("null")))).cast("int"))
-    ts = ns_from_seconds(F.col("timestamp"))
+    told = ns_from_seconds(F.col("timestamp"))
+    ts = F.when(F.col("before").isNull() | (F.col("before") <= told), told).otherwise(F.raise_error(F.concat(F.lit("out of order at "), F.col("timestamp"))).cast("long"))
     return rows.select("symbol", ts.alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.lit(None).cast("long").alias("ts_local_recv"), side.cast("short").alias("side"), raw(F.col("price"), price_precision).cast("int").alias("price_raw"), raw(F.col("size"), qty_precision).alias("qty_raw"))
 
 
