@@ -235,6 +235,11 @@ def to_column(e: Expr, env) -> Column:
     raise ValueError(e.op)
 
 
+def to_struct(slots: dict[str, Expr], env) -> Column:
+    """Several expressions over one environment, a slot each."""
+    return F.struct(*[to_column(e, env).alias(name) for name, e in slots.items()])
+
+
 # reading: derivatives
 
 

@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators.series import PRICE, bucket
@@ -159,7 +159,12 @@ def joined(deltas: DataFrame, period: int) -> DataFrame:
 
 def levels_of(anchors: DataFrame) -> DataFrame:
     """A row for each level of checkpoints (sym, seq, ts, bid_prices, bid_qtys, ask_prices, ask_qtys)."""
-    sides = [F.transform(F.arrays_zip(F.col(f"{n}_prices").alias("p"), F.col(f"{n}_qtys").alias("q")), lambda x, i=i: F.struct(F.lit(i).alias("side"), x["p"].cast("long").alias("price_raw"), x["q"].cast("long").alias("qty_raw"))) for i, n in enumerate(("bid", "ask"))]
+
+    def side(i: int, name: str) -> Column:
+        both = F.arrays_zip(F.col(f"{name}_prices").alias("p"), F.col(f"{name}_qtys").alias("q"))
+        return F.transform(both, lambda x: F.struct(F.lit(i).alias("side"), x["p"].cast("long").alias("price_raw"), x["q"].cast("long").alias("qty_raw")))
+
+    sides = [side(0, "bid"), side(1, "ask")]
     return anchors.select("sym", "seq", "ts", F.explode(F.concat(*sides)).alias("x")).select("sym", "seq", "ts", "x.*")
 
 

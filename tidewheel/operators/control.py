@@ -54,6 +54,11 @@ def clocked(ticks: DataFrame, period: int, ts: str = "ts", order: str = "seq", g
     return rows.withColumn("tw_p", p).withColumn("tw_before", F.lag("tw_p").over(by(order))).where(~F.col("tw_p").eqNullSafe(F.col("tw_before"))).drop("tw_p", "tw_before")
 
 
+def terminal(rows: DataFrame, condition: Column, step: str = "step_id") -> DataFrame:
+    """sym, step, ended: whether any element of each step's run is terminal."""
+    return rows.groupBy("sym", step).agg(F.bool_or(decides(condition)).alias("ended"))
+
+
 def episodic(ticks: DataFrame, body: Callable[[], Callable[[tuple], tuple[tuple | None, bool]]], reads: list[str], out: str) -> DataFrame:
     """Self-terminating episodes: sym, seq, armed, done and the columns ``out`` of each armed tick's element (null otherwise).
 

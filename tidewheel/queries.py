@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import expr as E
@@ -16,11 +16,13 @@ from tidewheel.operators import book, control, recurrences, sampling, series, sh
 from tidewheel.operators.series import bars
 from tidewheel.plans import observe
 from tidewheel.plans import weave as W
-from tidewheel.plans.graph import Graph, buffering, gating, node
+from tidewheel.plans.graph import Graph, buffering, folding, gating, node
 from tidewheel.plans.graph import sampling as sampling_of
-from tidewheel.plans.reach import by, elems
+from tidewheel.plans.reach import UNBOUNDED, by, elems, fresh, lagged, over, past
+from tidewheel.plans.replay import Replay, chained
 from tidewheel.sources import lanes
-from tidewheel.sources.lanes import DAY, HOUR, SQL
+from tidewheel.sources.lanes import DAY, HOUR, SQL, Catalog
+from tidewheel.streaming import live
 
 H4 = 4 * HOUR
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,9 +68,14 @@ for _name, _tf in (("bars_1h", HOUR), ("bars_4h", H4), ("bars_1d", DAY)):
     query(f"WITH {_t('trades')}, {_bars('b', _tf)} SELECT {', '.join(_BAR_COLUMNS)} FROM b", _name)(lambda s, d, tf=_tf: _b(s, d, tf).select(*_BAR_COLUMNS))
 
 
-@query(f"WITH {_t('trades')}, {_bars('b', HOUR)} SELECT {', '.join(_BAR_COLUMNS[1:-1])}, sym FROM b")
+@query(f"""WITH {_t('trades')}, x AS (SELECT sym, seq, price_raw, qty_raw, ts - CASE WHEN seq % 7 = 0 THEN {2 * HOUR} ELSE 0 END AS ts FROM trades), p AS (SELECT *, ts - ts % {HOUR} AS p FROM x),
+m AS (SELECT *, CASE WHEN p IS DISTINCT FROM lag(p) OVER (PARTITION BY sym ORDER BY seq) THEN 1 ELSE 0 END AS new FROM p), i AS (SELECT *, sum(new) OVER (PARTITION BY sym ORDER BY seq) AS isle FROM m),
+g AS (SELECT sym, isle, any_value(p) + {HOUR} AS ts_close, arg_min(price_raw, seq) AS open, max(price_raw) AS high, min(price_raw) AS low, arg_max(price_raw, seq) AS close, CAST(sum(qty_raw) AS BIGINT) AS vol, lead(min(seq)) OVER (PARTITION BY sym ORDER BY isle) AS emit_seq FROM i GROUP BY sym, isle)
+SELECT sym, ts_close, open, high, low, close, vol, emit_seq FROM g WHERE emit_seq IS NOT NULL""")
 def bars_by_arrival(spark, sf_dir):
-    return series.bars_by_arrival(lanes.trades(spark, sf_dir), HOUR).select(*_BAR_COLUMNS[:-1])
+    """Each seventh trade is two hours late, so periods are closed by it and opened again."""
+    t = lanes.trades(spark, sf_dir)
+    return series.bars_by_arrival(t.withColumn("ts", F.col("ts") - F.when(F.col("seq") % 7 == 0, 2 * HOUR).otherwise(0)), HOUR).select(*_BAR_COLUMNS)
 
 
 @query(f"WITH {_t('trades')}, {_bars('b', HOUR)} SELECT sym, ts_close, close, flow FROM b")
@@ -280,16 +287,164 @@ def step_census(spark, sf_dir):
 _START = 1_704_067_200_000_000_000 + 10 * DAY  # a range inside the table's month
 
 
-@query(f"WITH {_t('trades')} SELECT sym, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM trades WHERE ts BETWEEN {_START} AND {_START + DAY} GROUP BY sym")
+SYMBOLS = range(4)
+
+
+def _catalog(spark, sf_dir, *names: str) -> Catalog:
+    """A catalog of the lanes of all symbols, written as one batch each."""
+    catalog = Catalog(spark, lanes.scratch(spark, "catalog"))
+    recorded = lambda df, recv: df.select("sym", F.col("ts").alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.col(recv).alias("ts_local_recv"), F.col("seq").alias("monotonic_seq"), *[c for c in df.columns if c in ("kind", "side", "price_raw", "qty_raw", "oi") or c.startswith(("bid_", "ask_"))])
+    make = {
+        "trades": lambda: recorded(lanes.trades(spark, sf_dir), "recv"),
+        "deltas": lambda: recorded(lanes.deltas(spark, sf_dir), "ts"),
+        "anchors": lambda: recorded(book.checkpoint_shapes(lanes.deltas(spark, sf_dir), DAY), "ts"),
+        "oi": lambda: recorded(lanes.open_interest(spark, sf_dir), "ts"),
+        "mc": lambda: lanes.market_cap(spark, sf_dir).select("sym", F.col("ts").alias("ts_local_exec"), "market_cap", F.lit(None).cast("long").alias("rank")),
+    }
+    for name in names:
+        catalog.write_batch(name, make[name](), "whole", {"price": 2, "qty": 0}, apart=True)
+    return catalog
+
+
+def _all(read) -> DataFrame:
+    rows = [read(str(s)) for s in SYMBOLS]
+    for r in rows[1:]:
+        rows[0] = rows[0].unionByName(r)
+    return rows[0].withColumn("sym", F.col("sym").cast("int"))
+
+
+@query(f"WITH {_t('trades')} SELECT sym, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(price_raw*qty_raw) AS BIGINT) AS notional FROM trades WHERE ts BETWEEN {_START} AND {_START + DAY} GROUP BY sym")
 def required_rows_in_range(spark, sf_dir):
-    rows = lanes.trades(spark, sf_dir).where(F.col("ts").between(_START, _START + DAY))
-    return rows.groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    catalog = _catalog(spark, sf_dir, "trades")
+    rows = _all(lambda s: catalog.read("trades", s, _START, _START + DAY))
+    return rows.groupBy("sym").agg(F.count(F.lit(1)).alias("n"), F.min("monotonic_seq").alias("first_seq"), F.max("monotonic_seq").alias("last_seq"), F.sum(F.col("price_raw") * F.col("qty_raw")).alias("notional"))
+
+
+_LANE_SQL = {"deltas": "seq, price_raw, qty_raw FROM deltas", "oi": "ts AS seq, CAST(round(oi) AS BIGINT) AS price_raw, 0 AS qty_raw FROM oi", "mc": "ts AS seq, CAST(round(market_cap) AS BIGINT) AS price_raw, 0 AS qty_raw FROM mc"}
+
+
+def _lane_query(name: str) -> None:
+    def read(spark, sf_dir):
+        catalog = _catalog(spark, sf_dir, name)
+        rows = _all(lambda s: catalog.read(name, s, _START, _START + 2 * DAY))
+        slots = {"deltas": ("monotonic_seq", "price_raw", "qty_raw"), "oi": ("ts_venue_exec", "oi", None), "mc": ("ts_local_exec", "market_cap", None)}[name]
+        value = lambda c: F.lit(0).cast("long") if c is None else F.round(c).cast("long") if c in ("oi", "market_cap") else F.col(c).cast("long")
+        return rows.select("sym", *[value(c).alias(n) for c, n in zip(slots, ("seq", "price_raw", "qty_raw"), strict=True)])
+
+    query(f"WITH {_t(name)}, a AS (SELECT sym, ts, {_LANE_SQL[name].replace(' FROM', ' FROM', 1)}) SELECT sym, seq, CAST(price_raw AS BIGINT) AS price_raw, CAST(qty_raw AS BIGINT) AS qty_raw FROM a WHERE ts BETWEEN {_START} AND {_START + 2 * DAY}", f"read_{name}")(read)
+
+
+for _name in _LANE_SQL:
+    _lane_query(_name)
+
+
+@query(f"WITH {_t('trades')} SELECT sym, ts - ts % {10 * DAY} AS period, min(ts) AS ts_min, max(ts) AS ts_max, count(*) AS n FROM trades GROUP BY 1, 2")
+def catalog_listing(spark, sf_dir):
+    catalog, t = Catalog(spark, lanes.scratch(spark, "catalog")), lanes.trades(spark, sf_dir)
+    rows = t.select("sym", F.col("ts").alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.col("recv").alias("ts_local_recv"), F.col("seq").alias("monotonic_seq"), "side", "price_raw", "qty_raw")
+    for p in sorted(r["p"] for r in t.select(series.bucket("ts", 10 * DAY).alias("p")).distinct().collect()):
+        catalog.write_batch("trades", rows.where(F.col("ts_venue_exec").between(p, p + 10 * DAY - 1)), f"from-{p}", apart=True, max_bytes=4000)
+    listed = catalog.manifest().select(F.col("sym").cast("int").alias("sym"), series.bucket("ts_min", 10 * DAY).alias("period"), "ts_min", "ts_max", "n")
+    return listed
+
+
+@query(f"WITH {_t('trades')} SELECT seq - min(seq) OVER () AS line, ts AS ts_venue_exec, side, price_raw, qty_raw FROM trades")
+def csv_ingest(spark, sf_dir):
+    at, t = lanes.scratch(spark, "csv"), lanes.trades(spark, sf_dir)
+    text = t.orderBy("seq").select(F.concat((F.expr("ts div 1000000000")).cast("string"), F.lit("."), F.lpad((F.col("ts") % 1_000_000_000).cast("string"), 9, "0")).alias("timestamp"), F.lit("X-USDT").alias("symbol"), F.when(F.col("side") == 0, "Buy").otherwise("Sell").alias("side"), F.col("qty_raw").cast("string").alias("size"), (F.col("price_raw") / 100).cast("decimal(18,2)").cast("string").alias("price"))
+    text.coalesce(1).write.option("header", True).option("compression", "gzip").csv(at)
+    rows = lanes.read_csv_trades(spark, at, 2, 0)
+    return rows.select((F.row_number().over(Window.partitionBy("symbol").orderBy("ts_venue_exec")) - 1).cast("long").alias("line"), "ts_venue_exec", F.col("side").cast("int").alias("side"), F.col("price_raw").cast("long").alias("price_raw"), "qty_raw")
 
 
 @query(f"WITH {_t('deltas')}, c AS (SELECT sym, ts - ts % {DAY} AS period, min(seq) AS seq, arg_min(ts, seq) AS ts FROM deltas GROUP BY 1, 2) SELECT sym, max(ts) AS ts, arg_max(seq, ts) AS seq FROM c WHERE ts BETWEEN {_START - DAY} AND {_START} GROUP BY sym")
 def anchor_pick(spark, sf_dir):
-    due = book.checkpoints(lanes.deltas(spark, sf_dir), DAY)
-    return due.where(F.col("ts").between(_START - DAY, _START)).groupBy("sym").agg(F.max("ts").alias("ts"), F.max_by("seq", "ts").alias("seq"))
+    catalog = _catalog(spark, sf_dir, "anchors")
+    return _all(lambda s: catalog.anchor(s, _START, DAY)).select("sym", F.col("ts_venue_exec").alias("ts"), F.col("monotonic_seq").alias("seq"))
+
+
+@query(f"""WITH {_t('deltas')}, c AS (SELECT sym, max(seq) AS upto FROM (SELECT sym, min(seq) AS seq, arg_min(ts, seq) AS ts FROM deltas GROUP BY sym, ts - ts % {DAY}) WHERE ts BETWEEN {_START - DAY} AND {_START} GROUP BY sym),
+l AS (SELECT d.sym, side, price_raw, arg_max(qty_raw, seq) AS q FROM deltas d JOIN c ON c.sym = d.sym AND seq <= upto GROUP BY ALL HAVING q > 0)
+SELECT sym, count(*) FILTER (side = 0) AS n_bids, count(*) FILTER (side = 1) AS n_asks, CAST(sum(q) FILTER (side = 0) AS BIGINT) AS bid_qty, CAST(max(price_raw) FILTER (side = 0) AS BIGINT) AS bid FROM l GROUP BY sym""")
+def anchor_shape(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir, "anchors")
+    shapes = lanes.shape_of(_all(lambda s: catalog.anchor(s, _START, DAY)))
+    qty = F.aggregate(F.map_values("bids"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return shapes.select("sym", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"), qty.alias("bid_qty"), F.array_max(F.map_keys("bids")).cast("long").alias("bid"))
+
+
+_UPTO = _START + 5 * HOUR
+
+
+@query(f"WITH {_t('deltas')} SELECT sym, side, price_raw, arg_max(qty_raw, seq) AS qty_raw FROM deltas WHERE ts <= {_UPTO} GROUP BY ALL HAVING arg_max(qty_raw, seq) > 0")
+def book_from_anchor(spark, sf_dir):
+    d = lanes.deltas(spark, sf_dir)
+    return book.from_anchor(d, book.checkpoint_shapes(d, DAY), _UPTO)
+
+
+_RANKED = "r AS (SELECT sym, ts, side, price_raw, qty_raw, row_number() OVER (PARTITION BY sym ORDER BY seq) AS seq FROM deltas)"
+
+
+@query(f"""WITH {_t('deltas')}, {_RANKED}, s AS (SELECT sym, ts - ts % {DAY} AS period, min(seq) AS a, max(seq) AS z, max(seq) - min(seq) + 1 = count(*) AS whole FROM r GROUP BY 1, 2),
+j AS (SELECT n.sym, n.period, coalesce(o.whole AND n.whole AND o.z + 1 = n.a, FALSE) AS prev FROM s n LEFT JOIN s o ON o.sym = n.sym AND o.period = n.period - {DAY}),
+u AS (SELECT j.sym, j.period, r.side, r.price_raw, r.qty_raw, r.seq, j.prev FROM j JOIN r ON r.sym = j.sym AND (r.ts - r.ts % {DAY} = j.period OR (j.prev AND r.ts - r.ts % {DAY} = j.period - {DAY})))
+SELECT sym, period, side, price_raw, arg_max(qty_raw, seq) AS qty_raw, any_value(prev) AS prev FROM u GROUP BY sym, period, side, price_raw""")
+def book_chunk_joined(spark, sf_dir):
+    d = lanes.deltas(spark, sf_dir)
+    return book.joined(d.withColumn("seq", F.row_number().over(by("seq")).cast("long")), DAY)
+
+
+@query(f"""WITH {_t('deltas')}, {_t('mc')}, c AS (SELECT sym, min(seq) AS seq, arg_min(ts, seq) AS ts FROM deltas GROUP BY sym, ts - ts % {HOUR}),
+a AS (SELECT sym, 'anchors' AS lane, 2 AS lane_ix, seq, ts, ts AS arrival FROM c UNION ALL SELECT sym, 'mc', 4, ts, ts, ts FROM mc),
+o AS (SELECT *, arrival - arrival % {DAY} AS cell, row_number() OVER (PARTITION BY sym ORDER BY arrival, lane_ix, seq) AS ord FROM a),
+d AS (SELECT *, CASE WHEN lane_ix = lag(lane_ix) OVER w AND cell = lag(cell) OVER w THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY sym ORDER BY ord)),
+w AS (SELECT *, sum(new) OVER (PARTITION BY sym ORDER BY ord) AS step_id FROM d)
+SELECT sym, lane, CAST(step_id AS BIGINT) AS step_id, max(seq) AS seq, max(ts) AS ts FROM w GROUP BY ALL""")
+def weave_anchors(spark, sf_dir):
+    due = W.anchors(book.checkpoints(lanes.deltas(spark, sf_dir), HOUR))
+    mc = W.arrivals(lanes.market_cap(spark, sf_dir).withColumn("seq", F.col("ts")), "mc", None)
+    return W.newest(W.weave([due, mc], DAY)).select("sym", "lane", "step_id", "seq", "ts")
+
+
+def _range_sql() -> str:
+    return _weave_sql(HOUR).replace("FROM trades UNION ALL", f"FROM trades WHERE ts BETWEEN {_START} AND {_START + DAY} UNION ALL").replace("ts FROM deltas\n", f"ts FROM deltas WHERE ts BETWEEN {_START} AND {_START + DAY}\n").replace("SELECT sym, 'oi', 3, seq, ts, ts FROM oi", f"SELECT sym, 'oi', 3, ts, ts, ts FROM oi WHERE ts BETWEEN {_START} AND {_START + DAY}").replace(" UNION ALL SELECT sym, 'mc', 4, ts, ts, ts FROM mc", "")
+
+
+@query(_range_sql() + " SELECT * FROM s")
+def replay_day(spark, sf_dir):
+    woven = Replay(_catalog(spark, sf_dir, "trades", "deltas", "oi"), SYMBOLS, _START, _START + DAY, HOUR).woven(("trades", "deltas", "oi"))
+    return W.steps(woven).withColumn("sym", F.col("sym").cast("int"))
+
+
+@query(_range_sql() + f", x AS (SELECT sym, ts, seq FROM trades WHERE ts BETWEEN {_START} AND {_START + DAY}) SELECT sym, seq, CAST(count(*) OVER (PARTITION BY sym, ts - ts % {HOUR}) AS BIGINT) AS n_in_period, w.step_id FROM x JOIN w USING (sym, seq) WHERE w.lane = 'trades'".replace("SELECT sym, seq, CAST(count(*) OVER (PARTITION BY sym, ts", "SELECT sym, seq, CAST(count(*) OVER (PARTITION BY sym, x.ts").replace("x.ts - ts %", "x.ts - x.ts %"))
+def replay_graph(spark, sf_dir):
+    @node("trades")
+    def counted(t):
+        return t.withColumn("n_in_period", F.count(F.lit(1)).over(Window.partitionBy("sym", series.bucket("ts", HOUR))))
+
+    graph = Graph(roots=("trades", "deltas", "anchors", "oi", "mc"), nodes=(counted,), outputs=("counted",))
+    replay = Replay(_catalog(spark, sf_dir, "trades", "deltas", "oi"), SYMBOLS, _START, _START + DAY, HOUR)
+    whole = replay.woven(("trades", "deltas", "oi")).where("lane = 'trades'").select("sym", "seq", "step_id")  # the weave of all lanes
+    out = replay.run(graph)["counted"].drop("step_id").join(whole, ["sym", "seq"])
+    return out.select(F.col("sym").cast("int").alias("sym"), "seq", "n_in_period", "step_id")
+
+
+@query(ORACLE_SQL["cvd"])
+def chained_cvd(spark, sf_dir):
+    """Ten days at a time, each from the sums of those before."""
+    t = lanes.trades(spark, sf_dir)
+    first = 1_704_067_200_000_000_000
+
+    def run(start: int, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        own = series.cvd(t.where(F.col("ts").between(start, start + 10 * DAY - 1)), DAY)
+        if state is not None:
+            own = own.join(state, "sym", "left").withColumn("cvd", F.col("cvd") + F.coalesce("total", F.lit(0))).drop("total")
+        after = own.groupBy("sym").agg(F.max_by("cvd", "seq").alias("total"))
+        if state is not None:
+            after = state.join(after.withColumnRenamed("total", "now"), "sym", "full_outer").select("sym", F.coalesce("now", "total").alias("total"))
+        return own, after
+
+    return chained([first + i * 10 * DAY for i in range(4)], run, Catalog(spark, lanes.scratch(spark, "catalog")))
 
 
 @query(f"WITH {_t('deltas')} SELECT sym, ts - ts % {HOUR} AS period, side, price_raw, arg_max(qty_raw, seq) AS qty_raw, count(*) AS n FROM deltas GROUP BY ALL")
@@ -485,28 +640,12 @@ def pair_parse(spark, sf_dir):
     return lanes.events(spark, sf_dir).select("event_id", base.alias("base"), quote.alias("quote"))
 
 
-def _ticks(spark, sf_dir) -> DataFrame:
-    """Ticks of the strategy: book mids, decisions where hourly bars close, and the sampled ATR."""
-    t = lanes.trades(spark, sf_dir)
-    rows = strategy.decide(strategy.modal(strategy.classify(_situation(spark, sf_dir)))).select("sym", F.col("emit_seq").alias("seq"), "direction", "size")
-    ticks = book.mid(_top(spark, sf_dir)).join(rows, ["sym", "seq"], "full_outer")
-    a = recurrences.atr(bars(t, HOUR)).withColumn("atr", F.col("atr") / 100.0)
-    ts = t.select("sym", "seq", F.col("ts").alias("at"))
-    ticks = ticks.join(ts, ["sym", "seq"], "left").withColumn("ts", F.coalesce("ts", "at")).drop("at")
-    return sampling.sample(ticks, "seq", {"atr": (a, "emit_seq", "atr")})
-
-
-@query()
-def intents(spark, sf_dir):
-    return strategy.intents(_ticks(spark, sf_dir))
-
-
-@query()
-def episodes(spark, sf_dir):
-    return strategy.digest(strategy.intents(_ticks(spark, sf_dir)))
+_LATCH = f"""{_t('trades')}, t AS (SELECT sym, seq, price_raw > 9000 AS trigger, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM trades),
+w AS (SELECT sym, i, seq, CASE WHEN trigger THEN 1 ELSE 0 END AS n FROM t WHERE i = 1 UNION ALL
+ SELECT t.sym, t.i, t.seq, CASE WHEN w.n BETWEEN 1 AND 4 THEN w.n + 1 WHEN t.trigger THEN 1 ELSE 0 END FROM w JOIN t ON t.sym = w.sym AND t.i = w.i + 1)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_LATCH} SELECT sym, seq, n > 0 AS armed, CAST(n AS BIGINT) AS n, n >= 5 AS done FROM w")
 def latch(spark, sf_dir):
     return control.latch(lanes.trades(spark, sf_dir).select("sym", "seq", (F.col("price_raw") > 9000).alias("trigger")), 5)
 
@@ -577,3 +716,339 @@ def strategy_graph() -> Graph:
 def graph_hot_volume(spark, sf_dir):
     out = strategy_graph().build({"trades": lambda: lanes.trades(spark, sf_dir), "deltas": lambda: lanes.deltas(spark, sf_dir)})["hot_volume"]
     return out.select("sym", "ts_close", F.round("rolling_vol", 4).alias("rolling_vol"))
+
+
+_LEVELS = "SELECT seq, price_raw/1000.0 AS a, CAST(qty_raw AS DOUBLE)/10.0 AS b, CASE WHEN qty_raw > 50 THEN price_raw/1000.0 END AS c FROM trades"
+_FUNCTIONS = {
+    "mul": (E.var(0) * E.var(1), "a*b"),
+    "neg": (-E.var(0), "-a"),
+    "exp": (E.exp(-E.var(1)), "exp(-b)"),
+    "present": (E.present(E.var(2)), "CASE WHEN c IS NULL THEN 0.0 ELSE 1.0 END"),
+    "powi": (E.powi(E.var(0), 3), "a*a*a"),
+    "powi_negative": (E.powi(E.var(1), -2), "CASE WHEN b <> 0 THEN 1.0/(b*b) END"),
+    "min": (E.min_(E.var(0), E.var(2)), "least(a, c)"),
+    "max": (E.max_(E.var(1), E.var(2)), "greatest(b, c)"),
+    "lt": (E.lt(E.var(0), E.var(1)), "CASE WHEN a < b THEN 1.0 ELSE 0.0 END"),
+    "sum": (E.sum_(E.var(0), E.var(1), 2.5, E.var(2)), "a + b + 2.5 + c"),
+    "or": (E.or_(E.var(2), -1.0), "coalesce(c, -1.0)"),
+    "absent": (E.var(0) + E.absent, "CAST(NULL AS DOUBLE)"),
+    "diff_mul": (E.simplify(E.diff(E.var(0) * E.square(E.var(1)), 1)), "2*a*b"),
+    "diff_exp": (E.simplify(E.diff(E.exp(2.0 * E.var(1) / 10.0), 1)), "exp(2.0*b/10.0)*0.2"),
+    "diff_powi": (E.simplify(E.diff(E.powi(E.var(0), 3), 0)), "3*a*a"),
+    "diff_min": (E.simplify(E.diff(E.min_(E.var(0), E.var(1)), 0)), "CASE WHEN a < b THEN 1.0 ELSE 0.0 END"),
+}
+
+
+@query(f"WITH {_t('trades')}, x AS ({_LEVELS}) SELECT seq, {', '.join(f'round(({sql})/7.0, 6) AS {name}_' for name, (_, sql) in _FUNCTIONS.items())} FROM x")
+def expr_functions(spark, sf_dir):
+    """Each function of the algebra, as slots of one struct."""
+    t = lanes.trades(spark, sf_dir)
+    env = [(F.col("price_raw") / 1000.0), F.col("qty_raw").cast("double") / 10.0, F.when(F.col("qty_raw") > 50, F.col("price_raw") / 1000.0)]
+    slots = t.select("seq", E.to_struct({name: e for name, (e, _) in _FUNCTIONS.items()}, env).alias("x"))
+    return slots.select("seq", *[r6(F.col("x")[name] / 7.0).alias(f"{name}_") for name in _FUNCTIONS])
+
+
+@query(f"""WITH {_t('trades')}, s AS (SELECT sym, seq, price_raw/1000.0 AS x, sum(price_raw/1000.0*price_raw/1000.0) OVER (PARTITION BY sym ORDER BY seq) AS s FROM trades)
+SELECT sym, seq, round(sqrt(s)/7.0, 6) AS value, round(x/sqrt(s)/7.0, 6) AS slope FROM s""")
+def fold_jacobian(spark, sf_dir):
+    """The slope of a fold's value, the root of a running sum of squares, by its input: through the stepped state."""
+    x = F.col("price_raw") / 1000.0
+    rows = series.running_sum(lanes.trades(spark, sf_dir).select("sym", "seq", "ts", "price_raw"), x * x, series.bucket("ts", DAY), "s")
+    value, step = E.sqrt(E.var(1)), E.var(1) + E.square(E.var(0))
+    slope = observe.fold_jacobian(E.diff(value, 0), [E.diff(value, 1)], [E.diff(step, 0)])
+    env = [x, F.col("s")]
+    return rows.select("sym", "seq", r6(E.to_column(value, env) / 7.0).alias("value"), r6(E.to_column(slope, env) / 7.0).alias("slope"))
+
+
+@query(_weave_sql(HOUR) + " SELECT sym, seq, count(*) OVER (PARTITION BY sym, step_id) AS fresh, count(*) OVER (PARTITION BY sym ORDER BY step_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM w WHERE lane = 'trades'")
+def hist_fresh_past(spark, sf_dir):
+    rows = _woven(spark, sf_dir, HOUR).where("lane = 'trades'")
+    return rows.select("sym", "seq", F.count(F.lit(1)).over(fresh()).alias("fresh"), F.count(F.lit(1)).over(past()).alias("past"))
+
+
+@query(f"WITH {_t('trades')}, {_bars('b', HOUR)} SELECT sym, ts_close, lag(close, 3) OVER (PARTITION BY sym ORDER BY ts_close) AS close_3 FROM b")
+def lagged_close(spark, sf_dir):
+    return _b(spark, sf_dir).select("sym", "ts_close", lagged("close", 3).alias("close_3"))
+
+
+@query(_weave_sql(HOUR) + ", x AS (SELECT w.sym, w.step_id, t.price_raw > 9000 AS ends FROM w JOIN trades t ON w.sym = t.sym AND w.seq = t.seq WHERE w.lane = 'trades') SELECT sym, step_id, bool_or(ends) AS ended FROM x GROUP BY sym, step_id")
+def episode_terminal(spark, sf_dir):
+    rows = _woven(spark, sf_dir, HOUR).where("lane = 'trades'").join(lanes.trades(spark, sf_dir).select("sym", "seq", "price_raw"), ["sym", "seq"])
+    return control.terminal(rows, F.col("price_raw") > 9000)
+
+
+@query(f"WITH {_t('trades')}, x AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM trades) SELECT sym, seq, CASE WHEN i >= 4 THEN CAST(sum(price_raw) OVER (PARTITION BY sym ORDER BY seq ROWS 3 PRECEDING) AS BIGINT) END AS total FROM x")
+def trailing_in_blocks(spark, sf_dir):
+    """A window of four trades, by differences of running sums that are taken in blocks."""
+    t = series.numbered(lanes.trades(spark, sf_dir).select("sym", "seq", "ts", "price_raw"), series.bucket("ts", DAY), "i")
+    t = series.running_sum(t, F.col("price_raw"), series.bucket("ts", DAY), "s")
+    return t.select("sym", "seq", F.when(F.col("i") >= 3, F.col("s") - F.lag("s", 4, 0).over(by("seq"))).alias("total"))
+
+
+def clocked_graph() -> Graph:
+    """Buys, at most one an hour: the gate is applied first, so a sale consumes no period."""
+
+    @node("trades")
+    def buys(t):
+        return t.select("sym", "seq", (F.col("side") == 0).alias("passes"))
+
+    @node(gating("buys", on=("sym", "seq")), buffering("trades", elems(1)), clock=HOUR)
+    def first_buys(t):
+        return t
+
+    return Graph(roots=("trades", "deltas"), nodes=(buys, first_buys), outputs=("first_buys",))
+
+
+@query(ORACLE_SQL["clocked_ticks"])
+def graph_clocked(spark, sf_dir):
+    out = clocked_graph().build({"trades": lambda: lanes.trades(spark, sf_dir), "deltas": lambda: 1 / 0})["first_buys"]
+    return out.select("sym", "seq", "ts")
+
+
+def latched_graph() -> Graph:
+    """Trades while a latch stands that a high price arms and its own fifth step ends."""
+
+    @node("trades")
+    def high(t):
+        return t.select("sym", "seq", (F.col("price_raw") > 9000).alias("trigger"))
+
+    @node("high", latch=True, cut="five")
+    def armed(h):
+        return control.latch(h, 5)
+
+    @node(gating("armed", on=("sym", "seq"), passes="armed"), "trades")
+    def five(t):
+        return t
+
+    return Graph(roots=("trades",), nodes=(high, armed, five), outputs=("five",))
+
+
+@query(f"WITH RECURSIVE {_LATCH} SELECT w.sym, w.seq, trades.price_raw FROM w JOIN trades USING (sym, seq) WHERE n > 0")
+def graph_latched(spark, sf_dir):
+    out = latched_graph().build({"trades": lambda: lanes.trades(spark, sf_dir)})["five"]
+    return out.select("sym", "seq", "price_raw")
+
+
+def simple_graph() -> Graph:
+    """Running volume, the slope of prices by flows, rolling volume and a signal over their last values."""
+
+    @node("trades")
+    def bars_1h(t):
+        return bars(t, HOUR)
+
+    @node(folding("trades", UNBOUNDED))
+    def volume_delta(t):
+        return series.cvd(t, DAY).withColumn("cvd", F.col("cvd") / 100.0)
+
+    @node(buffering("bars_1h", elems(24)))
+    def slope(b):
+        return series.kyle_lambda(b, 24).withColumnRenamed("kyle_lambda", "lam")
+
+    @node(buffering("bars_1h", elems(24)))
+    def volume(b):
+        return series.rolling_vol(b, 24).withColumnRenamed("rolling_vol", "vol")
+
+    @node("volume_delta", sampling_of("slope"), sampling_of("volume"))
+    def signal_(c, lam, vol):
+        rows = sampling.sample(c, "seq", {"lam": (lam, "emit_seq", "lam"), "vol": (vol, "emit_seq", "vol")}, block=4096)
+        body = 1e6 * E.var(0) + 1e-6 * (E.var(1) - E.var(2))
+        return rows.select("sym", "seq", E.to_column(body, [F.col("lam"), F.col("cvd"), F.col("vol")]).alias("signal"))
+
+    return Graph(roots=("trades", "deltas", "anchors", "oi", "mc"), nodes=(bars_1h, volume_delta, slope, volume, signal_), outputs=("signal_", "bars_1h"))
+
+
+@query(ORACLE_SQL["signal"])
+def graph_simple_signal(spark, sf_dir):
+    out = simple_graph().build({"trades": lambda: lanes.trades(spark, sf_dir)})["signal_"]
+    return out.select("sym", "seq", F.round("signal", 3).alias("signal"))
+
+
+def live_graph() -> Graph:
+    """What a live view shows: running sums of trades and of book changes, the book's top, and bars."""
+
+    @node(folding("trades", UNBOUNDED))
+    def volume_delta(t):
+        return series.cvd(t, DAY)
+
+    @node(folding("deltas", UNBOUNDED))
+    def flow(d):
+        return series.book_flow(d, DAY)
+
+    @node("deltas", anchored=True, fidelity="opaque")
+    def tops(d):
+        return book.top(d, DAY)
+
+    @node("trades")
+    def bars_1h(t):
+        return bars(t, HOUR)
+
+    return Graph(roots=("trades", "deltas", "anchors", "oi", "mc"), nodes=(volume_delta, flow, tops, bars_1h), outputs=("volume_delta", "flow", "tops", "bars_1h"))
+
+
+@query(f"WITH {_t('trades')}, {_t('deltas')}, {_bars('b', HOUR)} SELECT 'volume_delta' AS node, count(*) AS fires, 0 AS skips FROM trades UNION ALL SELECT 'flow', count(*), 0 FROM deltas WHERE kind = 0 UNION ALL SELECT 'bars_1h', count(*), 0 FROM b")
+def graph_live_census(spark, sf_dir):
+    feed = {"trades": lambda: lanes.trades(spark, sf_dir), "deltas": lambda: lanes.deltas(spark, sf_dir)}
+    return live_graph().census(feed, {"volume_delta": "cvd", "flow": "book_flow", "bars_1h": "close"})
+
+
+def spl_graph() -> Graph:
+    """The whole strategy over five lanes: bars, the relative strength index, and the intents of decided episodes."""
+
+    @node("trades")
+    def bars_1h(t):
+        return bars(t, HOUR)
+
+    @node("trades")
+    def bars_4h(t):
+        return bars(t, H4)
+
+    @node("trades")
+    def bars_1d(t):
+        return bars(t, DAY)
+
+    @node("deltas", anchored=True, fidelity="opaque")
+    def tops(d):
+        return book.top(d, DAY)
+
+    @node(folding("bars_4h", UNBOUNDED))
+    def strength(b):
+        return recurrences.rsi(b)
+
+    @node(folding("bars_1h", UNBOUNDED))
+    def range_(b):
+        return recurrences.atr(b).withColumn("atr", F.col("atr") / 100.0)
+
+    @node(buffering("bars_4h", elems(13)))
+    def sharpe(b):
+        return series.momentum(b, 13)
+
+    @node(buffering("bars_1h", over(H4)))
+    def change_3m(b):
+        return series.change(b, H4).withColumnRenamed("change", "change_3m")
+
+    @node(buffering("bars_1h", over(DAY)))
+    def change_1d(b):
+        return series.change(b, DAY).withColumnRenamed("change", "change_1d")
+
+    @node("bars_1d")
+    def vol_1h(b):
+        return series.vol_usd(b).withColumnRenamed("vol_usd", "vol_1h")
+
+    @node("tops")
+    def book_state(t):
+        return book.measures(t)
+
+    @node("bars_1h", *[sampling_of(x) for x in ("sharpe", "mc", "oi", "change_3m", "change_1d", "vol_1h", "book_state")], fidelity="partial")
+    def decision_(b, m, mc, oi, c3, c1, v, s):
+        b = b.withColumn("vol_1m", F.col("vol") * F.col("close") / 100.0).select("sym", "ts_close", "emit_seq", "vol_1m")
+        oi = oi.withColumn("oi_value", F.col("oi") * 1000.0)
+        levels = {"momentum": (m, "emit_seq", "momentum"), "market_cap": (mc, "at", "market_cap"), "oi_value": (oi, "seq", "oi_value"), "change_3m": (c3, "emit_seq", "change_3m"), "change_1d": (c1, "emit_seq", "change_1d"), "vol_1h": (v, "emit_seq", "vol_1h"), "spread": (s, "seq", "spread"), "imbalance": (s, "seq", "imbalance")}
+        return strategy.decide(strategy.modal(strategy.classify(sampling.sample(b, "emit_seq", levels))))
+
+    @node("tops", "decision_", sampling_of("range_"), "trades", fidelity="opaque")
+    def intents_(t, d, a, trades):
+        return strategy.intents(ticks_of(t, d, a, trades))
+
+    return Graph(
+        roots=("trades", "deltas", "anchors", "oi", "mc"), outputs=("bars_1h", "intents_", "strength"),
+        nodes=(bars_1h, bars_4h, bars_1d, tops, strength, range_, sharpe, change_3m, change_1d, vol_1h, book_state, decision_, intents_),
+    )
+
+
+def ticks_of(tops: DataFrame, decided: DataFrame, ranges: DataFrame, trades: DataFrame) -> DataFrame:
+    """Ticks of the strategy: book mids, decisions where hourly bars close, and the sampled range."""
+    rows = decided.select("sym", F.col("emit_seq").alias("seq"), "direction", "size")
+    ticks = book.mid(tops).join(rows, ["sym", "seq"], "full_outer")
+    ts = trades.select("sym", "seq", F.col("ts").alias("at"))
+    ticks = ticks.join(ts, ["sym", "seq"], "left").withColumn("ts", F.coalesce("ts", "at")).drop("at")
+    return sampling.sample(ticks, "seq", {"atr": (ranges, "emit_seq", "atr")})
+
+
+def _spl_feed(spark, sf_dir) -> dict:
+    t = lanes.trades(spark, sf_dir)
+    days = t.groupBy("sym", series.bucket("ts", DAY).alias("ts")).agg(F.min("seq").alias("at"))
+    return {"trades": lambda: t, "deltas": lambda: lanes.deltas(spark, sf_dir), "oi": lambda: lanes.open_interest(spark, sf_dir), "mc": lambda: lanes.market_cap(spark, sf_dir).join(days, ["sym", "ts"]), "anchors": lambda: None}
+
+
+def _written_once(spark):
+    """Book tops are folded once for all that read them, and bars and decisions with them."""
+
+    def share(name: str, df: DataFrame) -> DataFrame:
+        if name not in ("tops",):
+            return df
+        at = lanes.scratch(spark, name)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return share
+
+
+@query(ORACLE_SQL["rsi"])
+def graph_spl_rsi(spark, sf_dir):
+    out = spl_graph().build(_spl_feed(spark, sf_dir))["strength"]
+    return out.select("sym", "ts_close", r6("rsi").alias("rsi"), r6("smoothed").alias("smoothed"))
+
+
+@query()
+def intents(spark, sf_dir):
+    return spl_graph().build(_spl_feed(spark, sf_dir), share=_written_once(spark))["intents_"]
+
+
+@query()
+def episodes(spark, sf_dir):
+    return strategy.digest(intents(spark, sf_dir))
+
+
+@query("""SELECT * FROM (VALUES ('trades', 0, 'pin:retention'), ('bars_1h', 1, 'pin:output'), ('deltas', 2, 'pin:flow'), ('tops', 3, 'pin:flow'), ('bars_4h', 4, 'pin:retention'), ('sharpe', 5, 'pin:retention'), ('mc', 6, 'pin:retention'), ('oi', 7, 'pin:retention'),
+ ('change_3m', 8, 'pin:retention'), ('change_1d', 9, 'pin:retention'), ('bars_1d', 10, 'pin:flow'), ('vol_1h', 11, 'pin:retention'), ('book_state', 12, 'pin:retention'), ('decision_', 13, 'pin:flow'), ('range_', 14, 'pin:fold'), ('intents_', 15, 'pin:output'), ('strength', 16, 'pin:output')) AS t(node, place, need)""")
+def graph_demand(spark, sf_dir):
+    """The strategy's nodes in order, and why each must run."""
+    g = spl_graph()
+    return spark.createDataFrame([(n, i, str(g.demand[n])) for i, n in enumerate(g.order)], "node string, place int, need string")
+
+
+def _streamed(spark, rows: DataFrame, run, order: str = "seq", files: int = 3) -> DataFrame:
+    """``run`` of ``rows`` as a stream of files that come in order, as the table that it leaves."""
+    at, out, ck = (lanes.scratch(spark, n) for n in ("feed", "live", "checkpoint"))
+    n = rows.count()
+    ranked = rows.withColumn("tw_part", F.floor((F.row_number().over(Window.orderBy(order, "sym")) - 1) * files / n))  # a feed of a test's size
+    for i in range(files):
+        ranked.where(F.col("tw_part") == i).drop("tw_part").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    made = run(stream)
+    if isinstance(made, DataFrame):
+        q = made.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", ck).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(made.schema).parquet(out)
+    q = stream.writeStream.foreachBatch(made).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rows
+
+
+_LANE = ("sym", "seq", "ts", "side", "price_raw", "qty_raw")
+
+
+@query(f"WITH {_t('trades')}, {_bars('b', HOUR)} SELECT {', '.join(_BAR_COLUMNS)} FROM b")
+def live_bars(spark, sf_dir):
+    return _streamed(spark, lanes.trades(spark, sf_dir).select(*_LANE), lambda s: live.bars(s, HOUR)).select(*_BAR_COLUMNS)
+
+
+@query(f"WITH RECURSIVE {_LATCH} SELECT sym, seq, n > 0 AS armed, CAST(n AS BIGINT) AS n, n >= 5 AS done FROM w")
+def live_latch(spark, sf_dir):
+    return _streamed(spark, lanes.trades(spark, sf_dir).select("sym", "seq", (F.col("price_raw") > 9000).alias("trigger")), lambda s: live.latch(s, 5))
+
+
+@query(ORACLE_SQL["trailing_in_blocks"])
+def live_trailing(spark, sf_dir):
+    return _streamed(spark, lanes.trades(spark, sf_dir).select("sym", "seq", "price_raw"), lambda s: live.trailing_sum(s, "price_raw", 4))
+
+
+@query(f"WITH {_t('trades')}, x AS (SELECT *, lag(seq) OVER (ORDER BY seq) AS b FROM trades) SELECT sym, count(*) AS n, count(DISTINCT seq) AS stamps, CAST(sum(price_raw) AS BIGINT) AS prices FROM x GROUP BY sym")
+def live_recorded(spark, sf_dir):
+    """What live input records is what a replay reads, each row with a stamp of its own."""
+    catalog, t = Catalog(spark, lanes.scratch(spark, "catalog")), lanes.trades(spark, sf_dir)
+    rows = t.select("sym", F.col("ts").alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.lit(None).cast("long").alias("ts_local_recv"), F.col("seq").alias("monotonic_seq"), "side", "price_raw", "qty_raw")
+    _streamed(spark, rows, lambda s: live.Live("trades", catalog, clock=lambda: 1), order="monotonic_seq")
+    back = _all(lambda s: catalog.read("trades", s, 0, 1 << 62))
+    stamps = back.groupBy("sym", "ts_local_recv").agg(F.count(F.lit(1)).alias("n"), F.sum("price_raw").alias("prices"))
+    return stamps.groupBy("sym").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("stamps"), F.sum("prices").alias("prices"))

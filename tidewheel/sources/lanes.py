@@ -121,9 +121,9 @@ class Catalog:
             raise CatalogError(f"{lane}/{sym}: day {day} has {n} rows, not {expected}")
         return self.write(lane, sym, rows, precision)
 
-    def read(self, lane: str, sym: str, start: int, end: int) -> DataFrame:
-        """Rows whose axis is in [start, end]; folders and row groups outside are not read."""
-        found = self.listing(lane, sym, start, end)
+    def read(self, lane: str, sym: str, start: int, end: int, batch: str | None = None) -> DataFrame:
+        """Rows whose axis is in [start, end], of all batches or one; folders and row groups outside are not read."""
+        found = [r for r in self.listing(lane, sym, start, end) if batch in (None, r["batch"])]
         s = T.StructType([*LANES[lane].fields, T.StructField("batch", T.StringType()), T.StructField("sym", T.StringType()), T.StructField("day", _INT), T.StructField("slot", _INT)])
         if not found:
             return self.spark.createDataFrame([], s).drop("batch", "slot")
