@@ -274,3 +274,61 @@ def test_pipeline(spark):
         for rows in (odd, odd.where("false")):
             out = common.write_shared(stage(spark, rows, "/root/testdata/sf0.001"), name)
             assert out.count() >= 0 and (name == "packing" or out.columns == odd.columns)
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage's rows follow from its own input, told by plain Python."""
+    import corpus_pipeline
+    from tidewheel.llm import quality_classifier as qc
+    from tidewheel.llm import resemblance, secret_scan
+
+    sf, docs = "/root/testdata/sf0.001", common.table(spark, "/root/testdata/sf0.001", "documents")
+    labels = common.table(spark, sf, "labels")
+    stage = dict(corpus_pipeline.STAGES)
+    rows = docs.collect()
+    passed = common.write_shared(stage["quality_classifier"](spark, docs, sf), "q")
+    scores = {r["doc_id"]: r["score"] for r in qc.classify(docs, labels).collect()}
+    assert sorted(r["doc_id"] for r in passed.collect()) == sorted(i for i, s in scores.items() if s >= qc.CUT)
+    one = common.write_shared(stage["simhash"](spark, passed, sf), "s")
+    sets = {r["doc_id"]: resemblance.shingles(r["text"]) for r in rows}
+    ids, root = sorted(r["doc_id"] for r in passed.collect()), {}
+    for i in ids:  # a class is named by its least id
+        near = [root[j] for j in root if resemblance.resemble(sets[i], sets[j]) or not len(sets[i]) and not len(sets[j])]
+        root = {j: min([i, *near]) if r in near else r for j, r in {**root, i: i}.items()}
+        root[i] = min([i, *near])
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(root.values()))
+    clean = common.write_shared(stage["secret_scan"](spark, one, sf), "c")
+    text = {r["doc_id"]: r["text"] for r in one.collect()}
+    spans = {r["doc_id"]: r["found"] for r in secret_scan.scan(one).collect()}
+    for r in clean.collect():
+        want, at = "", 0
+        for s in spans[r["doc_id"]]:
+            if s["start"] >= at:
+                want += text[r["doc_id"]][at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        assert r["text"] == (want + text[r["doc_id"]][at:] if spans[r["doc_id"]] else text[r["doc_id"]])
+    mixed = common.write_shared(stage["mixing"](spark, clean, sf), "m")
+    n = {}
+    for r in mixed.collect():
+        n[r["doc_id"]] = n.get(r["doc_id"], 0) + 1
+    sizes = {r["doc_id"]: len((r["text"] or "").split()) for r in clean.collect()}
+    assert max(n.values()) <= 2 and abs(sum(sizes[i] * k for i, k in n.items()) - 1.5 * sum(sizes.values())) <= 3 * max(sizes.values())
+    packed = stage["packing"](spark, mixed, sf).where("length > 0").toPandas()
+    assert packed["length"].sum() == sum(sizes[i] * k for i, k in n.items()) and (packed.groupby("batch_id")["bucket_len"].sum() <= 65536).all()
+
+
+def test_long_lists_of_secrets(spark):
+    """Thousands of spans in one text, over several blocks of the running sums."""
+    import re
+
+    from tidewheel.llm import secret_scan
+
+    text = " ".join(f"token={i:06d}abc x{i}" for i in range(3000))
+    docs = table(spark, [(1, text), (None, text), (None, None)])
+    got = {r["doc_id"]: r["base"] for r in secret_scan.scan(docs.where("doc_id = 1")).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]] == [m.span() for m in re.finditer(r"token=\w+", text)]
+    out = [r["text"] for r in secret_scan.redacted(docs).collect()]
+    assert sorted(map(str, out)) == sorted(["None", *[re.sub(r"token=\w+", "[SECRET]", text)] * 2])
+    clash = docs.withColumns({"tw_key": F.lit(1), "tw_found": F.lit("x"), "tw_id": F.lit(2), "tw_th": F.lit("y")})
+    assert secret_scan.redacted(clash).columns == clash.columns and simhash.one_of_each(clash).columns == clash.columns
+    assert simhash.one_of_each(clash).count() == 2
