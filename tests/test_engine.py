@@ -272,3 +272,98 @@ def test_days_are_ingested_once(spark, tmp_path):
     assert c.ensure_day("oi", "a", 0, lambda: day, expected=288) and not c.ensure_day("oi", "a", 0, lambda: 1 / 0)
     with pytest.raises(CatalogError):
         c.ensure_day("oi", "b", 0, lambda: day.limit(3), expected=288)
+
+
+def test_batches_are_whole_or_not_there(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    c = Catalog(spark, str(tmp_path / "cat"))
+    rows = spark.createDataFrame([(i * lanes.HOUR, None, i, i, 0, 100 + i, 5) for i in range(60)], lanes.LANES["trades"]).withColumn("sym", (F.col("monotonic_seq") % 2).cast("string"))
+    assert c.write_batch("trades", rows, "b1", max_bytes=400) == 2 and c.last_reception() == 59
+    files = list((tmp_path / "cat" / "trades").rglob("*.parquet"))
+    assert all(spark.read.parquet(str(f)).count() <= 10 for f in files) and len({f.parent for f in files}) >= 6  # ten rows of 40 bytes; a day each
+    rows.write.parquet(str(tmp_path / "cat" / "trades" / "batch=lost" / "sym=0" / "day=0" / "slot=0"))  # written, but not listed
+    assert c.read("trades", "0", 0, 60 * lanes.HOUR).count() == 30
+    c.write_batch("trades", rows.where("monotonic_seq < 10"), "b1")  # tried again
+    assert c.read("trades", "0", 0, 60 * lanes.HOUR).count() == 5
+    with pytest.raises(CatalogError):
+        c.precision("trades", "nothing", 0, 9)
+    with pytest.raises(CatalogError):
+        c.write_batch("trades", rows, "b2", apart=True)
+
+
+def test_csv_out_of_order(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("timestamp,symbol,side,size,price\n2,X,Buy,1,1\n1,X,Buy,1,1\n")
+    with pytest.raises(Exception, match="out of order"):
+        lanes.read_csv_trades(spark, str(p), 0, 0).collect()
+
+
+def test_quotes_in_their_order():
+    assert [parse_pair(x) for x in ("BTCFDUSD", "BTCTRY", "BTCBUSD", "XUSD1", "ABCEURI")] == [("BTC", "FDUSD"), ("BTC", "TRY"), ("BTCB", "USD"), ("X", "USD1"), ("ABC", "EURI")]
+
+
+def test_epochs():
+    """A book that sleeps over less than the net covers catches up; over more, it waits for a checkpoint."""
+    rows = _deltas(99, 300)
+    whole = book.Sides()
+    after = {}
+    for _, seq, _, *level in rows:
+        whole.set(*level)
+        after[seq] = dict(whole.levels())
+    change = lambda a, b: [(r[1], *r[3:]) for r in rows[a - 1 : b]]
+    net = lambda a, b: (a, b, list({r[3:5]: tuple(r[3:]) for r in rows[a - 1 : b]}.values()))
+    e = book.Epochs()
+    assert not e.step(None, change(1, 9)) and e.epoch == 0  # unseeded
+    shape = [(s, p, q) for (s, p), q in after[50].items()]
+    assert e.step(shape, change(41, 60), net(41, 60)) and e.book.levels() == after[60] and e.epoch == 1
+    assert e.step(shape, change(61, 70)) and e.epoch == 1 and e.book.levels() == after[70]  # a checkpoint is no event while synced
+    assert e.step(None, change(95, 100), net(60, 100)) and e.book.levels() == after[100] and e.epoch == 1  # asleep, but covered
+    assert not e.step(None, change(190, 200), net(150, 200)) and not e.synced
+    shape = [(s, p, q) for (s, p), q in after[220].items()]
+    assert e.step(shape, change(221, 230)) and e.epoch == 2 and e.book.levels() == after[230]
+    r = book.Epochs()
+    r.rewind([(s, p, q) for (s, p), q in after[100].items()], change(101, 300))
+    assert r.book.levels() == after[300] and r.epoch == 0
+
+
+def test_graphs_that_cannot_be():
+    one = node("src")(lambda s: s)
+    with pytest.raises(graph.GraphError, match="never arm"):
+        _deadlocked(one)
+    with pytest.raises(graph.GraphError, match="isn't gated"):
+        Graph(roots=("src",), nodes=(graph.Node("latch_", (graph.Read("src"),), one.body, latch=True, cut="src"),), outputs=("latch_",))
+
+
+def _deadlocked(one):
+    g = Graph(roots=("src",), nodes=(graph.Node("free", (graph.Read("src"),), one.body),), outputs=("free",))
+    g.by_name = {"arm": graph.Node("arm", (gating("latch_"),), one.body), "latch_": graph.Node("latch_", (graph.Read("arm"),), one.body, latch=True)}
+    g.order = ["arm", "latch_"]
+    g._check()
+
+
+def test_blocks_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tidewheel.operators import sampling as S_
+
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(int(i % 2), i, int(r.integers(0, 4)) if r.random() < 0.8 else None) for i in range(400)], "sym int, seq long, v long")
+    other = spark.createDataFrame([(int(i % 2), i, float(i)) for i in range(3, 400, 37)], "sym int, at long, x double")
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole, cut = (S_.sample(rows, "seq", {"x": (other, "at", "x")}, block=b) for b in (None, 50))
+    assert told(whole.select("sym", "seq", "x")) == told(cut.select("sym", "seq", "x"))
+    assert told(control.moved(rows, "v")) == told(control.moved(rows, "v", block=F.floor(F.col("seq") / 30)).select("sym", "seq", "v", "moved"))
+    t = rows.withColumns({"ts": F.col("seq") * S, "price_raw": F.col("seq") % 13})
+    assert told(series.mock_ohlc(t, 7)) == told(series.mock_ohlc(t, 7, block=60 * S))
+    lane = t.withColumn("recv", (F.col("ts") - (F.col("seq") % 5) * 3 * S))
+    assert told(weave.arrivals(lane, "trades", "recv")) == told(weave.arrivals(lane, "trades", "recv", block=60 * S).select("sym", "lane", "lane_ix", "seq", "ts", "arrival"))
+
+
+def test_delays_differ_by_lane_and_symbol(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(s, i, i * lanes.DAY, None) for s in (0, 1) for i in range(20)], "sym int, seq long, ts long, recv long")
+    late = lambda name: [r["d"] for r in weave.arrivals(rows, name, "recv").select("sym", "seq", (F.col("arrival") - F.col("ts")).alias("d")).orderBy("sym", "seq").collect()]
+    a, b = late("trades"), late("deltas")
+    assert a[:20] != a[20:] and a != b and late("trades") == a
