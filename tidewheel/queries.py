@@ -999,7 +999,7 @@ def episodes(spark, sf_dir):
     return strategy.digest(intents(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('trades', 0, 'pin:retention'), ('bars_1h', 1, 'pin:output'), ('deltas', 2, 'pin:flow'), ('tops', 3, 'pin:flow'), ('bars_4h', 4, 'pin:retention'), ('sharpe', 5, 'pin:retention'), ('mc', 6, 'pin:retention'), ('oi', 7, 'pin:retention'),
+@query("""SELECT * FROM (VALUES ('trades', 0, 'pin:flow'), ('bars_1h', 1, 'pin:output'), ('deltas', 2, 'pin:flow'), ('tops', 3, 'pin:flow'), ('bars_4h', 4, 'pin:retention'), ('sharpe', 5, 'pin:retention'), ('mc', 6, 'pin:retention'), ('oi', 7, 'pin:retention'),
  ('change_3m', 8, 'pin:retention'), ('change_1d', 9, 'pin:retention'), ('bars_1d', 10, 'pin:flow'), ('vol_1h', 11, 'pin:retention'), ('book_state', 12, 'pin:retention'), ('decision_', 13, 'pin:flow'), ('range_', 14, 'pin:fold'), ('intents_', 15, 'pin:output'), ('strength', 16, 'pin:output')) AS t(node, place, need)""")
 def graph_demand(spark, sf_dir):
     """The strategy's nodes in order, and why each must run."""
