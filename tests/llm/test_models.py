@@ -149,6 +149,37 @@ def test_gradients_of_the_network():
         assert abs((hi - lo) / 2e-4 - g[at]) < 1e-3, k
 
 
+def plain_labels(net, text):
+    """Probabilities at each byte, by one gated step after another."""
+    x, u, f = language_id.bytes_of(text), net.units, lambda a: 1 / (1 + np.exp(-a))
+    states = []
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, out = np.zeros(u), np.zeros((len(x), u))
+        for t in order:
+            a, g = net.p["E" + d][x[t]].astype(float), h @ net.p["U" + d].astype(float)
+            z, r = f(a[:u] + g[:u]), f(a[u : 2 * u] + g[u : 2 * u])
+            new = np.tanh(a[2 * u :] + r * g[2 * u :])
+            h = (1 - z) * new + z * h
+            out[t] = h
+        states.append(out)
+    s = np.exp(np.hstack(states) @ net.p["V"] + net.p["c"])
+    return s / s.sum(axis=1, keepdims=True)
+
+
+def test_pooled_labels_by_the_letter(spark, monkeypatch):
+    net = language_id.train([("a", "aa ab ba cab"), ("b", "xx xy yx zyx")], steps=40)
+    texts = ["ab", "aa ba xy", "Xx YY zé 12", "xyz " * 30, "ab\n" * 41 + "x"]
+    for window, context in ((512, 24), (8, 1000)):  # one window, and windows that see all the text
+        monkeypatch.setattr(language_id, "WINDOW", window)
+        monkeypatch.setattr(language_id, "CONTEXT", context)
+        got = {r["doc_id"]: r for r in language_id.identify(table(spark, list(enumerate(texts))), net).collect()}
+        for i, t in enumerate(texts):
+            want = plain_labels(net, t).mean(axis=0)
+            assert abs(got[i]["score"] - want.max()) < 1e-4 and got[i]["lang_pred"] == "ab"[want.argmax()]
+    cut = [w for w in language_id.windows_of(language_id.bytes_of("x" * 1300))]
+    assert [w[1:] for w in cut] and sum(e - b for _, b, e in cut) == 1300
+
+
 def test_languages_held_out(spark):
     got = QUERIES["op2_language_id"](spark, SF).join(common.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 200 and (got["lang"] == got["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()

@@ -1,9 +1,9 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network runs over the bytes of each word, forwards and backwards, and labels every position; a document's
-probabilities are the mean over all its positions. As its state starts afresh with each word, equal words have equal
-labels: a task computes each distinct word once and counts it as often as it stands, which is exact and spares nine
-tenths of the work. Words of over ``LONGEST`` bytes are run in pieces of that length.
+The network runs over a text's bytes forwards and backwards, across words, and labels every position; a document's
+probabilities are the mean over all its positions. Texts are run in windows of ``WINDOW`` bytes, each with ``CONTEXT``
+bytes before and after it from which the states come in, so that windows of all texts of a batch run side by side and
+memory does not grow with a text.
 """
 
 from __future__ import annotations
@@ -18,20 +18,15 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import held_out, learnable, table
 
-UNITS, LONGEST, STEPS, BATCH, RATE, SEED = 12, 32, 500, 256, 0.01, 5
+UNITS, STEPS, BATCH, SPAN, RATE, SEED = 12, 400, 128, 64, 0.01, 5
+#: Bytes that a window labels, and bytes before and after it that only bring the states in; windows that run side by side.
+WINDOW, CONTEXT, SIDE = 512, 24, 512
 #: Bounds of the training sample: documents of each language, and characters of each (from a hashed offset on).
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 3000
-#: Words whose labels a task remembers before it starts afresh.
-REMEMBERED = 200_000
-CHUNK_DOCS = 512
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
-
-
-def pieces(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def bytes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,8 +45,8 @@ class Network:
             self.p["E" + d] = r.normal(0, 0.3, (256, 3 * units)).astype(f)
             self.p["U" + d] = r.normal(0, 1 / np.sqrt(units), (units, 3 * units)).astype(f)
 
-    def _run(self, x: np.ndarray, d: str, tape: list | None) -> np.ndarray:
-        """States after each position of ``x`` (words, positions), in the order of positions."""
+    def _run(self, x: np.ndarray, d: str, tape: list | None, there: np.ndarray | None = None) -> np.ndarray:
+        """States after each position of ``x`` (windows, positions), in the order of positions; 0 where nothing is ``there``."""
         u, (e, w) = self.units, (self.p["E" + d], self.p["U" + d])
         h, out = np.zeros((len(x), u), np.float32), np.empty((*x.shape, u), np.float32)
         for t in range(x.shape[1]) if d == "f" else reversed(range(x.shape[1])):
@@ -62,12 +57,14 @@ class Network:
             if tape is not None:
                 tape.append((t, h, z, r, n, g[:, 2 * u :]))
             h = n + z * (h - n)
+            if there is not None:
+                h *= there[:, t, None]
             out[:, t] = h
         return out
 
-    def label(self, x: np.ndarray, tapes: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities (words, positions, languages) of words of one length, and the states they come from."""
-        h = np.concatenate([self._run(x, d, tapes[d] if tapes else None) for d in "fb"], axis=2)
+    def label(self, x: np.ndarray, tapes: dict | None = None, there: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities (windows, positions, languages), and the states they come from."""
+        h = np.concatenate([self._run(x, d, tapes[d] if tapes else None, there) for d in "fb"], axis=2)
         s = h @ self.p["V"] + self.p["c"]
         s = np.exp(s - s.max(axis=2, keepdims=True))
         return s / s.sum(axis=2, keepdims=True), h
@@ -98,41 +95,45 @@ class Network:
             out["E" + d], out["U" + d] = de, dw
         return out
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word its probabilities summed over positions."""
-        out = np.zeros((len(words), len(self.langs)), np.float64)
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(words):
-            for part in pieces(w):
-                by_length.setdefault(len(part), []).append((i, part))
-        for n, own in by_length.items():
-            for at in range(0, len(own), 4096):
-                some = own[at : at + 4096]
-                x = np.frombuffer(b"".join(w for _, w in some), np.uint8).reshape(-1, n)
-                np.add.at(out, [i for i, _ in some], self.label(x)[0].sum(axis=1))
+    def sums(self, windows: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+        """For each window (bytes, begin, end) its probabilities summed over the positions from begin to end."""
+        out = np.zeros((len(windows), len(self.langs)))
+        order = sorted(range(len(windows)), key=lambda i: len(windows[i][0]))  # windows of like length run side by side
+        for at in range(0, len(order), SIDE):
+            some = order[at : at + SIDE]
+            x = np.zeros((len(some), len(windows[some[-1]][0])), np.uint8)
+            there, core = np.zeros(x.shape, np.float32), np.zeros(x.shape, np.float32)
+            for row, i in enumerate(some):
+                own, begin, end = windows[i]
+                x[row, : len(own)], there[row, : len(own)], core[row, begin:end] = own, 1, 1
+            p = self.label(x, there=None if there.all() else there)[0]
+            out[some] = np.einsum("wpl,wp->wl", p, core)
         return out
 
 
+def windows_of(text: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """A text's windows with their contexts, and where in each the window begins and ends."""
+    for at in range(0, len(text), WINDOW):
+        start, end = max(0, at - CONTEXT), min(len(text), at + WINDOW)
+        yield text[start : end + CONTEXT], at - start, end - start
+
+
 def train(texts: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network | None:
-    """A network from (lang, text), by Adam on batches of words of one length; None without words."""
+    """A network from (lang, text), by Adam on stretches of ``SPAN`` bytes; None without a word."""
     langs = sorted({lang for lang, _ in texts})
-    by_length: dict[int, list[tuple[bytes, int]]] = {}
-    for lang, text in texts:
-        for w in words_of(text):
-            for part in pieces(w):
-                by_length.setdefault(len(part), []).append((part, langs.index(lang)))
-    if not by_length:
+    streams = [np.concatenate([bytes_of(t + "\n") for k, t in texts if k == lang]) for lang in langs]
+    if not any(t.strip() for _, t in texts):
         return None
-    lengths = sorted(by_length)
-    data = {n: (np.frombuffer(b"".join(w for w, _ in by_length[n]), np.uint8).reshape(-1, n), np.array([y for _, y in by_length[n]])) for n in lengths}
-    share = np.array([n * len(by_length[n]) for n in lengths], dtype=np.float64)
+    streams = [np.resize(x, max(len(x), SPAN + 1)) for x in streams]
+    share = np.array([len(x) for x in streams], dtype=np.float64)
     net, r = Network(langs, seed=seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        x, y = data[int(r.choice(lengths, p=share / share.sum()))]
-        pick = r.integers(0, len(x), batch)
+        y = r.choice(len(langs), batch, p=share / share.sum())
+        starts = [int(r.integers(0, len(streams[k]) - SPAN)) for k in y]
+        x = np.stack([streams[k][i : i + SPAN] for k, i in zip(y, starts, strict=True)])
         now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for k, g in net.gradients(x[pick], y[pick]).items():
+        for k, g in net.gradients(x, y).items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             net.p[k] -= (now * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -170,28 +171,31 @@ def identify(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text:
     n = len(net.langs) if net else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        known = np.zeros((0, n))
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK_DOCS):
-                b = whole.slice(at, CHUNK_DOCS)
-                if len(ids) > REMEMBERED:
-                    ids, known = {}, np.zeros((0, n))
-                before, of, doc, times, size = len(ids), [], [], [], np.ones(b.num_rows)
-                for i, (t, able) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    if able and net:
-                        count = Counter(words_of(t))
-                        of += [ids.setdefault(w, len(ids)) for w in count]
-                        times += count.values()
-                        doc += [i] * len(count)
-                        size[i] = sum(len(w) * k for w, k in count.items())
-                if len(ids) > before:
-                    known = np.concatenate([known, net.word_sums(list(ids)[before:])])
-                pooled = np.zeros((b.num_rows, n))
-                for k in range(n):
-                    pooled[:, k] = np.bincount(doc, weights=known[of, k] * np.array(times), minlength=b.num_rows) / size if of else 0
+            for at in range(0, whole.num_rows, SIDE):
+                b = whole.slice(at, SIDE)
+                able = np.array([bool(x) and n > 0 for x in b.column(3).to_pylist()], dtype=bool)
+                pooled, size = np.zeros((b.num_rows, n)), np.ones(b.num_rows)
+                held: list[tuple[np.ndarray, int, int]] = []
+                of: list[int] = []
+
+                def settle(held=held, of=of, pooled=pooled) -> None:
+                    np.add.at(pooled, of, net.sums(held))
+                    held.clear()
+                    of.clear()
+
+                for i in np.flatnonzero(able):
+                    text = bytes_of(b.column(2)[int(i)].as_py())
+                    size[i] = len(text)
+                    for window in windows_of(text):
+                        held.append(window)
+                        of.append(int(i))
+                        if len(held) >= 8 * SIDE:
+                            settle()
+                if held:
+                    settle()
+                pooled /= size[:, None]
                 best = pooled.argmax(axis=1) if n else np.zeros(b.num_rows, dtype=int)
-                able = np.array([bool(x) and n > 0 for x in b.column(3).to_pylist()])
                 score = np.where(able, pooled.max(axis=1) if n else 0.0, 0.0).clip(0, 1)
                 pred = [net.langs[j] if ok else "und" for j, ok in zip(best, able, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
