@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -80,10 +81,43 @@ def test_units_are_whole_and_cut_alike():
     assert max(len(u) for u in plain_units(text)[:1000]) <= substring_dedup.WINDOW
 
 
-@pytest.mark.parametrize("batch", [1000, 7])
-def test_against_words(spark, monkeypatch, batch):
-    """Few texts to a batch and few buckets, so that firsts are settled between batches."""
+def test_places_that_were_sent():
+    """Whatever is forgotten, each hash's first place is sent and all others are known as later, here or in the bucket."""
+    r = np.random.default_rng(3)
+    for room in (0, 5, 40, 1000):
+        sent, everything, out, told = substring_dedup._Sent(room), [], [], []
+        for _ in range(30):
+            places = np.zeros(50, substring_dedup._PLACE)
+            places["h"], places["doc_id"], places["at"] = r.zipf(1.5, 50) % 200, r.integers(0, 40, 50), r.integers(0, 3, 50)
+            everything.append(places.copy())
+            fresh, later = sent.fresh(*substring_dedup._firsts(places))
+            assert len(sent.places) <= room and (np.diff(sent.places["h"].astype(int)) > 0).all()
+            out.append(fresh)
+            told.append(later)
+        _, later = substring_dedup._firsts(np.concatenate(out))
+        got = {x.item() for x in np.concatenate([later, *told])}
+        least = {}
+        for x in sorted(x.item() for x in np.concatenate(everything)):
+            least.setdefault(x[0], x)
+        assert got == {x.item() for x in np.concatenate(everything)} - set(least.values())
+        assert room < 1000 or sum(map(len, out)) < 600
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    """Texts of null ids are known by their hash alone; each keeps its own ranges."""
+    texts = [" ".join(f"n{i}x{k}" for k in range(20 + i % 7)) for i in range(300)]
+    rows = [(None, t) for t in texts] + [(1, texts[7] + " and more of it")]
+    got = substring_dedup.dedup(table(spark, rows)).collect()
+    assert sorted(x["text"] for x in got if x["doc_id"] is None) == sorted(texts)
+    assert [x["n_removed"] > 0 for x in got if x["doc_id"] == 1] == [True]
+
+
+@pytest.mark.parametrize(("batch", "size", "remembered"), [(1000, 1 << 20, 1 << 20), (7, 1 << 20, 60), (1000, 3000, 0)])
+def test_against_words(spark, monkeypatch, batch, size, remembered):
+    """Few texts to a batch and few buckets, so that firsts are settled between batches; little is remembered."""
     monkeypatch.setattr(substring_dedup, "CHUNK", batch)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "SENT", remembered)
     r = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
     sentence = lambda: " ".join(r.choices(words, k=r.randint(3, 30))) + "."
