@@ -36,6 +36,8 @@ LONG, WINDOW = 10, 6
 BUCKETS, LEAST_BUCKETS = 8, 64
 #: Texts, and bytes of them, of which runs are gathered before they are sent.
 CHUNK, CHUNK_BYTES = 1024, 8 << 20
+#: Places that are packed together once they need no more settling.
+PIECE = 2048
 #: Words whose hashes a task remembers before it starts afresh; places that it remembers to have sent.
 REMEMBERED, SENT = 200_000, 400_000
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -156,8 +158,8 @@ def later_places(rows: DataFrame, buckets: int) -> DataFrame:
             at = ((places["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with h
             cuts = np.flatnonzero(np.diff(at)) + 1
             out = [(int(k), True, x.tobytes()) for k, x in zip(at[np.concatenate([[0], cuts])], np.split(places, cuts), strict=True)] if len(at) else []
-            if len(later):  # settled already: dealt by what differs between copies too
-                out.append(((int(later["doc_id"][0]) + int(later["th"][0])) % buckets, False, later.tobytes()))
+            for i in range(0, len(later), PIECE):  # settled already: dealt evenly, from where the least place's text and id say
+                out.append(((int(later["doc_id"][0]) + int(later["th"][0]) + i // PIECE) % buckets, False, later[i : i + PIECE].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.bool_(), pa.binary()))], names=["bucket", "open", "places"])
 
     def settle(group: pa.Table) -> pa.Table:
