@@ -141,6 +141,8 @@ def test_against_words(spark, monkeypatch, batch, size, remembered):
 def test_odd_rows_and_hot_passages(spark):
     odd = {x["doc_id"]: x["text"] for x in substring_dedup.dedup(table(spark, ODD)).collect()}
     assert odd[1] is None and odd[5] == "twice told tale" and substring_dedup.dedup(table(spark, ODD).where("false")).count() == 0
+    blank = substring_dedup.dedup(table(spark, [(None, None), (1, ""), (1, ""), (2, " \n "), (None, None)])).collect()
+    assert sorted(x["text"] or "-" if x["text"] != "" else "" for x in blank) == sorted(["-", "-", "", "", " \n "]) and all(x["n_sentences"] == x["n_removed"] == 0 for x in blank)
     hot = [(i, f"own{i} words here. " + " ".join(f"h{k}" for k in range(60))) for i in range(400)] + [(None, " ".join(f"h{k}" for k in range(60)))]
     got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.dedup(table(spark, hot)).collect()}
     assert got[None] == 0 and all(got[i] > 0 for i in range(400))
