@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, resemblance of 0.8) stays."""
+    """One document of each group of near-copies (SimHash and MinHash of five-word shingles, resemblance of 0.8) stays."""
     return one_of_each(docs, near_copies)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tests.llm.test_models import ODD, table
@@ -67,6 +68,39 @@ def test_pairs_that_both_ends_of_a_bucket_miss(spark, monkeypatch):
     assert all(got[2 * i] == got[2 * i + 1] for i in range(6)) and len(set(got.values())) == 6
 
 
+def _print(text, width=5):
+    w = text.lower().encode().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(max(len(w) - width + 1, 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_balls_find_near_copies_without_minima(spark, monkeypatch):
+    """Texts whose SimHash fingerprints differ in up to three bits meet with no MinHash key at all, and are then verified."""
+    monkeypatch.setattr(resemblance, "bands", lambda found: __import__("numpy").zeros(0, "int64"))
+    r = random.Random(8)
+    texts = []
+    for _ in range(40):
+        base = [f"v{r.randrange(3000)}" for _ in range(r.randint(150, 500))]
+        texts += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base[:90], "other", *base[91:]])]
+    said = " ".join(f"s{i}" for i in range(7)) + " "
+    texts += [said * 60 + " ".join(f"{c}{i}" for i in range(40)) for c in "xy"]  # like fingerprints, unlike sets
+    texts += [" ".join(["twice told"] * n) for n in (10, 400, 401)]  # one set
+    sets, prints = [_words(t) for t in texts], [_print(t) for t in texts]
+    crowd, root = list(range(len(texts))), list(range(len(texts)))
+    near = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    merge = lambda c, i, j: [min(c[i], c[j]) if x in (c[i], c[j]) else x for x in c]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    for i, j in pairs:
+        if (prints[i] ^ prints[j]).bit_count() <= 3 or sets[i] == sets[j]:
+            crowd = merge(crowd, i, j)
+    for i, j in pairs:
+        if crowd[i] == crowd[j] and near(i, j):
+            root = merge(root, i, j)
+    got = {x["doc_id"]: x["root"] for x in resemblance.near_copies(table(spark, list(enumerate(texts)))).collect()}
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i, j in pairs)
+    assert sum(root[i] != i for i in range(120)) >= 20 and crowd[120] == crowd[121] and got[120] != got[121]
+
+
 def test_odd_rows(spark):
     docs = table(spark, [*ODD, (9, "twice told tale"), (10, None)])
     left = corpus_pipeline.simhash(spark, docs, "")

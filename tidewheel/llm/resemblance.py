@@ -1,19 +1,21 @@
-"""Near-copies by the resemblance (Jaccard) of their sets of five-word shingles.
+"""Near-copies by SimHash over five-word shingles, each verified by the resemblance (Jaccard) of their sets.
 
-At a resemblance of 0.8 the SimHash fingerprints of two texts differ in about ten of 64 bits, too many for a ball around each,
-so candidates come from MinHash and are then verified exactly, without listing the pairs of a crowd:
+Texts of equal sets are one. Candidates are verified exactly, without listing the pairs of a crowd:
 
-1. *Band.* Texts of equal sets are one. Every other set has ``BANDS`` keys of ``ROWS`` minima; sets that share a key
-   are candidates. A pair at exactly 0.8 shares none with probability (1 - 0.8**5)**20 = 0.0004, and less above it.
-   Sets that keys connect, directly or over others, form a crowd; each set is in one.
-2. *Compare with a core.* A crowd's core is what most of a bounded sample of it holds. Each set is its difference to the
+1. *Fingerprint.* Texts have SimHash fingerprints of their five-word shingles, repeats included, and the balls of
+   ``simhash.links`` find all that differ in ``simhash.RADIUS`` or fewer bits: their sets are candidates.
+2. *Band.* At a resemblance of 0.8 fingerprints differ in about ten of 64 bits, too many for a ball around each. For
+   pairs beyond the balls every set also has ``BANDS`` MinHash keys of ``ROWS`` minima; sets that share a key are
+   candidates too. A pair at exactly 0.8 shares none with probability (1 - 0.8**5)**20 = 0.0004, and less above it.
+   Sets that candidates connect, directly or over others, form a crowd; each set is in one.
+3. *Compare with a core.* A crowd's core is what most of a bounded sample of it holds. Each set is its difference to the
    core from here on, for two sets differ by no more than their differences to it together. With w = 9 |difference| -
    |set|, two sets that have no difference in common are near-copies if and only if their w add up to 0 or less. So every
    set that is a near-copy of any other by that rule is one of the crowd's least w, and one row for each set tells it.
-3. *Look for common differences.* Other pairs must share part of their differences: at least (w + w') / 18 of them. Sets
+4. *Look for common differences.* Other pairs must share part of their differences: at least (w + w') / 18 of them. Sets
    are joined on those, rarest first, by prefixes that leave out what can't matter, and only pairs that can still reach
    the number are intersected.
-4. *Connect.* Classes are the connected components over links, as for fingerprints.
+5. *Connect.* Classes are the connected components over links, as for fingerprints.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.common import dealt, forget, small_or_shuffled, write_shared
 from tidewheel.llm.components import connected_components
+from tidewheel.llm.simhash import hashes, links, majority
 
 SEED, WIDTH = 42, 5
 #: Near-copies have a resemblance of 4/5: twice the common part, times 9, is at least the sum of both sizes times 8.
@@ -41,11 +44,7 @@ _MINIMA, _MIX, _BAND = _ODD[: BANDS * ROWS], _ODD[BANDS * ROWS : -BANDS, 0], _OD
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Rising hashes of the different shingles. No word: none; fewer words than ``width``: one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = [words[i:] for i in range(width)] if len(words) >= width else [[b" ".join(words)]]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*parts, strict=False)), dtype=np.uint64))
+    return np.unique(hashes(text, width))
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -60,20 +59,25 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, th, ``sk`` (a hash of the set), its size and keys, a row for each row of ``docs`` (doc_id, th, text)."""
+    """doc_id, th, ``sk`` (a hash of the set), its size and keys, and ``fp`` (the fingerprint as a signed long; null without
+    a word), a row for each row of ``docs`` (doc_id, th, text).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sks, n, keys = [], [], []
+            sks, n, keys, fps = [], [], [], []
             for t in b.column(2):
-                found = shingles(t.as_py())
+                every = hashes(t.as_py(), WIDTH)
+                found = np.unique(every)
+                fps.append(majority(every))
                 sks.append(xxhash.xxh64_intdigest(found.tobytes()))
                 n.append(len(found))
                 keys.append(bands(found))
             sk = pa.array(np.array(sks, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sk, pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "sk", "size", "keys"])
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64), mask=np.array(n) == 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sk, pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), fp], names=["doc_id", "th", "sk", "size", "keys", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, sk long, size int, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, sk long, size int, keys array<long>, fp long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -193,10 +197,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints = write_shared(_signatures(rows), "signatures")
     distinct = prints.groupBy("sk").agg(F.min_by(F.struct("size", "keys"), F.struct("doc_id", "th")).alias("x"), F.min(F.struct("doc_id", "th")).alias("first"))
     distinct = write_shared(distinct.select("sk", "x.keys", F.col("first.doc_id").alias("id1"), F.col("first.th").alias("th1")), "distinct")
-    keyed = distinct.select("sk", F.explode("keys").alias("key"))
+    # texts of one set may repeat its shingles unlike, so a set can have several fingerprints
+    fps = write_shared(prints.where("fp IS NOT NULL").select("fp", "sk").distinct(), "fingerprints")
+    reps = write_shared(fps.groupBy("fp").agg(F.min("sk").alias("rep")), "reps")
+    balls = write_shared(links(reps.select("fp")), "balls")
+    near = balls.join(reps.withColumnsRenamed({"fp": "src", "rep": "a"}), "src").join(reps.withColumnsRenamed({"fp": "dst", "rep": "b"}), "dst").where("a <> b")
+    near = near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    # sets of one fingerprint, or of one key of minima
+    keyed = fps.select("sk", F.col("fp").alias("key")).unionByName(distinct.select("sk", F.explode("keys").alias("key")))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("lo")).where("n > 1")
-    met = keyed.join(buckets, "key").where("sk <> lo").select(F.col("lo").alias("src"), F.col("sk").alias("dst")).distinct()
-    met = write_shared(met, "met")
+    met = keyed.join(buckets, "key").where("sk <> lo").select(F.col("lo").alias("src"), F.col("sk").alias("dst"))
+    met = write_shared(met.unionByName(near).distinct(), "met")
     crowds = connected_components(met).withColumnsRenamed({"node": "sk", "root": "crowd"})
     crowds = write_shared(crowds, "crowds")
     sizes = crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
@@ -232,6 +243,6 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     pairs = left.join(right, (left["crowd"] == right["crowd"]) & (left["tok"] == right["tok"]) & able).select(F.least("sk", "sk2").alias("src"), F.greatest("sk", "sk2").alias("dst")).distinct()
     more = write_shared(_verified(write_shared(pairs, "pairs"), sets.select("sk", "found")), "edges")
     comps = connected_components(write_shared(edges.unionByName(more), "links"))
-    forget(distinct, met, carriers, sets, cores, parts, prefixes)
+    forget(distinct, fps, reps, balls, met, carriers, sets, cores, parts, prefixes)
     roots = write_shared(comps.select(F.col("node").alias("sk"), "root"), "roots")
     return dealt(prints, roots, "sk", ["doc_id", "th"], "left").select("doc_id", "th", F.coalesce("root", "sk").alias("root"))

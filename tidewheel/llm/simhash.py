@@ -41,18 +41,27 @@ CHUNK = 1 << 16
 SPREAD = 1_000_000
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Bit i is set if it is in over half the shingles' hashes. No word: 0; fewer words than ``width``: one shingle."""
+def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the shingles, repeats included. No word: none; fewer words than ``width``: one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     parts = [words[i:] for i in range(width)] if len(words) >= width else [[b" ".join(words)]]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*parts, strict=False)), dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*parts, strict=False)), dtype=np.uint64)
+
+
+def majority(found: np.ndarray) -> int:
+    """Bit i is set if it is in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].astype(">u8")
+    for at in range(0, len(found), CHUNK):
+        part = found[at : at + CHUNK].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
+    return int(np.packbits(2 * ones > len(found)).view(">u8")[0])
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Bit i is set if it is in over half the shingles' hashes. No word: 0; fewer words than ``width``: one shingle."""
+    return majority(hashes(text, width))
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
