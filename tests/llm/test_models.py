@@ -180,6 +180,27 @@ def test_pooled_labels_by_the_letter(spark, monkeypatch):
     assert [w[1:] for w in cut] and sum(e - b for _, b, e in cut) == 1300
 
 
+def test_windows_side_by_side_cost_less_than_the_training_pass():
+    """Sums over windows of unlike length are those of ``label``, at well under its cost."""
+    import time
+
+    r, net = np.random.default_rng(2), language_id.Network(["a", "b", "c"])
+    windows = [(r.integers(0, 256, n, dtype=np.uint8), int(n) // 9, int(n) - int(n) // 7) for n in [1, 2, 31, 32, 33, *r.integers(40, 560, 60)]]
+    want = [net.label(x[None])[0][0, begin:end].sum(axis=0) for x, begin, end in windows]
+    assert np.allclose(net.sums(windows), want, rtol=1e-4, atol=1e-5)
+    x = r.integers(0, 256, (language_id.SIDE, 200), dtype=np.uint8)
+
+    def cost(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cost(lambda: net.sums([(w, 0, 200) for w in x])) < 0.8 * cost(lambda: net.label(x))
+
+
 def test_languages_held_out(spark):
     got = QUERIES["op2_language_id"](spark, SF).join(common.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 200 and (got["lang"] == got["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()

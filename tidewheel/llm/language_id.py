@@ -21,6 +21,8 @@ from tidewheel.llm.common import held_out, learnable, table
 UNITS, STEPS, BATCH, SPAN, RATE, SEED = 12, 400, 128, 64, 0.01, 5
 #: Bytes that a window labels, and bytes before and after it that only bring the states in; windows that run side by side.
 WINDOW, CONTEXT, SIDE = 512, 24, 512
+#: Positions of those windows that are labelled at once.
+PART = 32
 #: Bounds of the training sample: documents of each language, and characters of each (from a hashed offset on).
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 3000
 
@@ -45,8 +47,8 @@ class Network:
             self.p["E" + d] = r.normal(0, 0.3, (256, 3 * units)).astype(f)
             self.p["U" + d] = r.normal(0, 1 / np.sqrt(units), (units, 3 * units)).astype(f)
 
-    def _run(self, x: np.ndarray, d: str, tape: list | None, there: np.ndarray | None = None) -> np.ndarray:
-        """States after each position of ``x`` (windows, positions), in the order of positions; 0 where nothing is ``there``."""
+    def _run(self, x: np.ndarray, d: str, tape: list | None) -> np.ndarray:
+        """States after each position of ``x`` (windows, positions), in the order of positions."""
         u, (e, w) = self.units, (self.p["E" + d], self.p["U" + d])
         h, out = np.zeros((len(x), u), np.float32), np.empty((*x.shape, u), np.float32)
         for t in range(x.shape[1]) if d == "f" else reversed(range(x.shape[1])):
@@ -57,18 +59,59 @@ class Network:
             if tape is not None:
                 tape.append((t, h, z, r, n, g[:, 2 * u :]))
             h = n + z * (h - n)
-            if there is not None:
-                h *= there[:, t, None]
             out[:, t] = h
         return out
 
-    def label(self, x: np.ndarray, tapes: dict | None = None, there: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def label(self, x: np.ndarray, tapes: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (windows, positions, languages), and the states they come from."""
-        h = np.concatenate([self._run(x, d, tapes[d] if tapes else None, there) for d in "fb"], axis=2)
+        h = np.concatenate([self._run(x, d, tapes[d] if tapes else None) for d in "fb"], axis=2)
         s = h @ self.p["V"] + self.p["c"]
         s = np.exp(s - s.max(axis=2, keepdims=True))
         return s / s.sum(axis=2, keepdims=True), h
 
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tables of bytes (gates, directions and bytes, units) and of states (gates, directions, units, units).
+
+        What only enters a sigmoid's tanh, or the new state times one of them, is halved here and not at every position.
+        """
+        e = np.concatenate([self.p["E" + d].reshape(256, 3, -1).transpose(1, 0, 2) for d in "fb"], axis=1)
+        w = np.stack([self.p["U" + d].reshape(-1, 3, self.units).transpose(1, 0, 2) for d in "fb"], axis=1)
+        half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+        return np.ascontiguousarray(e * half, np.float32), np.ascontiguousarray(w * np.float32(0.5), np.float32)
+
+    def _states(self, x: np.ndarray, there: np.ndarray | None) -> np.ndarray:
+        """``_run`` in both directions at once, over ``x`` (positions, windows): states (positions, windows, units of both).
+
+        Gates lie one after another and every step writes into the same arrays. Backwards, states are 0 where nothing is
+        ``there``.
+        """
+        (e, w), u, (n, side) = self._gates(), self.units, x.shape
+        h, out = np.zeros((2, side, u), np.float32), np.empty((n, side, 2 * u), np.float32)
+        a, g = np.empty((3, 2, side, u), np.float32), np.empty((3, 2, side, u), np.float32)
+        at = np.empty((2, side), np.intp)
+        z, r, new = g
+        for t in range(n):
+            back = n - 1 - t
+            at[0] = x[t]
+            np.add(x[back], 256, out=at[1], dtype=np.intp)
+            np.take(e, at, axis=1, out=a, mode="clip")
+            np.matmul(h, w, out=g)
+            zr = g[:2]
+            zr += a[:2]
+            np.tanh(zr, out=zr)
+            zr += 1
+            new *= r
+            new += a[2]
+            np.tanh(new, out=new)
+            h -= new
+            h *= z
+            h *= 0.5
+            h += new
+            if there is not None:
+                h[1] *= there[back, :, None]
+            out[t, :, :u], out[back, :, u:] = h[0], h[1]
+        return out
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy at all positions: backpropagation through time."""
         u, tapes = self.units, {"f": [], "b": []}
@@ -97,17 +140,23 @@ class Network:
 
     def sums(self, windows: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
         """For each window (bytes, begin, end) its probabilities summed over the positions from begin to end."""
-        out = np.zeros((len(windows), len(self.langs)))
+        out, v, c = np.zeros((len(windows), len(self.langs))), self.p["V"].T, self.p["c"][:, None]
         order = sorted(range(len(windows)), key=lambda i: len(windows[i][0]))  # windows of like length run side by side
         for at in range(0, len(order), SIDE):
             some = order[at : at + SIDE]
-            x = np.zeros((len(some), len(windows[some[-1]][0])), np.uint8)
+            x = np.zeros((len(windows[some[-1]][0]), len(some)), np.uint8)
             there, core = np.zeros(x.shape, np.float32), np.zeros(x.shape, np.float32)
             for row, i in enumerate(some):
                 own, begin, end = windows[i]
-                x[row, : len(own)], there[row, : len(own)], core[row, begin:end] = own, 1, 1
-            p = self.label(x, there=None if there.all() else there)[0]
-            out[some] = np.einsum("wpl,wp->wl", p, core)
+                x[: len(own), row], there[: len(own), row], core[begin:end, row] = own, 1, 1
+            h = self._states(x, None if there.all() else there)
+            for t in range(0, len(x), PART):
+                part = h[t : t + PART]
+                s = (v @ part.reshape(-1, 2 * self.units).T + c).reshape(-1, *part.shape[:2])
+                s -= s.max(axis=0)
+                np.exp(s, out=s)
+                s *= core[t : t + PART] / s.sum(axis=0)
+                out[some] += s.sum(axis=1).T
         return out
 
 
