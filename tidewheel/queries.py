@@ -348,13 +348,19 @@ def catalog_listing(spark, sf_dir):
     return listed
 
 
+#: Lines that a CSV file of ``csv_ingest`` holds, about.
+CSV_LINES = 1 << 18
+
+
 @query(f"WITH {_t('trades')} SELECT seq - min(seq) OVER () AS line, ts AS ts_venue_exec, side, price_raw, qty_raw FROM trades")
 def csv_ingest(spark, sf_dir):
     at, t = lanes.scratch(spark, "csv"), lanes.trades(spark, sf_dir)
-    text = t.orderBy("seq").select(F.concat((F.expr("ts div 1000000000")).cast("string"), F.lit("."), F.lpad((F.col("ts") % 1_000_000_000).cast("string"), 9, "0")).alias("timestamp"), F.lit("X-USDT").alias("symbol"), F.when(F.col("side") == 0, "Buy").otherwise("Sell").alias("side"), F.col("qty_raw").cast("string").alias("size"), (F.col("price_raw") / 100).cast("decimal(18,2)").cast("string").alias("price"))
-    text.coalesce(1).write.option("header", True).option("compression", "gzip").csv(at)
-    rows = lanes.read_csv_trades(spark, at, 2, 0)
-    return rows.select((F.row_number().over(Window.partitionBy("symbol").orderBy("ts_venue_exec")) - 1).cast("long").alias("line"), "ts_venue_exec", F.col("side").cast("int").alias("side"), F.col("price_raw").cast("long").alias("price_raw"), "qty_raw")
+    # files follow one another by ``seq``, as their names do, so no task writes or reads the whole
+    ordered = t.repartitionByRange(max(1, -(-t.count() // CSV_LINES)), "seq").sortWithinPartitions("seq")
+    text = ordered.select(F.concat((F.expr("ts div 1000000000")).cast("string"), F.lit("."), F.lpad((F.col("ts") % 1_000_000_000).cast("string"), 9, "0")).alias("timestamp"), F.lit("X-USDT").alias("symbol"), F.when(F.col("side") == 0, "Buy").otherwise("Sell").alias("side"), F.col("qty_raw").cast("string").alias("size"), (F.col("price_raw") / 100).cast("decimal(18,2)").cast("string").alias("price"))
+    text.write.option("header", True).option("compression", "gzip").csv(at)
+    rows = lanes.read_csv_trades(spark, at, 2, 0, numbered=True)
+    return rows.select(F.col("line").cast("long").alias("line"), "ts_venue_exec", F.col("side").cast("int").alias("side"), F.col("price_raw").cast("long").alias("price_raw"), "qty_raw")
 
 
 @query(f"WITH {_t('deltas')}, c AS (SELECT sym, ts - ts % {DAY} AS period, min(seq) AS seq, arg_min(ts, seq) AS ts FROM deltas GROUP BY 1, 2) SELECT sym, max(ts) AS ts, arg_max(seq, ts) AS seq FROM c WHERE ts BETWEEN {_START - DAY} AND {_START} GROUP BY sym")

@@ -178,22 +178,28 @@ def pick_anchor(anchors: DataFrame, start: int, reach: int = ANCHOR_REACH) -> Da
     return near.agg(newest.alias("a")).where("a IS NOT NULL").select("a.*")
 
 
-def read_csv_trades(spark: SparkSession, path: str, price_precision: int, qty_precision: int) -> DataFrame:
+def read_csv_trades(spark: SparkSession, path: str, price_precision: int, qty_precision: int, numbered: bool = False) -> DataFrame:
     """Historic trades: gzipped CSV with header ``timestamp,symbol,side,size,price``, exact to the last digit.
 
-    Fails on a line that is earlier than the one before it in its file.
+    Fails on a line that is earlier than the one before it in its file. ``numbered`` adds ``line``: the number of the row,
+    from 0, over all files in order of their names. A file is one task; no task holds more than its files.
     """
     from tidewheel.functions.precision import ns_from_seconds, raw
 
     rows = spark.read.option("header", True).schema("timestamp string, symbol string, side string, size string, price string").csv(path)
     # each time must be at or after that of the line before: lines are compared as Spark read them, file by file
     line = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    before = F.lag(ns_from_seconds(F.col("timestamp"))).over(Window.partitionBy("line.file").orderBy("line.line"))
-    rows = rows.withColumn("line", line).withColumn("before", before)
+    w = Window.partitionBy("line.file").orderBy("line.line")
+    rows = rows.withColumn("line", line)
+    sizes = rows.groupBy(F.col("line.file").alias("tw_file")).agg(F.count(F.lit(1)).alias("tw_start"))
+    rows = rows.withColumn("before", F.lag(ns_from_seconds(F.col("timestamp"))).over(w))
+    if numbered:  # one row for each file is all that meets in one task
+        ahead = F.coalesce(F.sum("tw_start").over(Window.orderBy("tw_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn("tw_n", F.row_number().over(w)).withColumn("tw_file", F.col("line.file")).join(sizes.withColumn("tw_start", ahead), "tw_file")
     side = F.when(F.lower("side") == "buy", 0).when(F.lower("side") == "sell", 1).otherwise(F.raise_error(F.concat(F.lit("side: "), F.coalesce("side", F.lit("null")))).cast("int"))
     told = ns_from_seconds(F.col("timestamp"))
     ts = F.when(F.col("before").isNull() | (F.col("before") <= told), told).otherwise(F.raise_error(F.concat(F.lit("out of order at "), F.col("timestamp"))).cast("long"))
-    return rows.select("symbol", ts.alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.lit(None).cast("long").alias("ts_local_recv"), side.cast("short").alias("side"), raw(F.col("price"), price_precision).cast("int").alias("price_raw"), raw(F.col("size"), qty_precision).alias("qty_raw"))
+    return rows.select("symbol", ts.alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.lit(None).cast("long").alias("ts_local_recv"), side.cast("short").alias("side"), raw(F.col("price"), price_precision).cast("int").alias("price_raw"), raw(F.col("size"), qty_precision).alias("qty_raw"), *([(F.col("tw_start") + F.col("tw_n") - 1).alias("line")] if numbered else []))
 
 
 # Lanes made of the events table, the same in Spark and in DuckDB.
