@@ -29,3 +29,30 @@ def test_csv_ingest_in_many_files(spark, tied, monkeypatch, tmp_path):
     monkeypatch.setattr(queries.lanes, "scratch", lambda spark, name: str(tmp_path / name))
     assert same(spark, tied, "csv_ingest")
     assert len(list((tmp_path / "csv").glob("*.gz"))) == 12
+
+
+def test_shadow_book_is_folded_without_python(spark):
+    """Odd streams: books seeded by either kind, empty and repeated levels, snapshots in a row, blocks without messages."""
+    from random import Random
+
+    from tidewheel.operators import shadow
+
+    r, rows = Random(3), []
+    for sym in range(4):
+        recv = 0
+        for i in range(300):
+            recv += r.choice([0, 1, 7, 400])
+            levels = [(r.randrange(2), r.randrange(6), r.choice([0, 0, 1, 2, 3])) for _ in range(r.choice([0, 1, 3, 9]))]
+            rows.append((sym, recv * 10, recv, (sym % 2 == 0) if i == 0 else r.random() < 0.3, r.random() < 0.2, levels, i))
+    m = spark.createDataFrame(rows, "sym int, ts long, recv long, snapshot boolean, gapped boolean, levels array<struct<side int, price_raw long, qty_raw long>>, m int")
+    want = []
+    for sym in range(4):
+        book = shadow.ShadowBook()
+        for s, ts, recv, snapshot, gapped, levels, _ in rows:
+            if s == sym:
+                want += [(sym, ts, recv, *change) for change in book.ingest(snapshot, gapped, levels)]
+    for block in (50, 1 << 40):
+        got = shadow.reconcile(m, block, ties=("m",))
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 1000
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and got.dtypes == [(f.split()[0], {"long": "bigint"}.get(f.split()[1], f.split()[1])) for f in shadow.DELTA.split(", ")]

@@ -56,22 +56,24 @@ def flows(b: DataFrame) -> DataFrame:
     return b.select("sym", "ts_close", "close", "flow")
 
 
-def running(rows: DataFrame, values: dict[str, tuple[Column, str]], block: Column, order: str = "seq") -> DataFrame:
+def running(rows: DataFrame, values: dict[str, tuple[Column, str]], block: Column, order: str | tuple[str, ...] = "seq") -> DataFrame:
     """``rows`` with running aggregates by ``order`` within ``sym``, in blocks, so that one symbol is not one task.
 
     ``values``: name -> (column, sum, max, or last: the last present). What blocks end with (partial aggregates, one row
     each) is carried over blocks first; each block then needs only its own rows and its carry. ``block`` must not fall
-    as ``order`` rises.
+    as ``order`` rises. A null symbol or block is one as any other: they are joined as a struct, which is never null.
     """
-    rows = rows.withColumn("tw_block", block).withColumns({f"tw_{k}": v for k, (v, _) in values.items()})
-    whole = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))}
+    order = (order,) if isinstance(order, str) else order
+    last = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    rows = rows.withColumn("tw_block", F.struct("sym", block.alias("block"))).withColumns({f"tw_{k}": v for k, (v, _) in values.items()})
+    whole = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), last))}
     over = {"sum": lambda c, w: F.sum(c).over(w), "max": lambda c, w: F.max(c).over(w), "last": lambda c, w: F.last(c, ignorenulls=True).over(w)}
     join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(b, a)}
-    totals = rows.groupBy("sym", "tw_block").agg(*[whole[how](f"tw_{k}").alias(f"tw_{k}") for k, (_, how) in values.items()])
-    before = Window.partitionBy("sym").orderBy("tw_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("sym", "tw_block", *[over[how](f"tw_{k}", before).alias(f"tw_carry_{k}") for k, (_, how) in values.items()])
-    w = Window.partitionBy("sym", "tw_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumns({f"tw_{k}": over[how](f"tw_{k}", w) for k, (_, how) in values.items()}).join(carry, ["sym", "tw_block"])
+    totals = rows.groupBy("tw_block").agg(*[whole[how](f"tw_{k}").alias(f"tw_{k}") for k, (_, how) in values.items()])
+    before = Window.partitionBy("tw_block.sym").orderBy("tw_block.block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("tw_block", *[over[how](f"tw_{k}", before).alias(f"tw_carry_{k}") for k, (_, how) in values.items()])
+    w = Window.partitionBy("tw_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"tw_{k}": over[how](f"tw_{k}", w) for k, (_, how) in values.items()}).join(carry, "tw_block")
     out = out.withColumns({k: join[how](F.col(f"tw_carry_{k}"), F.col(f"tw_{k}")) for k, (_, how) in values.items()})
     return out.drop("tw_block", *[f"tw_{k}" for k in values], *[f"tw_carry_{k}" for k in values])
 
@@ -141,6 +143,11 @@ def kyle_lambda(b: DataFrame, n: int) -> DataFrame:
     return x.select("sym", "ts_close", "emit_seq", F.when(whole, F.when(bottom == 0, 0.0).otherwise(top / bottom)).alias("kyle_lambda"))
 
 
+def by_number(order: str = "seq", most: int = 1 << 16) -> Column:
+    """Blocks of at most ``most`` whole numbers ``order``, whatever their times are."""
+    return F.floor(F.col(order) / most)
+
+
 def numbered(rows: DataFrame, block: Column, out: str, order: str = "seq") -> DataFrame:
     """``rows`` with their number from 0 by ``order`` within ``sym``, in blocks as ``running``."""
     return running(rows, {out: (F.lit(1).cast("long"), "sum")}, block, order).withColumn(out, F.col(out) - 1)

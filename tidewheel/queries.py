@@ -676,16 +676,15 @@ def fires_census(spark, sf_dir):
 
 def messages(deltas: DataFrame) -> DataFrame:
     """Venue messages of five changes each; each twentieth is a snapshot, each seventh follows a gap."""
-    n = F.row_number().over(by("seq")) - 1
-    rows = deltas.withColumn("m", F.floor(n / 5))
+    rows = series.numbered(deltas, series.by_number(), "n").withColumn("m", F.floor(F.col("n") / 5))
     level = F.struct("seq", "side", "price_raw", "qty_raw")
     got = rows.groupBy("sym", "m").agg(F.max("ts").alias("ts"), F.max("ts").alias("recv"), F.sort_array(F.collect_list(level)).alias("levels"))
-    return got.select("sym", "ts", "recv", (F.col("m") % 20 == 0).alias("snapshot"), (F.col("m") % 7 == 0).alias("gapped"), F.transform("levels", lambda x: F.struct(x["side"].alias("side"), x["price_raw"].alias("price_raw"), x["qty_raw"].alias("qty_raw"))).alias("levels"))
+    return got.select("sym", "m", "ts", "recv", (F.col("m") % 20 == 0).alias("snapshot"), (F.col("m") % 7 == 0).alias("gapped"), F.transform("levels", lambda x: F.struct(x["side"].alias("side"), x["price_raw"].alias("price_raw"), x["qty_raw"].alias("qty_raw"))).alias("levels"))
 
 
 @query()
 def shadow_book(spark, sf_dir):
-    return shadow.reconcile(messages(lanes.deltas(spark, sf_dir)))
+    return shadow.reconcile(messages(lanes.deltas(spark, sf_dir)), DAY, ties=("m",))
 
 
 def strategy_graph() -> Graph:
