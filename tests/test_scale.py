@@ -56,3 +56,40 @@ def test_shadow_book_is_folded_without_python(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 1000
     plan = got._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and got.dtypes == [(f.split()[0], {"long": "bigint"}.get(f.split()[1], f.split()[1])) for f in shadow.DELTA.split(", ")]
+
+
+@pytest.mark.parametrize("step", [0, 7, 50, (1 << 63) - 1])
+def test_weave_in_blocks(spark, step):
+    """Order and steps are those of one sweep, for any block: runs that cross blocks, a null symbol, times that step back."""
+    from random import Random
+
+    from tidewheel.plans import weave
+
+    r = Random(step)
+    lane = lambda name, n: [(r.choice([0, 1, None]), name, i, 1000 + i // 2 + r.randrange(40)) for i in range(n)]
+    rows = {n: lane(n, k) for n, k in (("trades", 200), ("deltas", 90), ("mc", 9))}
+    woven = []
+    for sym in (0, 1, None):
+        all_ = []
+        for ix, name in ((0, "trades"), (1, "deltas"), (4, "mc")):
+            top = 0
+            for s, _, seq, ts in rows[name]:
+                if s == sym:
+                    top = max(top, ts)
+                    all_.append((top, ix, seq, name, ts))
+        steps, last = 0, None
+        for ord_, (arrival, ix, seq, name, ts) in enumerate(sorted(all_), 1):
+            at = (ix, arrival if step == 0 else 0 if step == weave.ALL else arrival - arrival % step)
+            steps, last = steps + (at != last), at
+            woven.append((sym, name, ix, seq, ts, arrival, ord_, steps))
+    lanes_ = [weave.arrivals(spark.createDataFrame(v, "sym int, lane string, seq long, ts long"), k, None) for k, v in rows.items()]
+    for block in (10, 1 << 40):
+        got = weave.weave(lanes_, step, block)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(woven, key=str)
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(sym#" not in plan  # no symbol's rows meet in one task
+    assert sum(x["n"] for x in weave.steps(got).collect()) == 299
+
+
+def test_woven_steps_of_ties(spark, tied):
+    assert all(same(spark, tied, n) for n in ("weave_steps_event", "weave_steps_1h", "step_census", "weave_order"))
