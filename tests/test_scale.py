@@ -93,3 +93,18 @@ def test_weave_in_blocks(spark, step):
 
 def test_woven_steps_of_ties(spark, tied):
     assert all(same(spark, tied, n) for n in ("weave_steps_event", "weave_steps_1h", "step_census", "weave_order"))
+
+
+@pytest.mark.parametrize("name", ["live_bars", "live_recorded", "live_trailing"])
+def test_feed_in_bounded_files(spark, tied, monkeypatch, tmp_path, name):
+    from itertools import count
+
+    n = count()
+    monkeypatch.setattr(queries, "FEED_ROWS", 500)
+    monkeypatch.setattr(queries.lanes, "scratch", lambda spark, name: str(tmp_path / f"{name}-{next(n)}"))
+    assert same(spark, tied, name)
+    fed = sorted(next(tmp_path.glob("feed-*")).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    order = "monotonic_seq" if name == "live_recorded" else "seq"
+    spans = [duckdb.sql(f"SELECT min({order}), max({order}), count(*) FROM '{f}'").fetchall()[0] for f in fed]
+    assert len(fed) == 6 and sum(x[2] for x in spans) == 3000 and max(x[2] for x in spans) < 700
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))

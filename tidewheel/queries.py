@@ -1012,13 +1012,21 @@ def graph_demand(spark, sf_dir):
     return spark.createDataFrame([(n, i, str(g.demand[n])) for i, n in enumerate(g.order)], "node string, place int, need string")
 
 
+#: Rows that a file of a feed holds, about.
+FEED_ROWS = 2_000_000
+
+
 def _streamed(spark, rows: DataFrame, run, order: str = "seq", files: int = 3) -> DataFrame:
-    """``run`` of ``rows`` as a stream of files that come in order, as the table that it leaves."""
-    at, out, ck = (lanes.scratch(spark, n) for n in ("feed", "live", "checkpoint"))
-    n = rows.count()
-    ranked = rows.withColumn("tw_part", F.floor((F.row_number().over(Window.orderBy(order, "sym")) - 1) * files / n))  # a feed of a test's size
-    for i in range(files):
-        ranked.where(F.col("tw_part") == i).drop("tw_part").coalesce(1).write.mode("append").parquet(at)
+    """``run`` of ``rows`` as a stream of files that come in order, as the table that it leaves.
+
+    A file has about ``FEED_ROWS`` rows at most, so what comes at once doesn't grow with the table. Rows are cut by ranges
+    of ``order`` in one pass; each file is then moved into the feed by a task that reads it alone.
+    """
+    staged, at, out, ck = (lanes.scratch(spark, n) for n in ("staged", "feed", "live", "checkpoint"))
+    files = max(files, -(-rows.count() // FEED_ROWS))
+    rows.repartitionByRange(files, order, "sym").write.mode("append").parquet(staged)
+    for part in sorted(spark.read.schema(rows.schema).parquet(staged).inputFiles()):  # named by their range's number
+        spark.read.schema(rows.schema).parquet(part).coalesce(1).write.mode("append").parquet(at)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
     made = run(stream)
     if isinstance(made, DataFrame):
