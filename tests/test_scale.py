@@ -108,3 +108,29 @@ def test_feed_in_bounded_files(spark, tied, monkeypatch, tmp_path, name):
     spans = [duckdb.sql(f"SELECT min({order}), max({order}), count(*) FROM '{f}'").fetchall()[0] for f in fed]
     assert len(fed) == 6 and sum(x[2] for x in spans) == 3000 and max(x[2] for x in spans) < 700
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_many_batches_in_one_write(spark, tmp_path, monkeypatch):
+    """Batches written at once are those written one by one: replaced by name, refused as a whole, small files."""
+    from tidewheel.sources.lanes import Catalog, CatalogError
+
+    rows = lambda *spec: spark.createDataFrame([(b, s, t, None, None, i, 0, 5, 1) for b, s, ts in spec for i, t in enumerate(ts)], "batch string, sym int, ts_venue_exec long, ts_venue_send long, ts_local_recv long, monotonic_seq long, side int, price_raw int, qty_raw long")
+    catalog = Catalog(spark, str(tmp_path / "cat"))
+    assert catalog.write_batches("trades", rows(("a", 0, range(9)), ("b-1", 0, range(9, 30)), ("a", 1, [3])), max_bytes=200, apart=True) == 3
+    read = lambda batch=None: sorted(r["ts_venue_exec"] for r in catalog.read("trades", "0", 0, 99, batch).collect())
+    assert read() == list(range(30)) and read("b-1") == list(range(9, 30))
+    assert len(list((tmp_path / "cat" / "trades" / "batch=a" / "sym=0").rglob("*.parquet"))) == 2 and not list((tmp_path / "cat" / "aside").iterdir())
+    for bad in (rows(("c", 0, [29, 40])), rows(("c", 0, [50, 60]), ("d", 0, [55])), rows(("c", 1, [0, 70])), rows(("c", 0, [40]), ("d", 0, [12]))):
+        with pytest.raises(CatalogError):
+            catalog.write_batches("trades", bad, apart=True)
+    assert read() == list(range(30))
+    catalog.write_batch("trades", rows(("", 0, [50])).drop("batch"), "b-1")
+    assert read() == [*range(9), 50] and [r["n"] for r in catalog.listing("trades", "0")] == [9, 1]
+
+
+def test_catalog_listing_writes_once(spark, monkeypatch, tied):
+    from tidewheel.sources.lanes import Catalog
+
+    calls, write = [], Catalog.write_batches
+    monkeypatch.setattr(Catalog, "write_batches", lambda self, *a, **k: calls.append(a[0]) or write(self, *a, **k))
+    assert same(spark, tied, "catalog_listing") and calls == ["trades"]

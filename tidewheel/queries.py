@@ -342,8 +342,8 @@ for _name in _LANE_SQL:
 def catalog_listing(spark, sf_dir):
     catalog, t = Catalog(spark, lanes.scratch(spark, "catalog")), lanes.trades(spark, sf_dir)
     rows = t.select("sym", F.col("ts").alias("ts_venue_exec"), F.lit(None).cast("long").alias("ts_venue_send"), F.col("recv").alias("ts_local_recv"), F.col("seq").alias("monotonic_seq"), "side", "price_raw", "qty_raw")
-    for p in sorted(r["p"] for r in t.select(series.bucket("ts", 10 * DAY).alias("p")).distinct().collect()):
-        catalog.write_batch("trades", rows.where(F.col("ts_venue_exec").between(p, p + 10 * DAY - 1)), f"from-{p}", apart=True, max_bytes=4000)
+    batch = F.concat(F.lit("from-"), series.bucket("ts_venue_exec", 10 * DAY).cast("string"))
+    catalog.write_batches("trades", rows.withColumn("batch", batch), apart=True, max_bytes=4000)
     listed = catalog.manifest().select(F.col("sym").cast("int").alias("sym"), series.bucket("ts_min", 10 * DAY).alias("period"), "ts_min", "ts_max", "n")
     return listed
 

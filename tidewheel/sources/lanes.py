@@ -91,24 +91,64 @@ class Catalog:
         tie or step back between batches of live input, whose order is that of reception. Files hold no more than the
         lane's ``ROTATION`` in bytes (or ``max_bytes``) and in time.
         """
+        return self.write_batches(lane, rows.withColumn("batch", F.lit(batch)), precision, max_bytes, apart)
+
+    def write_batches(self, lane: str, rows: DataFrame, precision: dict[str, int] | None = None, max_bytes: int | None = None, apart: bool = False) -> int:
+        """As ``write_batch`` for each of the batches that the column ``batch`` names, all in one job; the number of ranges.
+
+        With ``apart`` the batches must lie apart from one another as well; if any does not, none is written.
+        """
         at, (most, age) = axis(lane), ROTATION[lane]
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LANES[lane].fields], F.col("sym").cast("string").alias("sym"))
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LANES[lane].fields], F.col("sym").cast("string").alias("sym"), "batch")
         recv = F.max("ts_local_recv") if "ts_local_recv" in rows.columns else F.max(at)
-        ranges = rows.groupBy("sym").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n"), recv.alias("recv")).collect()
-        for r in ranges if apart else ():
-            for old in self.listing(lane, r["sym"], r["lo"], r["hi"]):
-                raise CatalogError(f"{lane}/{r['sym']}: [{r['lo']}, {r['hi']}] overlaps [{old['ts_min']}, {old['ts_max']}]")
+        ranges = rows.groupBy("batch", "sym").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n"), recv.alias("recv")).collect()
+        if apart:
+            self._apart(lane, ranges)
         if not ranges:
             return 0
         out = rows.withColumn("day", F.floor(F.col(at) / DAY).cast("int")).withColumn("slot", F.floor(F.col(at) / age).cast("int"))
-        spread = out.repartition("sym", "day", "slot").sortWithinPartitions("sym", "day", "slot", at)
-        write = spread.write.mode("overwrite").partitionBy("sym", "day", "slot").option("compression", "zstd").option("maxRecordsPerFile", max(1, (max_bytes or most) // ROW_BYTES[lane]))
-        write.parquet(f"{self.root}/{lane}/batch={batch}")
+        spread = out.repartition("batch", "sym", "day", "slot").sortWithinPartitions("batch", "sym", "day", "slot", at)
+        # written aside and moved into place whole, batch by batch: tasks commit their own files, and no reader sees a part
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
+        write = spread.write.partitionBy("batch", "sym", "day", "slot").option("compression", "zstd").option("maxRecordsPerFile", max(1, (max_bytes or most) // ROW_BYTES[lane]))
+        write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{aside}/rows")
         said = json.dumps(precision or {}, sort_keys=True)
-        entries = [(lane, r["sym"], r["lo"], r["hi"], r["n"], SCHEMA_VERSION, said, r["recv"], batch) for r in ranges]
-        self.spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{lane}-{batch}")
+        entries = [(lane, r["sym"], r["lo"], r["hi"], r["n"], SCHEMA_VERSION, said, r["recv"], r["batch"], r["batch"]) for r in ranges]
+        listed = self.spark.createDataFrame(entries, MANIFEST + ", of string")
+        listed.repartition("of").write.partitionBy("of").parquet(f"{aside}/manifest")
+        for batch in sorted({r["batch"] for r in ranges}):
+            self._move(f"{aside}/rows", "batch", batch, f"{self.root}/{lane}", f"batch={batch}")
+            self._move(f"{aside}/manifest", "of", batch, f"{self.root}/manifest", f"{lane}-{batch}")
+        path = self._path(aside)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         return len(ranges)
 
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(*parts)
+
+    def _move(self, frm: str, key: str, batch: str, to: str, name: str) -> None:
+        """Puts a batch's folder in the place of ``to``/``name``, whatever stood there."""
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch)
+        here, there = self._path(frm, f"{key}={escaped}"), self._path(to, name)
+        fs = there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(there, True)
+        fs.mkdirs(self._path(to))
+        if not fs.rename(here, there):
+            raise CatalogError(f"{here} could not be moved to {there}")
+
+    def _apart(self, lane: str, ranges: list) -> None:
+        """Fails if one of ``ranges`` meets another of its symbol, or one in the manifest: neighbours, by their starts."""
+        held = self.manifest().where(F.col("lane") == lane).select("sym", "ts_min", "ts_max").collect()
+        spans = sorted([(str(r["sym"]), r["ts_min"], r["ts_max"], 0) for r in held] + [(str(r["sym"]), r["lo"], r["hi"], 1) for r in ranges])
+        ends: dict[tuple[str, int], tuple[int, int]] = {}  # by symbol, and old or new: the range that reaches furthest
+        for sym, lo, hi, new in spans:
+            for other in (0, 1) if new else (1,):
+                if (far := ends.get((sym, other))) and far[1] >= lo:
+                    mine, old = ((lo, hi), far) if new else (far, (lo, hi))
+                    raise CatalogError(f"{lane}/{sym}: [{mine[0]}, {mine[1]}] overlaps [{old[0]}, {old[1]}]")
+            if (sym, new) not in ends or ends[sym, new][1] < hi:
+                ends[sym, new] = (lo, hi)
+
     def ensure_day(self, lane: str, sym: str, day: int, load, precision: dict[str, int] | None = None, expected: int | None = None) -> bool:
         """Ingests one day by ``load()`` unless it is there; False if it was. ``expected`` rows or none at all.
 
